@@ -21,5 +21,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _module in ("op01_quality", "op03_sharding"):
+for _module in ("op01_quality", "op03_sharding", "op07_decontamination"):
     importlib.import_module(f"larkspan.llm.queries.{_module}")
