@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.shared import cut, partitions
+from larkspan.llm.shared import ranked
 
 MADE = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve")
 
@@ -79,8 +79,7 @@ def shard(docs: DataFrame, dims: Sequence[str] = ("lang", "source", "n_chars"),
     curve, the index on the curve. A null text counts as empty; a null in a dimension falls in the lowest cell; a null id sorts first. Rows
     with equal keys stay apart, each with a slot of its own. An empty table gives an empty one. Long texts are only measured.
 
-    Every row is sorted by (curve, id, crc, size) over range partitions, which also splits a hot cell; a row's rank is its place in its partition
-    plus the counts of the partitions before, of which there are as many as tasks.
+    Every row is sorted by (curve, id, crc, size) over range partitions, which also splits a hot cell; see ranked().
     """
     cells = 1 << bits
     measures = {f"__m{i}": _measure(docs, d) for i, d in enumerate(dims)}
@@ -92,14 +91,7 @@ def shard(docs: DataFrame, dims: Sequence[str] = ("lang", "source", "n_chars"),
     carried = [c for c in dict.fromkeys((id_col, *keep)) if c not in MADE]
     rows = docs.select(*[f"`{c}`" for c in carried], (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), curve_index(coords, bits).alias("curve"))
     order = ["curve", *([f"`{id_col}`"] if id_col in carried else []), "text_crc32", "size"]
-    n = partitions(docs.sparkSession)
-    ranked = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    ranked = cut(ranked.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")))
-    # one row for each partition of the sort: the bound of what is broadcast
-    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranked.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
-    rank = F.col("__before") + F.col("__at")
-    placed = ranked.join(F.broadcast(starts), "__part").withColumn("__rank", rank).withColumn("shard", F.expr(f"cast(__rank * {n_shards} div __all as int)"))
+    placed = ranked(rows, order).withColumn("shard", F.expr(f"cast(__rank * {n_shards} div __all as int)"))
     placed = placed.withColumn("slot", F.expr(f"__rank - (shard * __all + {n_shards - 1}) div {n_shards}")).withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
     return placed.select(*[f"`{c}`" for c in carried], *MADE)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +36,16 @@ def partitions(spark: SparkSession) -> int:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def ranked(df: DataFrame, order: list) -> DataFrame:
+    """``df`` sorted by ``order``, with __rank (from 0, gapless) and __all (row count), and its lineage cut.
+
+    Rows are range-partitioned and sorted; a row's rank is its place in its partition plus the counts of the partitions before. Only one row
+    for each partition goes through the single-task window and the broadcast.
+    """
+    rows = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    rows = cut(rows.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")))
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    return rows.join(F.broadcast(starts), "__part").withColumn("__rank", F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
