@@ -21,5 +21,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _module in ("op01_quality", "op03_sharding", "op04_classifier", "op07_decontamination", "op09_jaccard"):
+for _module in ("op01_quality", "op03_sharding", "op04_classifier", "op07_decontamination", "op09_jaccard", "op10_substring"):
     importlib.import_module(f"larkspan.llm.queries.{_module}")
