@@ -21,5 +21,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _module in ("op01_quality", "op03_sharding", "op04_classifier", "op06_secrets", "op07_decontamination", "op08_pieces", "op09_jaccard", "op10_substring"):
+for _module in ("op01_quality", "op03_sharding", "op04_classifier", "op05_lines", "op06_secrets", "op07_decontamination", "op08_pieces", "op09_jaccard", "op10_substring"):
     importlib.import_module(f"larkspan.llm.queries.{_module}")
