@@ -1,13 +1,16 @@
-"""A corpus pipeline of near-duplicate, quality and contamination stages, ending in token ids."""
+"""A corpus pipeline: quality rules, line dedup, near-duplicate removal, benchmark decontamination and token ids."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspan.llm import quality_rules
+from larkspan.llm import line_dedup, partenum, pieces, quality_rules, winnowing
 from larkspan.llm.shared import cut, documents
 
-ORACLE_SQL = None  # the near-duplicate and tokenizer stages have no SQL; tests hold run() against a brute-force version
+ORACLE_SQL = None  # the MinHash and tokenizer stages have no SQL; tests hold the stages against brute-force versions
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +18,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that are alike to an earlier one; those that lose every line go."""
+    return line_dedup.keep_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group whose sets of five-word shingles are linked by a similarity of 0.8 or more."""
+    return partenum.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no ten words in a row with a benchmark item."""
+    return winnowing.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token ids with the end id."""
+    return pieces.encode(docs, MODEL).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("tokens", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

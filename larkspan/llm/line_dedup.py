@@ -273,9 +273,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
 def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least: int = LEAST) -> DataFrame:
     """``docs`` with their own columns, each text cut down to the lines it keeps; a row that loses every line goes, and n_chars follows the text."""
     names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
-    told = dedup(docs.toDF(*names.values()), names[id_col], names[text_col], percent, least, tuple(names.values()), text=True)
+    inner = docs.toDF(*names.values()).withColumn("__none", F.col(names[text_col]).isNull())
+    others = tuple(n for c, n in names.items() if c != text_col)
+    told = dedup(inner, names[id_col], names[text_col], percent, least, (*others, "__none"), text=True)
     told = told.where("n_removed = 0 or trim(kept_text) <> ''")
-    made = {text_col: F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(names[text_col]))}
+    made = {text_col: F.when(~F.col("__none"), F.col("kept_text"))}
     if "n_chars" in names:
         made["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col(names["n_chars"]))
-    return told.select(*[made.get(c, F.col(n)).alias(c) for c, n in names.items()])
+    return told.select(*[(made[c] if c in made else F.col(n)).alias(c) for c, n in names.items()])
