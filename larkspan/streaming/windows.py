@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def hourly_counts(events: DataFrame, late: str | None = None) -> DataFrame:
     """Events by hour and type; ``late`` sets the watermark of a stream."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if late else rows
     return rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")
 
 
