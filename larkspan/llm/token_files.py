@@ -8,6 +8,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
@@ -19,7 +20,7 @@ from larkspan.llm import pfor
 from larkspan.llm import words as W
 from larkspan.llm.shared import cut, partitions, shared_dir
 
-CACHE = 400_000  # words that each of two generations of a worker's memory holds
+CACHE = 300_000  # words that each of two generations of a worker's memory holds
 # letters whose lower case and composition no neighbour changes, and marks that stand apart from them
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
 
@@ -31,8 +32,20 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+class Memory:
+    """A dictionary of two generations: when the newer is full it becomes the older, and the older goes."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def turn(self) -> dict:
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        return self.new
+
+
 class Encoder:
-    """Ids of texts by the tokenizers library. White space separates tokens, so each distinct word is encoded once and remembered.
+    """Ids of texts by the tokenizers library. White space separates tokens, so each distinct word is encoded once and remembered by its hash.
 
     A word of plain letters, with or without marks after it, goes straight to the library's BPE model, as the vocabulary's normaliser and splitter would only lower it
     and cut off the marks; any other word goes through the whole library.
@@ -42,49 +55,90 @@ class Encoder:
         self.library = Tokenizer.from_str(spec)
         self.by_word = all(x in repr(self.library.normalizer) for x in ("NFC", "Lowercase")) and "invert=True" in repr(self.library.pre_tokenizer) and "ByteLevel" in repr(self.library.pre_tokenizer)
         self.model, self.letters = self.library.model, _byte_letters()
-        self.words: list[dict[bytes, bytes]] = [{}, {}]  # the newer generation, the older
-        self.atoms: list[dict[str, bytes]] = [{}, {}]
+        self.words, self.atoms, self.tails = Memory(CACHE), Memory(CACHE), {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _atom(self, letters: str) -> bytes:
-        raw = letters.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
-
-    def _learn(self, fresh: set[bytes]) -> None:
-        (new, old), (atoms, old_atoms) = self.words, self.atoms
-        slow, tails = [], {}
-        for w in fresh:
-            v = old.get(w)
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            self.tails[marks] = self._library([marks])[0]
+        return self.tails[marks]
+
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words: the atoms of plain ones are looked up in lower case."""
+        atoms, old = self.atoms.turn(), self.atoms.old
+        tokenize, letters = self.model.tokenize, self.letters
+        out: list[bytes | None] = []
+        slow = []
+        for w in words:
+            tail = None
+            if w.isalpha():  # ASCII letters
+                key = w.lower()
+            elif w[-1] in b".,|" and w[:-1].isalpha():
+                key, tail = w[:-1].lower(), chr(w[-1])
+            elif m := _SIMPLE.fullmatch(w.decode()):
+                key, tail = m[1].lower().encode(), m[2]
+            else:
+                slow.append(w)
+                out.append(None)
+                continue
+            v = atoms.get(key)
             if v is None:
-                m = _SIMPLE.fullmatch(w.decode())
-                if not m:
-                    slow.append(w)
-                    continue
-                letters, tail = m[1].lower(), m[2]
-                v = atoms.get(letters)
+                v = old.get(key)
                 if v is None:
-                    v = atoms[letters] = old_atoms.get(letters) or self._atom(letters)
-                if tail:
-                    if tail not in tails:
-                        tails[tail] = self._library([tail])[0]
-                    v += tails[tail]
-            new[w] = v
-        new.update(zip(slow, self._library([w.decode() for w in slow]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.by_word:
-            return self._library(texts)
-        for held in (self.words, self.atoms):
-            if len(held[0]) > CACHE:
-                held[:] = [{}, held[0]]
-        cuts = [t.encode().split() for t in texts]
-        known = self.words[0]
-        if fresh := {w for words in cuts for w in words if w not in known}:
-            self._learn(fresh)
-        return [b"".join([known[w] for w in words]) for words in cuts]
+                    raw = key.decode() if key.isascii() else key.decode("latin-1").translate(letters)
+                    v = array("I", [t.id for t in tokenize(raw)]).tobytes()
+                atoms[key] = v
+            out.append(v + self._tail(tail) if tail else v)
+        rest = iter(self._library([w.decode() for w in slow]))
+        return [next(rest) if v is None else v for v in out]
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each slice of a column of texts: its first row, the ids end to end, and how many each text has."""
+        data, offset = W.buffers(column)
+        for lo, hi in W.cuts(offset, 4 << 20 if self.by_word else 1 << 20):
+            if not self.by_word:
+                found = self._library(column.slice(lo, hi - lo).fill_null("").to_pylist())
+                yield lo, np.frombuffer(b"".join(found), "<u4"), np.array([len(v) // 4 for v in found], np.int64)
+                continue
+            x = W.split(data[offset[lo] : offset[hi]], offset[lo : hi + 1] - offset[lo], W.BLANK, False, lo)
+            code, distinct = pd.factorize(x.hash)
+            keys = distinct.tolist()
+            known, old = self.words.turn(), self.words.old
+            got = list(map(known.get, keys))
+            lack = [i for i, v in enumerate(got) if v is None]
+            if lack:
+                place = np.empty(len(keys), np.int64)
+                place[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+                raw, start, end = x.data.tobytes(), x.start[place].tolist(), x.end[place].tolist()
+                fresh = []
+                for i in lack:
+                    v = old.get(keys[i])
+                    if v is None:
+                        fresh.append(i)
+                    else:
+                        got[i] = known[keys[i]] = v
+                for i, v in zip(fresh, self._learn([raw[start[i] : end[i]] for i in fresh]), strict=True):
+                    got[i] = known[keys[i]] = v
+            size = np.fromiter(map(len, got), np.int64, len(got)) >> 2
+            pool, first = np.frombuffer(b"".join(got), "<u4"), np.cumsum(size) - size
+            n = size[code]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids = pool[np.repeat(first[code] - ends[:-1], n) + np.arange(ends[-1])]
+            yield lo, ids, np.diff(ends[x.first])
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out = []
+        for _, ids, n in self.encode(pa.array(texts, pa.string())):
+            out += np.split(ids, np.cumsum(n)[:-1])
+        return out
+
+
+def _ended(ids: np.ndarray, counts: np.ndarray, end_id: int) -> np.ndarray:
+    """The ids with end_id after each text's."""
+    return np.insert(ids, np.cumsum(counts), end_id)
 
 
 _held: dict[int, Encoder] = {}
@@ -116,7 +170,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, directory: str | No
     rows = frame.repartitionByRange(partitions(spark), "id", tie).sortWithinPartitions("id", tie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, end = TaskContext.get(), np.array([end_id], "<u4").tobytes()
+        task = TaskContext.get()
         own = _encoder(held.value)
         fs, root = _target(directory)
         fs.create_dir(root, recursive=True)
@@ -126,10 +180,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, directory: str | No
         with fs.open_output_stream(temporary) as out:
             writer = pfor.Writer(out)
             for batch in batches:
-                _, offset = W.buffers(batch.column("text"))
-                for lo, hi in W.cuts(offset, 1 << 20):
-                    found = [x + end for x in own.encode(batch.column("text").slice(lo, hi - lo).to_pylist())]
-                    writer.add(batch.column("id").slice(lo, hi - lo).to_pylist(), [len(x) // 4 for x in found], np.frombuffer(b"".join(found), "<u4"))
+                for lo, found, counts in own.encode(batch.column("text")):
+                    writer.add(batch.column("id").slice(lo, len(counts)).to_pylist(), (counts + 1).tolist(), _ended(found, counts, end_id))
             writer.close()
             n_docs, n_tokens = len(writer.docs), writer.total
         fs.move(temporary, name)
