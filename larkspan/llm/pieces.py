@@ -22,7 +22,7 @@ from larkspan.llm import words as W
 
 SPACE = "▁"
 LONG = 192  # symbols from which a chunk gets a heap
-CACHE = 300_000  # chunks that a Python worker remembers
+CACHE = 400_000  # chunks that each of two generations of a worker's memory holds
 _NONE = np.int64(1) << 30
 
 
@@ -71,7 +71,8 @@ class Agenda:
         crossing = any(a != SPACE and b == SPACE for i in plain for a, b in zip(names[i], names[i][1:], strict=False))
         ends = "" if "\n" in inner else "\n"
         self.chunk = re.compile(".+" if crossing else f"{SPACE}*[^{SPACE}{ends}]+|{SPACE}+" + ("|\n" if ends else ""), re.S)
-        self.known: dict[str, str] = {}
+        self.known: dict[str, str] = {}  # the newer generation
+        self.older: dict[str, str] = {}
 
     def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of pairs; _NONE where the pair is no piece."""
@@ -166,41 +167,50 @@ class Agenda:
 
     def learn(self, chunks: list[str], check: bool = True) -> dict[str, str]:
         """Ids of distinct chunks, joined by spaces."""
-        out: dict[str, str] = {}
-        short = [c for c in chunks if len(c) < LONG]
+        symbols: list[list[int]] = []
+        short, long = [c for c in chunks if len(c) < LONG], [c for c in chunks if len(c) >= LONG]
         for lo in range(0, len(short), 20_000):
             part = short[lo : lo + 20_000]
             seg, sym = self._in_step(part)
-            bounds, symbols = np.searchsorted(seg, np.arange(len(part) + 1)).tolist(), sym.tolist()
-            for i, c in enumerate(part):
-                out[c] = self._written(symbols[bounds[i] : bounds[i + 1]])
-        for c in chunks:
-            if len(c) >= LONG:
-                out[c] = self._written(self._by_heap(c))
-        if check and (wrong := self.differing(out)):
+            bounds, flat = np.searchsorted(seg, np.arange(len(part) + 1)).tolist(), sym.tolist()
+            symbols += [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        symbols += [self._by_heap(c) for c in long]
+        n, ids = self.n, self.ids
+        out = [" ".join([ids[s] for s in x]) if max(x) < n else self._written(x) for x in symbols]
+        if check and (wrong := self.differing(short + long, symbols, out)):
             raise ValueError(f"the agenda and the library differ on {wrong[:3]}")
-        return out
+        return dict(zip(short + long, out, strict=True))
 
-    def differing(self, out: dict[str, str]) -> list[str]:
+    def differing(self, chunks: list[str], symbols: list[list[int]], out: list[str]) -> list[str]:
         """Chunks that the library encodes otherwise. It puts a space first, so chunks without one are given after a line end."""
-        head = " ".join(map(str, self.library.encode("\n"))) + " "
-        spaced = [c for c in out if c[0] == SPACE]
-        bare = [c for c in out if c[0] != SPACE]
-        told = [(c, " ".join(map(str, x))) for c, x in zip(spaced, self.library.encode([c[1:] for c in spaced], num_threads=1), strict=True) if len(c) > 1]
-        told += [(c, " ".join(map(str, x)).removeprefix(head)) for c, x in zip(bare, self.library.encode(["\n" + c for c in bare], num_threads=1), strict=True)]
-        return [c for c, x in told if out[c] != x]
+        head = self.library.encode("\n")
+        told = self.library.encode([c[1:] if c[0] == SPACE and len(c) > 1 else "\n" + c for c in chunks], num_threads=1)
+        wrong = []
+        for c, mine, text, x in zip(chunks, symbols, out, told, strict=True):
+            if mine != x:  # plain pieces after a space are equal as they are
+                if c[0] != SPACE or len(c) == 1:
+                    x = x[len(head) :]
+                if text != " ".join(map(str, x)):
+                    wrong.append(c)
+        return wrong
 
     def encode(self, texts: list[str], check: bool = True) -> list[str]:
         """Ids of each text with the end id, joined by spaces."""
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
         cut = [self.chunk.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = {c for chunks in cut for c in chunks if c not in self.known}
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known = {}
-                new = {c for chunks in cut for c in chunks}
-            self.known |= self.learn(sorted(new), check)
-        known, end = self.known, str(self.end)
-        return [" ".join([known[c] for c in chunks] + [end]) for chunks in cut]
+        known, older = self.known, self.older
+        got = [list(map(known.get, chunks)) for chunks in cut]
+        open_texts = [i for i, x in enumerate(got) if None in x]
+        if open_texts:
+            lack = {c for i in open_texts for c, x in zip(cut[i], got[i], strict=True) if x is None}
+            again = {c: older[c] for c in lack if c in older}
+            known |= again
+            known |= self.learn([c for c in lack if c not in again], check)
+            for i in open_texts:
+                got[i] = [known[c] if x is None else x for c, x in zip(cut[i], got[i], strict=True)]
+        end = str(self.end)
+        return [" ".join([*x, end]) for x in got]
 
     def decode(self, ids: str) -> str:
         """Text of ids joined by spaces: bytes run together, one first space goes, a byte that is part of no character becomes U+FFFD."""
