@@ -59,7 +59,7 @@ def assay_plan(spark, sf):
     return spark.createDataFrame([(r["hid"], r["aid"], r["slot"]) for r in chosen], "hid int, aid string, slot string")
 
 
-@query("deg_evidence", "WITH d AS (SELECT p_brand, (avg(l_discount) - 0.05) * 100 f, count(*) n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT p_brand, n, round(0.95 * 0.55 * 0.75, 6) reliability FROM d")
+@query("deg_evidence", "WITH d AS (SELECT p_brand, (avg(l_discount) - 0.05) * 100 f, count(*) n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT p_brand, n, round(0.95::DOUBLE * 0.55 * 0.75, 6) reliability FROM d")
 def deg_evidence(spark, sf):
     d = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(((F.avg("l_discount") - 0.05) * 100).alias("log2fc"), F.count("*").alias("n"))
     d = d.withColumns({"padj": F.lit(0.01), "n_a": F.lit(10), "n_b": F.lit(12), "expected": F.lit("up"), "composition_adjusted": F.lit(False), "purity_adjusted": F.lit(False), "dataset": F.lit("d"), "contrast": F.lit("c")})
