@@ -23,7 +23,7 @@ from larkspan.llm.shared import cut, partitions
 from larkspan.llm.winnowing import _sliding_min
 
 SPAN, K = 50, 20
-SHARD_CONTEXTS = 6_000
+SHARD_CONTEXTS = 6_000  # contexts of a shard, on average; an anchor that alone has more is split by windows instead
 
 
 class Anchors:
@@ -132,6 +132,30 @@ def _search(span: int):
     return run
 
 
+def _windows(span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (ctx, owner, lo, window) of every window of contexts, by hash."""
+        for batch in batches:
+            lists = batch.column("words")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            n = np.maximum(size - span + 1, 0)
+            row = np.repeat(np.arange(len(n)), n)
+            lo = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = (np.cumsum(size) - size)[row] + lo
+            key = W.spans_hash(W.prefix(flat, W.WORDS), at, at + span, W.WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column("ctx").take(pa.array(row)), batch.column("owner").take(pa.array(row)), pa.array(lo.astype(np.int32)), _longs(key)], ["ctx", "owner", "lo", "window"])
+
+    return run
+
+
+def _hot_matches(pieces: DataFrame, span: int) -> DataFrame:
+    """What _search() finds, for the contexts of anchors that are too many for one shard: each window's least owner, by partial aggregation."""
+    rows = pieces.select("ctx", "owner", "words").mapInArrow(_windows(span), "ctx long, owner long, lo int, window long")
+    least = rows.groupBy("window").agg(F.min("owner").alias("least"))
+    return rows.join(least, "window").where("least < owner").select("ctx", "lo", (F.col("lo") + span).alias("hi"))
+
+
 def repeats(docs: DataFrame, id_col: str, text_col: str, span: int = SPAN, k: int = K) -> DataFrame:
     """Rows (id, tkey, lo, hi): word intervals covered by windows of ``span`` words that also start in a document of a smaller id."""
     frame = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
@@ -143,8 +167,15 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, span: int = SPAN, k: in
     keys = several.select(F.col("ctx").bitwiseXOR(F.shiftleft("owner", 20)).alias("k"))
     shards = max(1, several.count() // SHARD_CONTEXTS)
     words = _context_words(frame, span, k, S.build(keys, "k")).withColumnRenamed("id", "owner")
-    pieces = several.select("ctx", "owner", F.pmod("anchor", F.lit(shards)).alias("shard")).join(words, ["ctx", "owner"])
-    matched = cut(pieces.repartition(min(shards, 16 * partitions(docs.sparkSession)), "shard").groupBy("shard").applyInPandas(_search(span), "ctx long, lo int, hi int"))
+    pieces = several.select("anchor", "ctx", "owner", F.pmod("anchor", F.lit(shards)).alias("shard")).join(words, ["ctx", "owner"])
+    hot = cut(several.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_CONTEXTS).select("anchor"))
+    many = None
+    if not hot.isEmpty():
+        pieces = cut(pieces)
+        many = _hot_matches(pieces.join(hot, "anchor", "left_semi"), span)
+        pieces = pieces.join(hot, "anchor", "left_anti")
+    matched = (pieces.repartition(min(shards, 16 * partitions(docs.sparkSession)), "shard").groupBy("shard").applyInPandas(_search(span), "ctx long, lo int, hi int"))
+    matched = cut(matched if many is None else matched.union(many))
     place = places.join(owners.select("anchor", "ctx", "owner"), ["anchor", "ctx"])
     whole = place.where("id > owner").select("id", "tkey", F.col("first").alias("lo"), F.col("last").alias("hi"))
     part = place.where("id = owner and several and owner > first_id").join(matched.distinct(), "ctx").select("id", "tkey", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
