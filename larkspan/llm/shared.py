@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
@@ -23,18 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet to a shared folder and read it back: its lineage ends there, and a lost executor costs no rerun."""
+    """Write ``df`` as Parquet to a shared folder and read it back: its lineage ends there, and a lost executor costs no rerun.
+
+    The driver's collection of garbage lets Spark's cleaner delete the shuffle files that only the finished job needed.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
+    small_batches(spark)
     df.write.options(**options).parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker gets at once: Arrow batches of BATCH_BYTES, if the session would make larger ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
