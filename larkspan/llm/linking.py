@@ -1,36 +1,83 @@
-"""Links among the members of candidate groups, without emitting all pairs of a group."""
+"""Components of the members of candidate groups, without emitting all pairs of a group."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.llm import words as W
 from larkspan.llm.components import components
 from larkspan.llm.shared import cut
 
+def parities(doc: np.ndarray, spread: np.ndarray, n: int, longs: int) -> pa.ListArray:
+    """For each of n sets that many longs of bits: whether each part of the hash domain has an odd number of elements. Each differing bit takes a differing element."""
+    bits = 64 * longs
+    cell = doc * bits + ((spread >> W.U(40)) & W.U(bits - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n * bits) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * longs).astype(np.int32)), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
 
-def connect(shared: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified pairs (a, b) that connect what comparing all pairs of every group would connect.
 
-    shared: rows (sig, key), a group for each sig. similar: keeps the similar ones of some pairs (a, b). 1. A star around each group's least key. 2. Where a
-    group still holds several components, one key of each with one of the least. 3. Where it still does, its pairs across components.
+def near(a: str, b: str, percent: int, longs: int) -> Column:
+    """Whether two rows with n, the set's size, and parity can be similar at all: both bound the distance from below."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    odd = sum((F.bit_count(F.get(F.col(f"{a}.parity"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.parity"), F.lit(i)))) for i in range(longs)), F.lit(0))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (odd * (100 + percent) <= (n + m) * (100 - percent))
+
+
+def possible(pairs: DataFrame, heads: DataFrame, close: Column) -> DataFrame:
+    """Those pairs (a, b) that ``close``, a condition on rows x and y of ``heads``, allows."""
+    both = pairs.join(heads.alias("x"), pairs["a"] == F.col("x.key")).join(heads.alias("y"), pairs["b"] == F.col("y.key"))
+    return both.where(close).select("a", "b")
+
+
+def distinct_groups(shared: DataFrame) -> DataFrame:
+    """``shared`` with one sig of those that have the very same keys (by two 64-bit hashes of the set): alike members share many signatures, which say the same."""
+    groups = shared.groupBy("sig").agg(F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(7))).alias("y"), F.count("*").alias("n"))
+    return shared.join(groups.groupBy("x", "y", "n").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (node, root) after more links (a, b): components of the old components, so the whole graph is not walked again."""
+    ends = links
+    for side in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
+    step = components(ends.select("ra", "rb")).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    step = cut(step)
+    old = roots.join(step, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    lone = step.join(roots.select(F.col("root")).distinct(), "root", "left_anti").select(F.col("root").alias("node"), F.col("new").alias("root"))
+    return cut(old.union(lone))
+
+
+def connect(shared: DataFrame, heads: DataFrame, close: Column, similar: Callable[[DataFrame], DataFrame], first: DataFrame | None = None) -> DataFrame:
+    """Rows (node, root) that connect what comparing all pairs of every group would connect.
+
+    shared: rows (sig, key), a group for each sig. heads: rows (key, ...) on which ``close`` rules pairs x, y out cheaply. similar: keeps the similar ones of some pairs (a, b).
+    1. A star around each group's least key (or the pairs ``first``). 2. Where a group still holds several components, one key of each with one of the least, one pair for two
+    components. 3. Where it still does, its pairs across components. A pair that is connected already is not compared.
     """
-    least = shared.groupBy("sig").agg(F.min("key").alias("a"))
-    star = shared.join(least, "sig").where("key <> a").select("a", F.col("key").alias("b")).distinct()
-    found = cut(similar(star))
+    if first is None:
+        least = shared.groupBy("sig").agg(F.min("key").alias("a"))
+        star = shared.join(least, "sig").where("key <> a").select("a", F.col("key").alias("b")).distinct()
+        first = possible(star, heads, close)
+    roots = cut(components(cut(similar(first))))
 
     def open_groups() -> DataFrame:
-        held = shared.join(components(found).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        held = shared.select("sig", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         ends = held.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
         return cut(held.join(ends, "sig"))
 
-    one = open_groups().groupBy("sig", "root", "lo").agg(F.min("key").alias("key"))
-    centre = one.where("root = lo").select("sig", F.col("key").alias("a"))
-    more = one.where("root <> lo").select("sig", F.col("key").alias("b")).join(centre, "sig").select("a", "b").distinct()
-    found = cut(found.union(similar(more.join(star, ["a", "b"], "left_anti"))))
-    rows = open_groups()
+    ends = open_groups().groupBy("sig", "root", "lo").agg(F.min("key").alias("key"))
+    centre = ends.where("root = lo").select("sig", F.col("key").alias("a"))
+    more = ends.where("root <> lo").join(centre, "sig").groupBy("root", "lo").agg(F.min(F.struct("a", "key")).alias("p")).select("p.a", F.col("p.key").alias("b"))
+    found = cut(similar(possible(more, heads, close)))
+    if not found.isEmpty():
+        roots = merged(roots, found)
+    rows = open_groups().select("sig", "key", "root").join(heads, "key")
     x, y = rows.alias("x"), rows.alias("y")
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root"))).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    return cut(found.union(similar(rest.join(star, ["a", "b"], "left_anti"))))
+    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root")) & close)
+    found = cut(similar(cut(rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())))
+    return roots if found.isEmpty() else merged(roots, found)

@@ -11,16 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm import sieve as S
 from larkspan.llm import words as W
-from larkspan.llm.components import components
+from larkspan.llm.linking import connect, distinct_groups, near, parities, possible
 from larkspan.llm.shared import cut
 
 SLACK = 2
-SKETCH = 64
+PARITY_LONGS = 32  # 2048 parity bits for sets of up to some thousands of n-grams
 
 
 def bands(percent: int, most: int) -> np.ndarray:
@@ -82,11 +82,13 @@ class Sets:
             found.append((owner[emit], W.mix(total + W.mix(tag))[emit]))
         return tuple(np.concatenate(p) for p in zip(*found, strict=True))
 
-    def sketches(self, docs: np.ndarray) -> np.ndarray:
-        """Elements in each of SKETCH parts of the domain, 127 at most: the sum of differences is a lower bound of the distance."""
-        n = len(self.size)
-        cell = self.doc * SKETCH + (self.spread >> W.U(58)).astype(np.int64)
-        return np.minimum(np.bincount(cell, minlength=n * SKETCH), 127).reshape(n, SKETCH)[docs].astype(np.int8)
+    def prints(self, i: int) -> bytes:
+        """Fingerprints of one set: a byte for each of about as many parts of the domain as there are elements, each the XOR of its elements' bytes."""
+        own = slice(self.first[i], self.first[i + 1])
+        bits = max(6, int(self.size[i] - 1).bit_length())
+        out = np.zeros(1 << bits, np.uint8)
+        np.bitwise_xor.at(out, (self.spread[own] >> W.U(64 - bits)).astype(np.int64), (self.hash[own] & W.U(255)).astype(np.uint8))
+        return out.tobytes()
 
 
 def _sums(cell: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -106,16 +108,16 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 def classes(docs: DataFrame, ngram: int) -> DataFrame:
-    """Each row (its columns but text) with n, the set's size, and key, its hash; equal sets have equal keys."""
+    """Each row (its columns but text) with n, the set's size, key, its hash, and its parities; equal sets have equal keys."""
     others, kinds = [c for c in docs.columns if c != "text"], dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, sets in _sets(batch.column("text"), ngram):
                 own = batch.slice(x.row, len(x))
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in others), _longs(sets.size), _longs(sets.key)], [*others, "n", "key"])
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in others), _longs(sets.size), _longs(sets.key), parities(sets.doc, sets.spread, len(x), PARITY_LONGS)], [*others, "n", "key", "parity"])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "n long, key long"]))
+    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "n long, key long, parity array<long>"]))
 
 
 def _signed(texts: DataFrame, ngram: int, percent: int) -> DataFrame:
@@ -145,7 +147,7 @@ def _fresh(sets: Sets, seen: set[int], ok: np.ndarray | None = None) -> np.ndarr
 
 
 def _elements(texts: DataFrame, ngram: int, wanted: DataFrame) -> DataFrame:
-    """Rows (key, elems, sketch) of the wanted keys, one for each."""
+    """Rows (key, prints, elems) of the wanted keys; a key can come again from another task, and keys that only pass the sieve can be among them."""
     held = texts.sparkSession.sparkContext.broadcast(S.build(wanted, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,66 +157,71 @@ def _elements(texts: DataFrame, ngram: int, wanted: DataFrame) -> DataFrame:
                 docs = _fresh(sets, seen, S.passes(held.value, sets.key))
                 use = np.zeros(len(sets.size), bool)
                 use[docs] = True
-                flat = sets.hash[use[sets.doc]]
-                elems = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sets.size[docs])]).astype(np.int32)), _longs(flat))
-                sketch = pa.ListArray.from_arrays(pa.array((np.arange(len(docs) + 1) * SKETCH).astype(np.int32)), pa.array(sets.sketches(docs).ravel()))
-                yield pa.RecordBatch.from_arrays([_longs(sets.key[docs]), elems, sketch], ["key", "elems", "sketch"])
+                elems = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sets.size[docs])]).astype(np.int32)), _longs(sets.hash[use[sets.doc]]))
+                yield pa.RecordBatch.from_arrays([_longs(sets.key[docs]), pa.array([sets.prints(i) for i in docs.tolist()], pa.binary()), elems], ["key", "prints", "elems"])
 
-    rows = texts.mapInArrow(run, "key long, elems array<long>, sketch array<tinyint>")
-    return rows.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    return texts.mapInArrow(run, "key long, prints binary, elems array<long>")
 
 
-def _apart(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
+def _folded(raw: bytes, n: int) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8)
+    return x if len(x) == n else np.bitwise_xor.reduce(x.reshape(n, -1), axis=1)
+
+
+def _print_filter(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose fingerprints differ in no more parts than similar sets can: each part that differs takes a differing element."""
+        for batch in batches:
+            ok = []
+            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("pa", "pb", "na", "nb")), strict=True):
+                size = min(len(x), len(y))
+                ok.append(int((_folded(x, size) != _folded(y, size)).sum()) * (100 + percent) <= (n + m) * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def _alike_prints(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) that fingerprints, an eighth of the sets' bytes, don't rule out; a pair with a key that ``sets`` lacks goes."""
+    side = lambda s: sets.select(F.col("key").alias(s), F.col("prints").alias(f"p{s}"), F.size("elems").cast("long").alias(f"n{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb", "na", "nb")
+    return both.mapInArrow(_print_filter(percent), "a long, b long").distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar; sizes and sketches rule out most others before the sets are compared."""
-    side = lambda s: sets.select(F.col("key").alias(s), F.col("elems").alias(f"e{s}"), F.col("sketch").alias(f"s{s}"))
+    """Those pairs (a, b) whose sets are similar; a pair with a key that ``sets`` lacks goes."""
+    side = lambda s: sets.select(F.col("key").alias(s), F.col("elems").alias(f"e{s}"))
     n, m = F.size("ea"), F.size("eb")
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_apart(F.col("sa"), F.col("sb")) * (100 + percent) <= (n + m) * (100 - percent)))
     shared = F.size(F.array_intersect("ea", "eb")).cast("long")
-    return both.where(shared * 100 >= percent * (n + m - shared)).select("a", "b")
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(shared * 100 >= percent * (n + m - shared)).select("a", "b").distinct()
 
 
-def _roots(keys: DataFrame, links: DataFrame) -> DataFrame:
-    """``keys`` (sig, key, ...) with the root of each key by the links so far."""
-    found = components(links)
-    return keys.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+def _keys(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
 
 
-def links(texts: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """Verified pairs (a, b) of set keys that connect just what the whole similarity graph connects.
+def roots(texts: DataFrame, base: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """Rows (node, root) of the keys of sets that the similarity graph links to others.
 
-    1. each key with the least key it shares a signature with; 2. where a signature still holds several components, one member of each with one of the
-    least; 3. where it still does, all pairs across its components. A pair that is already connected is not compared.
+    A signature's keys form a star around the least, and each key is compared with the least star centre that its size and parities allow; the rest is
+    connect()'s. Fingerprints rule out more pairs before the sets, which are many bytes, are shuffled.
     """
     sig = Window.partitionBy("sig")
     signed = _signed(texts, ngram, percent).select("sig", "key", F.min("key").over(sig).alias("least"), F.max("key").over(sig).alias("most"))
     shared = cut(signed.where("least <> most").select("sig", "key", "least").distinct())
-    sets = cut(_elements(texts, ngram, shared.select("key").distinct()))
-    first = shared.where("key <> least").groupBy("key").agg(F.min("least").alias("least"))
-    found = cut(_similar(first.select(F.col("least").alias("a"), F.col("key").alias("b")), sets, percent))
-
-    def open_groups() -> DataFrame:
-        held = _roots(shared.select("sig", "key"), found)
-        ends = held.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        return cut(held.join(ends, "sig"))
-
-    rows = open_groups()
-    one = rows.groupBy("sig", "root", "lo").agg(F.min("key").alias("key"))
-    base = one.where("root = lo").select("sig", F.col("key").alias("a"))
-    more = one.where("root <> lo").select("sig", F.col("key").alias("b")).join(base, "sig").select("a", "b").distinct()
-    found = cut(found.union(_similar(more, sets, percent)))
-
-    rows = open_groups().select("sig", "key", "root").join(sets.select("key", F.size("elems").alias("n"), "sketch"), "key")
-    x, y = rows.alias("x"), rows.alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
-    near = (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_apart(F.col("x.sketch"), F.col("y.sketch")) * (100 + percent) <= (n + m) * (100 - percent))
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root")) & near)
-    rest = rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    return cut(found.union(_similar(rest, sets, percent)))
+    shared = cut(distinct_groups(shared))
+    heads = cut(base.where("n > 0").select("key", "n", "parity").join(shared.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
+    star = shared.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
+    first = cut(possible(star, heads, near("x", "y", percent, PARITY_LONGS)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    held = [cut(_elements(texts, ngram, _keys(first)))]
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        lacking = cut(_keys(pairs).join(held[0].select("key"), "key", "left_anti"))
+        if not lacking.isEmpty():
+            held[0] = held[0].union(cut(_elements(texts, ngram, lacking)))
+        return _similar(cut(_alike_prints(pairs, held[0], percent)), held[0], percent)
+
+    return connect(shared, heads, near("x", "y", percent, PARITY_LONGS), similar, first)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -228,7 +235,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     carried = list(dict.fromkeys((id_col, *keep)))
     frame = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carried)], F.col(f"`{text_col}`").alias("text"))
     base = cut(classes(frame, ngram))
-    root = components(links(frame.select("text"), ngram, percent)).withColumnRenamed("node", "key")
+    root = roots(frame.select("text"), base, ngram, percent).withColumnRenamed("node", "key")
     least = base.where("n > 0").groupBy("key").agg(F.min("__c0").alias("first")).join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
     heads = least.groupBy("root").agg(F.min("first").alias("component"))
     whole = least.join(heads, "root").select("key", "component")
