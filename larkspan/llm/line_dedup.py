@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from larkspan.llm import sieve as S
 from larkspan.llm import words as W
-from larkspan.llm.components import components
-from larkspan.llm.linking import connect
+from larkspan.llm.linking import connect, distinct_groups, near, parities
 from larkspan.llm.shared import cut
 
 SHINGLE, BANDS, ROWS = 8, 8, 3  # a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**3)**8 = 0.997
 PERCENT = 80
+PARITY_LONGS = 32  # 2048 parity bits for sets of up to some thousands of shingles
 LEAST = 24  # characters of a line that is looked at
 
 
@@ -57,10 +57,28 @@ class Lines:
         """Line (place in ``lines``) and hash of each run of k characters within the chosen lines; each has k characters at least."""
         place = np.flatnonzero(self.lead)
         ends = np.append(place, len(self.data))
-        a, b = np.searchsorted(place, self.begin[lines]), np.searchsorted(place, self.stop[lines])
-        n = b - a - k + 1
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-        return np.repeat(np.arange(len(lines)), n), W.spans_hash(self.sums, ends[at], ends[at + k], W.BYTES)
+        n = len(place) - k + 1
+        if n <= 0 or not len(lines):
+            return np.zeros(0, np.int64), np.zeros(0, W.U)
+        number = np.full(len(self.begin), -1)
+        number[lines] = np.arange(len(lines))
+        of = self._line_of(place, number)
+        h = self.sums[ends[k : k + n]]
+        h -= self.sums[ends[:n]]
+        h *= W.BYTES.of(len(self.sums))[1][ends[:n]]
+        h ^= h >> W.U(32)
+        h *= W.U(0x9FB21C651E98DF25)
+        h ^= h >> W.U(29)
+        ok = (of[:n] >= 0) & (of[:n] == of[k - 1 : k - 1 + n])
+        return of[:n][ok], h[ok]
+
+    def _line_of(self, place: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Number of the line that each character is in; -1 for line ends and lines without one."""
+        first = np.searchsorted(place, self.begin)
+        chars = np.diff(np.append(first, len(place)))
+        of = np.repeat(number, chars)
+        of[self.data[place] == 10] = -1
+        return of
 
     def text(self, line: int) -> str:
         return self.data[self.begin[line] : self.stop[line]].tobytes().decode()
@@ -74,9 +92,10 @@ def _lines(column: pa.Array) -> Iterator[Lines]:
 
 def signature(doc: np.ndarray, h: np.ndarray, n: int, bins: int) -> np.ndarray:
     """n x bins one-permutation MinHash; an empty bin takes a full one's value, found by hashing (optimal densification)."""
-    cell = doc * bins + ((h >> W.U(32)) * W.U(bins) >> W.U(32)).astype(np.int64)
+    cell = ((h >> W.U(48)) * W.U(bins) >> W.U(16)).view(np.int64)
+    cell += doc * bins
     least = np.full(n * bins, np.iinfo(np.uint64).max, W.U)
-    np.minimum.at(least, cell, W.mix(h))
+    np.minimum.at(least, cell, h)  # the bin is of the high bits, which leaves the order within it even
     out = least.reshape(n, bins)
     empty = out == np.iinfo(np.uint64).max
     row, col = np.nonzero(empty)
@@ -127,7 +146,7 @@ def _signed(frame: DataFrame, least: int) -> DataFrame:
 
 
 def _texts(frame: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """Rows (key, line) of the wanted line keys, one for each."""
+    """Rows (key, line, n, parity) of the wanted line keys, one for each: the line, how many distinct shingles it has, and their parities."""
     held = frame.sparkSession.sparkContext.broadcast(S.build(wanted, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,9 +160,20 @@ def _texts(frame: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
                         seen.add(key)
                         new.append(i)
                 if new:
-                    yield pa.RecordBatch.from_arrays([_longs(x.key[new]), pa.array([x.text(i) for i in new])], ["key", "line"])
+                    doc, h = _distinct(*x.shingles(np.array(new), SHINGLE))
+                    yield pa.RecordBatch.from_arrays([_longs(x.key[new]), pa.array([x.text(i) for i in new]), pa.array(np.bincount(doc, minlength=len(new)).astype(np.int64)), parities(doc, h, len(new), PARITY_LONGS)], ["key", "line", "n", "parity"])
 
-    return frame.mapInArrow(run, "key long, line string").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    return frame.mapInArrow(run, "key long, line string, n long, parity array<long>").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+
+
+def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (line, hash) in order; line and hash share 64 bits for that, so that one plain sort does."""
+    bits = W.U(max(1, int(doc.max(initial=0)).bit_length()))
+    key = np.sort((doc.astype(W.U) << (W.U(64) - bits)) | (h >> bits))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    return (key >> (W.U(64) - bits)).astype(np.int64), key << bits
 
 
 def _verified(percent: int):
@@ -158,12 +188,7 @@ def _verified(percent: int):
                     flat = data.copy()
                     flat[flat == 10] = 32  # lines have no line ends
                     x = Lines(0, part.num_rows, flat, offset)
-                    doc, h = x.shingles(np.arange(part.num_rows), SHINGLE)
-                    order = np.lexsort((h, doc))
-                    doc, h = doc[order], h[order]
-                    new = np.ones(len(h), bool)
-                    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                    sets.append((doc[new], h[new]))
+                    sets.append(_distinct(*x.shingles(np.arange(part.num_rows), SHINGLE)))
                 (da, ha), (db, hb) = sets
                 doc, h = np.concatenate([da, db]), np.concatenate([ha, hb])
                 order = np.lexsort((h, doc))
@@ -184,14 +209,14 @@ def removed(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT,
     bands = lines.where("bands is not null").select("key", F.explode("bands").alias("sig"))
     ends = bands.select("sig", "key", F.min("key").over(sig).alias("lo"), F.max("key").over(sig).alias("hi"))
     shared = cut(ends.where("lo <> hi").select("sig", "key").distinct())
+    shared = cut(distinct_groups(shared))
     texts = cut(_texts(frame, shared.select("key").distinct(), least))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        n = lambda c: F.char_length(c) - (SHINGLE - 1)
-        both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("lb")), "b")
-        return both.select("a", "b", "la", "lb").mapInArrow(_verified(percent), "a long, b long")
+        side = lambda s: texts.select(F.col("key").alias(s), F.col("line").alias(f"l{s}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "lb").mapInArrow(_verified(percent), "a long, b long")
 
-    roots = components(connect(shared, similar)).withColumnRenamed("node", "key")
+    roots = connect(shared, texts.select("key", "n", "parity"), near("x", "y", percent, PARITY_LONGS), similar).withColumnRenamed("node", "key")
     # before anything is joined, each key's first place and count
     place = F.struct(F.col("id"), F.col("no"), F.col("tkey"))
     keys = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(roots, "key", "left")

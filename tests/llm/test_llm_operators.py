@@ -189,7 +189,9 @@ def test_signatures_estimate_similarity():
     assert abs((sig[0] == sig[1]).mean() - 320 / 480) < 0.1
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("part", [1 << 18, 5])  # at 5, many parts are joined by stars
+def test_components_of_random_graphs(spark, part, monkeypatch):
+    monkeypatch.setattr(components, "PART", part)
     rnd = random.Random(5)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(35)] + [(7, 7), (None, 3)]
     root = _groups(60, [e for e in edges if e[0] is not None])
@@ -353,7 +355,9 @@ def test_fm_index_finds_what_a_scan_finds():
         assert got == {(a, i) for a in range(n) for i, w in enumerate(runs[a]) if any(owner[b] < owner[a] and w in runs[b] for b in range(n))}
 
 
-def test_substring_dedup(docs, rows, empty):
+@pytest.mark.parametrize("most", [6000, 1])  # at 1, anchors are too many for a shard
+def test_substring_dedup(docs, rows, empty, most, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_CONTEXTS", most)
     first = {}
     for i, t, *_ in rows:
         w = BLANK.findall(t or "")
