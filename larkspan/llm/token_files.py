@@ -20,7 +20,7 @@ from larkspan.llm import pfor
 from larkspan.llm import words as W
 from larkspan.llm.shared import cut, partitions, shared_dir
 
-CACHE = 300_000  # words that each of two generations of a worker's memory holds
+CACHE = 150_000  # words that each of two generations of a worker's memory holds
 # letters whose lower case and composition no neighbour changes, and marks that stand apart from them
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
 
@@ -97,7 +97,7 @@ class Encoder:
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each slice of a column of texts: its first row, the ids end to end, and how many each text has."""
         data, offset = W.buffers(column)
-        for lo, hi in W.cuts(offset, 4 << 20 if self.by_word else 1 << 20):
+        for lo, hi in W.cuts(offset, 2 << 20 if self.by_word else 1 << 20):
             if not self.by_word:
                 found = self._library(column.slice(lo, hi - lo).fill_null("").to_pylist())
                 yield lo, np.frombuffer(b"".join(found), "<u4"), np.array([len(v) // 4 for v in found], np.int64)
@@ -214,6 +214,8 @@ def read(spark: SparkSession, directory: str, manifest: DataFrame, ids: bool = F
                     lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got.astype(np.int64)))] if ids else []
                     yield pa.RecordBatch.from_arrays([*cols, *lists], ["part", "id", "at", "n_tokens", "ids_crc32", *(n for n, _ in more)])
 
+    if manifest.isEmpty():  # an empty table has no tasks, so there is no folder
+        return spark.createDataFrame([], ", ".join(["id long, start long, n_tokens long, ids_crc32 long", *(f"{n} {k}" for n, k in more)]))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.lpf").load(directory).select("path", "content")
     rows = files.mapInArrow(run, ", ".join(["part int, id long, at long, n_tokens long, ids_crc32 long", *(f"{n} {k}" for n, k in more)]))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
