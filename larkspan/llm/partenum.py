@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm import sieve as S
@@ -224,6 +224,22 @@ def roots(texts: DataFrame, base: DataFrame, ngram: int, percent: int) -> DataFr
     return connect(shared, heads, near("x", "y", percent, PARITY_LONGS), similar, first)
 
 
+def _told(docs: DataFrame, id_col: str, text_col: str, ngram: int, percent: int, keep: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """Each input row (carried columns as __c0, __c1, ...) with n, __hash of the text and, unless its set is empty, root, the component's least key, and head,
+    the component's least place; and the carried columns' names. A place is (null id or not, id, hash), so null ids come last."""
+    carried = list(dict.fromkeys((id_col, *keep)))
+    frame = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carried)], F.xxhash64(F.col(f"`{text_col}`")).alias("__hash"), F.col(f"`{text_col}`").alias("text"))
+    base = cut(classes(frame, ngram))
+    root = roots(frame.select("text"), base, ngram, percent).withColumnRenamed("node", "key")
+    least = base.where("n > 0").groupBy("key").agg(F.min(_place()).alias("first")).join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    heads = least.groupBy("root").agg(F.min("first").alias("head"))
+    return base.join(least.join(heads, "root").select("key", "root", "head"), "key", "left"), carried
+
+
+def _place() -> Column:
+    return F.struct(F.isnull("__c0").alias("none"), F.col("__c0").alias("id"), F.col("__hash").alias("hash"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each input row: id_col, n_shingles, component_id (the least id reachable by links, its own included), columns of ``keep``.
 
@@ -232,20 +248,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     its own id. Equal sets are one class, compared once; rows with equal ids and different texts are different texts. Null ids are
     passed over for component_id unless a component has no other. An empty table gives an empty one. Hash sets stand for the texts' sets (64 bits).
     """
-    carried = list(dict.fromkeys((id_col, *keep)))
-    frame = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carried)], F.col(f"`{text_col}`").alias("text"))
-    base = cut(classes(frame, ngram))
-    root = roots(frame.select("text"), base, ngram, percent).withColumnRenamed("node", "key")
-    least = base.where("n > 0").groupBy("key").agg(F.min("__c0").alias("first")).join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    heads = least.groupBy("root").agg(F.min("first").alias("component"))
-    whole = least.join(heads, "root").select("key", "component")
-    out = base.join(whole, "key", "left")
-    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carried)], F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("__c0")).alias("component_id"))
+    out, carried = _told(docs, id_col, text_col, ngram, percent, keep)
+    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carried)], F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("head.id")).otherwise(F.col("__c0")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, with their own columns, that are the first of their component; of rows with the first id, one stays."""
+    """The rows of ``docs``, with their own columns: of each component the first by (id, text hash), null ids last, and every row whose set is empty."""
     names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
-    told = jaccard_components(docs.toDF(*names.values()), names[id_col], names[text_col], ngram, percent, tuple(names.values()))
-    first = told.where(F.col(names[id_col]).eqNullSafe(F.col("component_id"))).withColumn("__n", F.row_number().over(Window.partitionBy(names[id_col]).orderBy(F.desc("n_shingles"), F.xxhash64(names[text_col]))))
-    return first.where("__n = 1").select(*names.values()).toDF(*docs.columns)
+    told, carried = _told(docs.toDF(*names.values()), names[id_col], names[text_col], ngram, percent, tuple(names.values()))
+    own = [F.col(f"__c{carried.index(n)}").alias(c) for c, n in names.items()]
+    # rows of one place are equal in id and text: one of them stays, and a component is only gathered by then
+    first = told.where((F.col("n") > 0) & _place().eqNullSafe(F.col("head"))).dropDuplicates(["root"])
+    return first.select(*own).union(told.where("n = 0").select(*own))

@@ -319,6 +319,20 @@ def test_jaccard_components(docs, rows, empty, n, percent):
         assert partenum.jaccard_components(empty).count() == 0
 
 
+def test_one_row_stays_of_each_component(spark):
+    rnd = random.Random(6)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = lambda t: t + " more"
+    given = [(None, a), (None, b), (None, near(b)), (None, b), (1, c), (1, d), (1, d), (2, near(c)), (None, near(d)), (3, near(e)), (2, e), (None, None), (None, ""), (4, " "), (4, "")]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in ((t or "").split() for _, t in given)]
+    root = _groups(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    expected = Counter(min((given[i] for i in range(len(given)) if root[i] == g), key=lambda r: (r[0] is None, r[0] or 0)) for g in set(root) if g != 1)
+    got = Counter((r.doc_id, r.text) for r in partenum.keep_first(spark.createDataFrame(given, "doc_id long, text string")).collect())
+    assert sum(got.pop((None, t), 0) for t in (b, near(b))) == 1  # of this component no row has an id: the text hash decides
+    assert got == expected
+
+
 def test_similar_sets_share_a_signature():
     import pyarrow as pa
 
