@@ -17,7 +17,7 @@ from larkspan.llm.shared import cut
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # 18 characters or more
 HEX = r"[0-9a-f]{16,}"
-WEAK = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])"
+WEAK = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"(?:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s\"'<>]+|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.amazonaws\.com"
 IDENT = r"""(?i)(?:client_?id|access_?key_?id|user(?:name)?|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
 
@@ -98,6 +98,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     extra = linked(held, scope).withColumnsRenamed({"__id": "__i2", "__text": "__t2"})
     out = held.join(extra, F.col("__id").eqNullSafe(F.col("__i2")) & (F.col("__text") == F.col("__t2")), "left")
     base = F.concat(_kind(F.col("assign"), "assign"), _kind(F.col("access"), "access"), _kind(F.col("hex"), "hex"))
-    more = F.filter(F.coalesce("linked", F.array().cast("array<struct<start:int,stop:int>>")), lambda w: ~F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
+    more = F.filter(F.coalesce("linked", F.array().cast("array<struct<start:int,stop:int>>")), lambda w: ~F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] <= w["start"]) & (w["stop"] <= b["stop"])))
     counted = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return out.select(F.col("__id").alias(id_col), *counted, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.concat(base, _kind(more, "linked"))).alias("spans"), F.size(more).cast("long").alias("n_linked"))
