@@ -22,7 +22,7 @@ from larkspan.llm.shared import cut
 SHINGLE, BANDS, ROWS = 8, 8, 3  # a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**3)**8 = 0.997
 PERCENT = 80
 PARITY_LONGS = 32  # 2048 parity bits for sets of up to some thousands of shingles
-LEAST = 24  # characters of a line that is looked at
+LEAST = 24  # characters of a line that is looked at, unless all lines with a word are
 
 
 class Lines:
@@ -80,6 +80,13 @@ class Lines:
         of[self.data[place] == 10] = -1
         return of
 
+    def chosen(self, least: int | None) -> np.ndarray:
+        """Whether each line is looked at: it has ``least`` characters or, at None, one that is not blank."""
+        if least is not None:
+            return self.chars >= least
+        word = np.concatenate([[0], np.cumsum((self.data != 32) & ((self.data < 9) | (self.data > 13)))])
+        return word[self.stop] > word[self.begin]
+
     def text(self, line: int) -> str:
         return self.data[self.begin[line] : self.stop[line]].tobytes().decode()
 
@@ -113,21 +120,21 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def _signed(frame: DataFrame, least: int) -> DataFrame:
-    """Rows (id, tkey, no, key, bands) of lines of ``least`` characters; bands is null for a line that the task has had before."""
+def _signed(frame: DataFrame, least: int | None) -> DataFrame:
+    """Rows (id, tkey, no, key, bands) of the chosen lines; bands is null for a line that the task has had before, or that has no shingle and so is like equal ones only."""
     kind = dict(frame.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for x in _lines(batch.column("text")):
-                use = np.flatnonzero(x.chars >= least)
+                use = np.flatnonzero(x.chosen(least))
                 if not len(use):
                     continue
                 keys = x.key[use].tolist()
-                fresh = np.zeros(len(use), bool)
+                fresh, long = np.zeros(len(use), bool), (x.chars[use] >= SHINGLE).tolist()
                 for i, key in enumerate(keys):
-                    if key not in seen:
+                    if long[i] and key not in seen:
                         seen.add(key)
                         fresh[i] = True
                 new = use[fresh]
@@ -145,7 +152,7 @@ def _signed(frame: DataFrame, least: int) -> DataFrame:
     return frame.mapInArrow(run, f"id {kind}, tkey long, no int, key long, bands array<long>")
 
 
-def _texts(frame: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+def _texts(frame: DataFrame, wanted: DataFrame, least: int | None) -> DataFrame:
     """Rows (key, line, n, parity) of the wanted line keys, one for each: the line, how many distinct shingles it has, and their parities."""
     held = frame.sparkSession.sparkContext.broadcast(S.build(wanted, "key"))
 
@@ -153,7 +160,7 @@ def _texts(frame: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for x in _lines(batch.column("text")):
-                ok = np.flatnonzero((x.chars >= least) & S.passes(held.value, x.key))
+                ok = np.flatnonzero(x.chosen(least) & (x.chars >= SHINGLE) & S.passes(held.value, x.key))
                 new = []
                 for i in ok.tolist():
                     if (key := int(x.key[i])) not in seen:
@@ -201,7 +208,7 @@ def _verified(percent: int):
     return run
 
 
-def removed(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def removed(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, least: int | None = LEAST) -> tuple[DataFrame, DataFrame]:
     """Rows (id, tkey, nos) of the line numbers that go from a text, and rows (key) of all lines of groups of more than one."""
     frame = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     lines = cut(_signed(frame, least))
@@ -234,11 +241,11 @@ def _left(text: str, nos: list[int] | None) -> list[str]:
     return [line for i, line in enumerate(lines) if i not in gone] if gone else lines
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least: int = LEAST, keep: tuple[str, ...] = (), text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least: int | None = LEAST, keep: tuple[str, ...] = (), text: bool = False) -> DataFrame:
     """One row for each input row: id_col, n_lines, n_removed, kept_sha256 of the kept lines joined by line ends (and kept_text if ``text``).
 
     Two lines are alike when 100 * |intersection| >= percent * |union| of their sets of SHINGLE-character runs; equal lines are. Lines of fewer than ``least``
-    characters are left alone. Of each component the line that comes first by (id, number, text) stays, wherever else it goes. A null text is one empty line. Rows with equal ids
+    characters are left alone; at None, blank lines are, and a line of fewer than SHINGLE characters is like equal ones only. Of each component the line that comes first by (id, number, text) stays, wherever else it goes. A null text is one empty line. Rows with equal ids
     and texts are one place and keep or lose the same lines; rows with equal ids and different texts are kept apart; a null id comes first.
     An empty table gives an empty one. Columns of ``keep`` are carried.
     """
@@ -295,13 +302,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, carried, strict=True)], "n_lines", "n_removed", F.col("sha").alias("kept_sha256"), *([F.col("kept").alias("kept_text")] if text else []))
 
 
-def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least: int = LEAST) -> DataFrame:
-    """``docs`` with their own columns, each text cut down to the lines it keeps; a row that loses every line goes, and n_chars follows the text."""
+def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least: int | None = LEAST) -> DataFrame:
+    """``docs`` with their own columns, each text cut down to the lines it keeps; a row that loses every line with a word goes, and n_chars follows the text."""
     names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
     inner = docs.toDF(*names.values()).withColumn("__none", F.col(names[text_col]).isNull())
     others = tuple(n for c, n in names.items() if c != text_col)
     told = dedup(inner, names[id_col], names[text_col], percent, least, (*others, "__none"), text=True)
-    told = told.where("n_removed = 0 or trim(kept_text) <> ''")
+    told = told.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     made = {text_col: F.when(~F.col("__none"), F.col("kept_text"))}
     if "n_chars" in names:
         made["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col(names["n_chars"]))

@@ -7,4 +7,4 @@ from larkspan.llm.shared import documents
 
 @query("op5_fuzzy_lines")
 def op5_fuzzy_lines(spark, sf_dir):
-    return line_dedup.dedup(documents(spark, sf_dir))
+    return line_dedup.dedup(documents(spark, sf_dir), least=None)

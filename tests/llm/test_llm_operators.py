@@ -181,6 +181,32 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_short_lines_are_deduped(spark, tmp_path):
+    import corpus_pipeline
+    from larkspan.llm.queries import op05_lines
+
+    rnd = random.Random(8)
+    pool = ["Les.", "é", "x", "All rights reserved.", "Of, edti oner.", "eightch8", "-" * 8, "-" * 11, "", "  ", " " * 30, "a line of some 23 chars", "The same line of some more characters, with an end", "The same line of some more characters, with an end."]
+    given = [(i, "\n".join([*rnd.choices(pool, k=9), f"own line number {i * 7919}"])) for i in range(25)] + [(25, "Les.\nx"), (None, "Les.\n\nx"), (26, None)]
+    places = defaultdict(list)
+    for i, t in given:
+        for n, line in enumerate((t or "").split("\n")):
+            if BLANK.search(line):
+                places[line].append((-1 if i is None else i, n))
+    found = list(places)
+    sets = [{x[j : j + 8] for j in range(len(x) - 7)} or {x} for x in found]
+    root = _groups(len(found), [(a, b) for a in range(len(found)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    gone = set()
+    for g in set(root):
+        gone |= set(sorted(p for i, x in enumerate(found) if root[i] == g for p in places[x])[1:])
+    kept = {i: "\n".join(x for n, x in enumerate((t or "").split("\n")) if (-1 if i is None else i, n) not in gone) for i, t in given}
+    spark.createDataFrame(given, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op05_lines.op5_fuzzy_lines(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.kept_sha256 for r in got} == {i: sha(k) for i, k in kept.items()} and len(got) == len(given)
+    left = corpus_pipeline.lines(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in left} == {i: None if t is None else kept[i] for i, t in given if kept[i] == (t or "") or kept[i].strip()}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 2**63, 400).astype(np.uint64), rng.integers(0, 2**63, 400).astype(np.uint64)
