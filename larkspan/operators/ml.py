@@ -41,9 +41,9 @@ def silhouettes(df: DataFrame, array: str, ks: Sequence[int], method: str = "kme
 
 
 def linkage_labels(x: np.ndarray, k: int) -> np.ndarray:
-    """Average-linkage clusters of a few hundred rows, labelled by first appearance."""
+    """Average-linkage clusters of up to some thousands of rows, labelled by first appearance."""
     n = len(x)
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0))
+    d = np.sqrt(np.stack([((x - row) ** 2).sum(-1) for row in x]))  # the distances are all that is held: 8 n * n bytes
     np.fill_diagonal(d, np.inf)
     size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
     for _ in range(n - k):

@@ -230,8 +230,7 @@ def gaussian_mixture(spark, sf):
 
 @query("consensus_pac")
 def consensus_pac(spark, sf):
-    e = table(spark, sf, "embeddings").where("vec_id < 60")
-    return ml.ambiguity(ml.consensus(e, "vec_id", "embedding", 3, 20))
+    return ml.ambiguity(ml.consensus(table(spark, sf, "embeddings"), "vec_id", "embedding", 3, 20))
 
 
 @query("em_fractions")

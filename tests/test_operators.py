@@ -179,3 +179,34 @@ def test_streamed_counts_equal_batch_counts(spark, tmp_path):
     stream_counts(spark, str(tmp_path / "in"), events.schema, str(tmp_path / "out"), str(tmp_path / "cp"), "0 seconds")
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got and got <= {tuple(r) for r in hourly_counts(events).collect()}
+
+
+def test_consensus_takes_every_vector(spark, tmp_path):
+    import numpy as np
+
+    from larkspan.plans.registry import QUERIES
+
+    rnd = np.random.default_rng(4)
+    x = {i: [float(v) for v in rnd.normal(3 * (i % 2) if i < 60 else 0, 1, 3)] for i in range(80)}
+    df = spark.createDataFrame(list(x.items()), "vec_id long, embedding array<double>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    chosen = df.selectExpr("vec_id", "explode(sequence(1, 20)) rep").where("pmod(xxhash64(1, rep, vec_id), 1000) < 800").collect()
+    same, both = {}, {}
+    for rep in range(1, 21):
+        groups = [[i] for i in sorted(r.vec_id for r in chosen if r.rep == rep)]
+        far = lambda g, h: sum(np.linalg.norm(np.subtract(x[a], x[b])) for a in g for b in h) / (len(g) * len(h))
+        d = {(p, q): far(groups[p], groups[q]) for q in range(len(groups)) for p in range(q)}
+        alive = set(range(len(groups)))
+        while len(alive) > 3:
+            p, q = min(d, key=d.get)
+            groups[p] = groups[p] + groups[q]
+            alive.remove(q)
+            d = {k: v for k, v in d.items() if not {p, q} & set(k)} | {(min(p, r), max(p, r)): far(groups[p], groups[r]) for r in alive if r != p}
+        of = {i: g for g in alive for i in groups[g]}
+        for a in of:
+            for b in of:
+                if a < b:
+                    both[a, b] = both.get((a, b), 0) + 1
+                    same[a, b] = same.get((a, b), 0) + (of[a] == of[b])
+    expected = np.mean([0.1 < same[k] / n < 0.9 for k, n in both.items()])
+    assert abs(QUERIES["consensus_pac"](spark, str(tmp_path)).first().pac - expected) < 1e-9
