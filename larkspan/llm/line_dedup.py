@@ -11,18 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm import sieve as S
 from larkspan.llm import words as W
-from larkspan.llm.linking import connect, distinct_groups, near, parities
-from larkspan.llm.shared import cut
+from larkspan.llm.linking import PARITY, connect, distinct_groups, near, open_groups, parities
+from larkspan.llm.shared import cut, tidy
 
 SHINGLE, BANDS, ROWS = 8, 8, 3  # a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**3)**8 = 0.997
 PERCENT = 80
-PARITY_LONGS = 32  # 2048 parity bits for sets of up to some thousands of shingles
-LEAST = 24  # characters of a line that is looked at, unless all lines with a word are
+RECENT_BITS = 18  # keys that a task remembers, so that a line repeated soon again is not signed again
 
 
 class Lines:
@@ -80,15 +79,16 @@ class Lines:
         of[self.data[place] == 10] = -1
         return of
 
-    def chosen(self, least: int | None) -> np.ndarray:
-        """Whether each line is looked at: it has ``least`` characters or, at None, one that is not blank."""
-        if least is not None:
-            return self.chars >= least
+    def chosen(self) -> np.ndarray:
+        """Whether each line has a word."""
         word = np.concatenate([[0], np.cumsum((self.data != 32) & ((self.data < 9) | (self.data > 13)))])
         return word[self.stop] > word[self.begin]
 
-    def text(self, line: int) -> str:
-        return self.data[self.begin[line] : self.stop[line]].tobytes().decode()
+    def texts(self, lines: np.ndarray) -> pa.Array:
+        size = self.stop[lines] - self.begin[lines]
+        offset = np.concatenate([[0], np.cumsum(size)])
+        flat = np.repeat(self.begin[lines] - offset[:-1], size) + np.arange(offset[-1])
+        return pa.StringArray.from_buffers(len(lines), pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(self.data[flat].tobytes()))
 
 
 def _lines(column: pa.Array) -> Iterator[Lines]:
@@ -97,15 +97,30 @@ def _lines(column: pa.Array) -> Iterator[Lines]:
         yield Lines(lo, hi, data, offset)
 
 
+class Recent:
+    """A table of bounded size of keys that were seen: forgets a key where another takes its place."""
+
+    def __init__(self):
+        self.slot = np.zeros(1 << RECENT_BITS, W.U)
+
+    def new(self, key: np.ndarray) -> np.ndarray:
+        """Places of keys that are not remembered, each key's first only; remembers them."""
+        at = np.unique(key, return_index=True)[1]
+        place = (key[at] >> W.U(64 - RECENT_BITS)).astype(np.int64)
+        at, place = at[self.slot[place] != key[at]], place[self.slot[place] != key[at]]
+        self.slot[place] = key[at]
+        return np.sort(at)
+
+
 def signature(doc: np.ndarray, h: np.ndarray, n: int, bins: int) -> np.ndarray:
-    """n x bins one-permutation MinHash; an empty bin takes a full one's value, found by hashing (optimal densification)."""
+    """n x bins one-permutation MinHash; an empty bin takes a full one's value, found by hashing (optimal densification). A set without elements gets the greatest value in every bin."""
     cell = ((h >> W.U(48)) * W.U(bins) >> W.U(16)).view(np.int64)
     cell += doc * bins
     least = np.full(n * bins, np.iinfo(np.uint64).max, W.U)
     np.minimum.at(least, cell, h)  # the bin is of the high bits, which leaves the order within it even
     out = least.reshape(n, bins)
     empty = out == np.iinfo(np.uint64).max
-    row, col = np.nonzero(empty)
+    row, col = np.nonzero(empty & ~empty.all(axis=1, keepdims=True))
     tries = 0
     while len(row):
         tries += 1
@@ -120,24 +135,22 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def _signed(frame: DataFrame, least: int | None) -> DataFrame:
-    """Rows (id, tkey, no, key, bands) of the chosen lines; bands is null for a line that the task has had before, or that has no shingle and so is like equal ones only."""
+def _signed(frame: DataFrame) -> DataFrame:
+    """Rows (id, tkey, no, key, bands) of the lines with a word; bands is null for a line that the task had lately, or that has no shingle and so is like equal ones only."""
     kind = dict(frame.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        recent = Recent()
         for batch in batches:
             for x in _lines(batch.column("text")):
-                use = np.flatnonzero(x.chosen(least))
+                use = np.flatnonzero(x.chosen())
                 if not len(use):
                     continue
-                keys = x.key[use].tolist()
-                fresh, long = np.zeros(len(use), bool), (x.chars[use] >= SHINGLE).tolist()
-                for i, key in enumerate(keys):
-                    if long[i] and key not in seen:
-                        seen.add(key)
-                        fresh[i] = True
-                new = use[fresh]
+                long = np.flatnonzero(x.chars[use] >= SHINGLE)
+                at = long[recent.new(x.key[use[long]])]
+                new = use[at]
+                fresh = np.zeros(len(use), bool)
+                fresh[at] = True
                 sig = signature(*x.shingles(new, SHINGLE), len(new), BANDS * ROWS) if len(new) else np.zeros((0, BANDS * ROWS), W.U)
                 band = np.zeros((len(new), BANDS), W.U)
                 for r in range(ROWS):
@@ -149,28 +162,26 @@ def _signed(frame: DataFrame, least: int | None) -> DataFrame:
                 ids = batch.column("id").take(pa.array(x.doc[use] + x.lo))
                 yield pa.RecordBatch.from_arrays([ids, _longs(text[x.doc[use]]), pa.array(x.number[use].astype(np.int32)), _longs(x.key[use]), lists], ["id", "tkey", "no", "key", "bands"])
 
-    return frame.mapInArrow(run, f"id {kind}, tkey long, no int, key long, bands array<long>")
+    return frame.mapInArrow(tidy(run), f"id {kind}, tkey long, no int, key long, bands array<long>")
 
 
-def _texts(frame: DataFrame, wanted: DataFrame, least: int | None) -> DataFrame:
-    """Rows (key, line, n, parity) of the wanted line keys, one for each: the line, how many distinct shingles it has, and their parities."""
+def _texts(frame: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (key, line, n, parities) of the wanted line keys, one for each: the line, how many distinct shingles it has, and their parities."""
     held = frame.sparkSession.sparkContext.broadcast(S.build(wanted, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        recent = Recent()
         for batch in batches:
             for x in _lines(batch.column("text")):
-                ok = np.flatnonzero(x.chosen(least) & (x.chars >= SHINGLE) & S.passes(held.value, x.key))
-                new = []
-                for i in ok.tolist():
-                    if (key := int(x.key[i])) not in seen:
-                        seen.add(key)
-                        new.append(i)
-                if new:
-                    doc, h = _distinct(*x.shingles(np.array(new), SHINGLE))
-                    yield pa.RecordBatch.from_arrays([_longs(x.key[new]), pa.array([x.text(i) for i in new]), pa.array(np.bincount(doc, minlength=len(new)).astype(np.int64)), parities(doc, h, len(new), PARITY_LONGS)], ["key", "line", "n", "parity"])
+                ok = np.flatnonzero((x.chars >= SHINGLE) & x.chosen())
+                ok = ok[S.passes(held.value, x.key[ok])]
+                new = ok[recent.new(x.key[ok])]
+                if len(new):
+                    doc, h = _distinct(*x.shingles(new, SHINGLE))
+                    yield pa.RecordBatch.from_arrays([_longs(x.key[new]), x.texts(new), pa.array(np.bincount(doc, minlength=len(new)).astype(np.int64)), *parities(doc, h, len(new))], ["key", "line", "n", *PARITY])
 
-    return frame.mapInArrow(run, "key long, line string, n long, parity array<long>").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    kinds = ", ".join(["key long, line string, n long", *(f"{p} long" for p in PARITY)])
+    return frame.mapInArrow(tidy(run), kinds).join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,22 +219,20 @@ def _verified(percent: int):
     return run
 
 
-def removed(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, least: int | None = LEAST) -> tuple[DataFrame, DataFrame]:
+def removed(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Rows (id, tkey, nos) of the line numbers that go from a text, and rows (key) of all lines of groups of more than one."""
     frame = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    lines = cut(_signed(frame, least))
-    sig = Window.partitionBy("sig")
+    lines = cut(_signed(frame))
     bands = lines.where("bands is not null").select("key", F.explode("bands").alias("sig"))
-    ends = bands.select("sig", "key", F.min("key").over(sig).alias("lo"), F.max("key").over(sig).alias("hi"))
-    shared = cut(ends.where("lo <> hi").select("sig", "key").distinct())
+    shared = cut(open_groups(bands).distinct())
     shared = cut(distinct_groups(shared))
-    texts = cut(_texts(frame, shared.select("key").distinct(), least))
+    texts = cut(_texts(frame, shared.select("key").distinct()))
 
     def similar(pairs: DataFrame) -> DataFrame:
         side = lambda s: texts.select(F.col("key").alias(s), F.col("line").alias(f"l{s}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "lb").mapInArrow(_verified(percent), "a long, b long")
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "lb").mapInArrow(tidy(_verified(percent)), "a long, b long")
 
-    roots = connect(shared, texts.select("key", "n", "parity"), near("x", "y", percent, PARITY_LONGS), similar).withColumnRenamed("node", "key")
+    roots = connect(shared, texts.select("key", "n", *PARITY), near("x", "y", percent), similar).withColumnRenamed("node", "key")
     # before anything is joined, each key's first place and count
     place = F.struct(F.col("id"), F.col("no"), F.col("tkey"))
     keys = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(roots, "key", "left")
@@ -241,15 +250,15 @@ def _left(text: str, nos: list[int] | None) -> list[str]:
     return [line for i, line in enumerate(lines) if i not in gone] if gone else lines
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least: int | None = LEAST, keep: tuple[str, ...] = (), text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, keep: tuple[str, ...] = (), text: bool = False) -> DataFrame:
     """One row for each input row: id_col, n_lines, n_removed, kept_sha256 of the kept lines joined by line ends (and kept_text if ``text``).
 
-    Two lines are alike when 100 * |intersection| >= percent * |union| of their sets of SHINGLE-character runs; equal lines are. Lines of fewer than ``least``
-    characters are left alone; at None, blank lines are, and a line of fewer than SHINGLE characters is like equal ones only. Of each component the line that comes first by (id, number, text) stays, wherever else it goes. A null text is one empty line. Rows with equal ids
+    Two lines are alike when 100 * |intersection| >= percent * |union| of their sets of SHINGLE-character runs; equal lines are. Blank lines
+    are left alone, and a line of fewer than SHINGLE characters is like equal ones only. Of each component the line that comes first by (id, number, text) stays, wherever else it goes. A null text is one empty line. Rows with equal ids
     and texts are one place and keep or lose the same lines; rows with equal ids and different texts are kept apart; a null id comes first.
     An empty table gives an empty one. Columns of ``keep`` are carried.
     """
-    gone, _ = removed(docs, id_col, text_col, percent, least)
+    gone, _ = removed(docs, id_col, text_col, percent)
     held = docs.sparkSession.sparkContext.broadcast(S.build(gone, "tkey"))
     carried = list(dict.fromkeys((id_col, *keep)))
     frame = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)], F.col(f"`{text_col}`").alias("text"))
@@ -293,21 +302,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
 
     kept_kind = ", kept string" if text else ""
     carried_kinds = ", ".join(f"{c} {kinds[c]}" for c in names)
-    told = cut(frame.mapInArrow(first, f"{carried_kinds}, tkey long, text string, n_lines long, n_removed long, sha string{kept_kind}"))
+    told = cut(frame.mapInArrow(tidy(first), f"{carried_kinds}, tkey long, text string, n_lines long, n_removed long, sha string{kept_kind}"))
     done = told.where("text is null").select(*names, *made)
     nos = gone.withColumnsRenamed({"id": "gid", "tkey": "gkey"})
     rest = told.where("text is not null").select(*names, "tkey", "text").join(nos, F.col("c0").eqNullSafe(F.col("gid")) & (F.col("tkey") == F.col("gkey")), "left").select(*names, "text", "nos")
-    rest = rest.mapInArrow(last, f"{carried_kinds}, n_lines long, n_removed long, sha string{kept_kind}")
+    rest = rest.mapInArrow(tidy(last), f"{carried_kinds}, n_lines long, n_removed long, sha string{kept_kind}")
     out = done.union(rest)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, carried, strict=True)], "n_lines", "n_removed", F.col("sha").alias("kept_sha256"), *([F.col("kept").alias("kept_text")] if text else []))
 
 
-def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least: int | None = LEAST) -> DataFrame:
+def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with their own columns, each text cut down to the lines it keeps; a row that loses every line with a word goes, and n_chars follows the text."""
     names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
     inner = docs.toDF(*names.values()).withColumn("__none", F.col(names[text_col]).isNull())
     others = tuple(n for c, n in names.items() if c != text_col)
-    told = dedup(inner, names[id_col], names[text_col], percent, least, (*others, "__none"), text=True)
+    told = dedup(inner, names[id_col], names[text_col], percent, (*others, "__none"), text=True)
     told = told.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     made = {text_col: F.when(~F.col("__none"), F.col("kept_text"))}
     if "n_chars" in names:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,25 +13,69 @@ from larkspan.llm import words as W
 from larkspan.llm.components import components
 from larkspan.llm.shared import cut
 
-def parities(doc: np.ndarray, spread: np.ndarray, n: int, longs: int) -> pa.ListArray:
-    """For each of n sets that many longs of bits: whether each part of the hash domain has an odd number of elements. Each differing bit takes a differing element."""
-    bits = 64 * longs
-    cell = doc * bits + ((spread >> W.U(40)) & W.U(bits - 1)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=n * bits) & 1).astype(np.uint8)
-    return pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * longs).astype(np.int32)), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
+LONGS = 16  # 1024 parity bits a set, a column for each 64: a condition on them stays small enough to be compiled
+PARITY = [f"p{i}" for i in range(LONGS)]
+WIDE_FROM, WIDE_BYTES = 800, 2048  # sets of that many elements have 16384 parity bits more, which pairs are held against before their elements are
+FEW = 16
+MOST_KEYS = 1 << 19  # what is broadcast to pick rows by key: 4 MB of keys at most
+ROUNDS, ORDERS = 3, 4  # rounds of stars, and in each the orders by which groups choose their centres
 
 
-def near(a: str, b: str, percent: int, longs: int) -> Column:
-    """Whether two rows with n, the set's size, and parity can be similar at all: both bound the distance from below."""
+def parities(doc: np.ndarray, spread: np.ndarray, n: int) -> list[pa.Array]:
+    """For each of n sets, LONGS columns of bits: whether each part of the hash domain has an odd number of elements. Each differing bit takes a differing element."""
+    bits = 64 * LONGS
+    cell = doc * bits + ((spread >> W.U(40)) & W.U(bits - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n * bits) & 1).astype(np.uint8)
+    words = np.packbits(odd, bitorder="little").view(np.int64).reshape(n, LONGS)
+    return [pa.array(np.ascontiguousarray(words[:, i])) for i in range(LONGS)]
+
+
+def wide_parities(doc: np.ndarray, spread: np.ndarray, size: np.ndarray) -> pa.Array:
+    """WIDE_BYTES bytes of parities more of the sets of WIDE_FROM elements or more; null for others."""
+    large = size >= WIDE_FROM
+    number = np.cumsum(large) - 1
+    use = large[doc]
+    bits, n = 8 * WIDE_BYTES, int(large.sum())
+    cell = number[doc[use]] * bits + ((spread[use] >> W.U(16)) & W.U(bits - 1)).astype(np.int64)
+    odd = np.packbits((np.bincount(cell, minlength=n * bits) & 1).astype(np.uint8), bitorder="little").reshape(n, WIDE_BYTES)
+    return pa.array([odd[i].tobytes() if x else None for i, x in zip(number.tolist(), large.tolist(), strict=True)], pa.binary())
+
+
+def near_wide(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Those pairs (a, b) that the sizes na and nb and the wide parities pa and pb allow; a pair with a null says nothing and stays."""
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                none = part.column("pa").is_null().to_numpy(zero_copy_only=False) | part.column("pb").is_null().to_numpy(zero_copy_only=False)
+                at = np.flatnonzero(~none)
+                x, y = (np.frombuffer(b"".join(part.column(c).take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), WIDE_BYTES // 8) for c in ("pa", "pb"))
+                odd = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                n = (part.column("na").fill_null(0).to_numpy(zero_copy_only=False) + part.column("nb").fill_null(0).to_numpy(zero_copy_only=False))[at]
+                ok = none
+                ok[at] = odd * (100 + percent) <= n * (100 - percent)
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
+def picked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` (key, ...) whose key is among ``keys``, a written table: by a broadcast where the keys are few, else by a partitioned join."""
+    keys = keys.select("key")
+    return rows.join(F.broadcast(keys) if keys.count() <= MOST_KEYS else keys, "key", "left_semi")
+
+
+def near(a: str, b: str, percent: int) -> Column:
+    """Whether two rows with n, the set's size, and parities can be similar at all: both bound the distance from below."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    odd = sum((F.bit_count(F.get(F.col(f"{a}.parity"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.parity"), F.lit(i)))) for i in range(longs)), F.lit(0))
+    odd = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITY), F.lit(0))
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (odd * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def possible(pairs: DataFrame, heads: DataFrame, close: Column) -> DataFrame:
-    """Those pairs (a, b) that ``close``, a condition on rows x and y of ``heads``, allows."""
-    both = pairs.join(heads.alias("x"), pairs["a"] == F.col("x.key")).join(heads.alias("y"), pairs["b"] == F.col("y.key"))
-    return both.where(close).select("a", "b")
+def open_groups(rows: DataFrame) -> DataFrame:
+    """``rows`` (sig, key, ...) of the groups with more than one key. Groups are told by their least and greatest key, aggregated before the shuffle, so a hot group is no task's."""
+    ends = rows.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
+    return rows.join(ends.select("sig"), "sig", "left_semi")
 
 
 def distinct_groups(shared: DataFrame) -> DataFrame:
@@ -40,8 +84,10 @@ def distinct_groups(shared: DataFrame) -> DataFrame:
     return shared.join(groups.groupBy("x", "y", "n").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
 
 
-def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """Rows (node, root) after more links (a, b): components of the old components, so the whole graph is not walked again."""
+    if roots is None:
+        return cut(components(links))
     ends = links
     for side in ("a", "b"):
         ends = ends.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(f"r{side}", F.coalesce(f"r{side}", side))
@@ -52,32 +98,56 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return cut(old.union(lone))
 
 
-def connect(shared: DataFrame, heads: DataFrame, close: Column, similar: Callable[[DataFrame], DataFrame], first: DataFrame | None = None) -> DataFrame:
+def _unmerged(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (sig, key, root) of the groups that still hold several components."""
+    held = shared.select("sig", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    ends = held.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return cut(held.join(ends.select("sig"), "sig", "left_semi"))
+
+
+def _stars(held: DataFrame, heads: DataFrame, close: Column, turn: int) -> DataFrame:
+    """Pairs (a, b) to verify: each key with a centre of one of its groups that ``close`` allows, at most one pair for two components.
+
+    A group's centre is its first key by one of ORDERS random orders, so that a key meets several centres of its surroundings, but not one for each group.
+    """
+    order = F.xxhash64("key", F.pmod(F.shiftright("sig", 7), F.lit(ORDERS)), F.lit(turn))
+    centre = held.groupBy("sig").agg(F.min(F.struct(order.alias("o"), F.col("key").alias("a"), F.col("root").alias("ra"))).alias("c")).select("sig", "c.a", "c.ra")
+    pairs = held.join(centre, "sig").where("root <> ra").select("a", "ra", F.col("key").alias("b"), F.col("root").alias("rb")).distinct()
+    ok = pairs.join(heads.alias("x"), pairs["a"] == F.col("x.key")).join(heads.alias("y"), pairs["b"] == F.col("y.key")).where(close)
+    one = ok.groupBy("b", "rb").agg(F.min(F.struct(F.xxhash64("a", F.lit(turn)).alias("o"), "a", "ra")).alias("c")).select("c.a", "c.ra", "b", "rb")
+    return one.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+
+
+def _rest(held: DataFrame, heads: DataFrame, close: Column) -> DataFrame:
+    """Pairs (a, b) of keys of different components that share a group and that ``close`` allows. Pairs within a group's largest component are not looked at. Each
+    key carries its FEW least groups: a pair is made in the least that both carry and in no greater one, so alike keys are hardly ever made twice."""
+    sizes = held.groupBy("sig", "root").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("sig").agg(F.max(F.struct("n", "root")).alias("m")).select("sig", F.col("m.root").alias("major"))
+    own = held.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FEW).alias("few"))  # of one key, so no more than its signatures
+    rows = held.join(own.join(heads, "key"), "key").join(most, "sig")
+    x, y = rows.where("root <> major").alias("x"), rows.alias("y")
+    apart = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.major")) | (F.col("x.root") < F.col("y.root")))
+    pair = F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")
+    once = F.coalesce(F.array_min(F.array_intersect("x.few", "y.few")) >= F.col("x.sig"), F.lit(True))
+    return x.join(y, apart & close & once).select(*pair).distinct()
+
+
+def connect(shared: DataFrame, heads: DataFrame, close: Column, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows (node, root) that connect what comparing all pairs of every group would connect.
 
-    shared: rows (sig, key), a group for each sig. heads: rows (key, ...) on which ``close`` rules pairs x, y out cheaply. similar: keeps the similar ones of some pairs (a, b).
-    1. A star around each group's least key (or the pairs ``first``). 2. Where a group still holds several components, one key of each with one of the least, one pair for two
-    components. 3. Where it still does, its pairs across components. A pair that is connected already is not compared.
+    shared: rows (sig, key), a group for each sig. heads: one row (key, ...) for each key, on which ``close`` rules pairs x, y out cheaply. similar: keeps the similar ones of
+    some pairs (a, b). In a few rounds each key is compared with one centre of its groups, which merges nearly all that belongs together; then the pairs across what is still
+    apart, minus those that ``close`` rules out, are compared exactly. A pair that is connected already is not compared.
     """
-    if first is None:
-        least = shared.groupBy("sig").agg(F.min("key").alias("a"))
-        star = shared.join(least, "sig").where("key <> a").select("a", F.col("key").alias("b")).distinct()
-        first = possible(star, heads, close)
-    roots = cut(components(cut(similar(first))))
-
-    def open_groups() -> DataFrame:
-        held = shared.select("sig", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        ends = held.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        return cut(held.join(ends, "sig"))
-
-    ends = open_groups().groupBy("sig", "root", "lo").agg(F.min("key").alias("key"))
-    centre = ends.where("root = lo").select("sig", F.col("key").alias("a"))
-    more = ends.where("root <> lo").join(centre, "sig").groupBy("root", "lo").agg(F.min(F.struct("a", "key")).alias("p")).select("p.a", F.col("p.key").alias("b"))
-    found = cut(similar(possible(more, heads, close)))
+    roots, held = None, cut(shared.select("sig", "key", F.col("key").alias("root")))
+    for turn in range(ROUNDS):
+        found = cut(similar(cut(_stars(held, heads, close, turn))))
+        if found.isEmpty():
+            break
+        roots = merged(roots, found)
+        held = _unmerged(shared, roots)
+    rest = cut(_rest(held, heads, close))
+    found = cut(similar(rest))
     if not found.isEmpty():
         roots = merged(roots, found)
-    rows = open_groups().select("sig", "key", "root").join(heads, "key")
-    x, y = rows.alias("x"), rows.alias("y")
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root")) & close)
-    found = cut(similar(cut(rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct())))
-    return roots if found.isEmpty() else merged(roots, found)
+    return roots if roots is not None else found.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -1,8 +1,9 @@
 """Operator 9, an n-gram Jaccard join by PartEnum signatures.
 
-A text is the set of its distinct word n-grams. Two sets of Jaccard similarity p or more have sizes within one size band or two neighbours, and differ in
-at most k elements, k set by the band. The hash domain is cut into k + 1 + SLACK partitions for each band, so the two sets agree on 1 + SLACK of
-them at least: each partition's projection is a signature, and similar sets share one. Sharing sets are then compared exactly.
+A text is the set of its distinct word n-grams. Size bands overlap so that two sets of Jaccard similarity p or more are both in one of them, and there they differ in at
+most k elements, k set by the band's largest size. The hash domain is cut into k // 2 + 1 + slack partitions, so that in some of them the sets differ in one element at
+most, and each partition into PARTS parts: all subsets of PARTS - 1 parts are enumerated, and the projection on each is a signature. The sets agree on one subset at least
+and so share its signature. Sharing sets are then compared exactly.
 """
 
 from __future__ import annotations
@@ -11,25 +12,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm import sieve as S
 from larkspan.llm import words as W
-from larkspan.llm.linking import connect, distinct_groups, near, parities, possible
-from larkspan.llm.shared import cut
+from larkspan.llm.linking import PARITY, connect, distinct_groups, near, near_wide, parities, picked, wide_parities
+from larkspan.llm.shared import cut, tidy
 
-SLACK = 2
-PARITY_LONGS = 32  # 2048 parity bits for sets of up to some thousands of n-grams
+PARTS = 3  # of a partition; a signature leaves one out
+SLACK, SLACK_SHARE, SLACK_FROM = 2, 40, 8  # 2 + k // 40 partitions more than needed where k is 8 or more, so that hardly a set has to sign subsets without elements
 
 
-def bands(percent: int, most: int) -> np.ndarray:
-    """Upper ends of the size bands up to ``most``; a set similar to one of a band is in that band or a neighbour."""
-    ends, low = [], 1
-    while low <= most:
-        ends.append(low * 100 // percent)
-        low = ends[-1] + 1
-    return np.array(ends or [1], np.int64)
+def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest size of each band, up to ``most``: similar sets, whose sizes are within a ratio, are both in some band."""
+    low, high = [1], []
+    while low[-1] <= most:
+        high.append(max(low[-1] * 100**3 // percent**3, low[-1]))
+        low.append(max(low[-1] + 1, -(-(high[-1] + 1) * percent // 100)))  # the first size that has partners beyond the band
+    return np.array(low[:-1] or [1], np.int64), np.array(high or [1], np.int64)
 
 
 def distance(percent: int, size: np.ndarray) -> np.ndarray:
@@ -58,38 +59,49 @@ class Sets:
         self.spread = W.mix(self.hash ^ W.U(0xA5A5A5A55A5A5A5A))
         self.key = W.mix(_sums(self.doc, self.spread, len(x)) + self.size.astype(W.U))
 
-    def signatures(self, percent: int, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Text number and signature, for the chosen texts, each in its own band and the next."""
-        found, ends = [], bands(percent, int(self.size.max(initial=1)) * 100 // percent + 2)
-        of = np.searchsorted(ends, self.size)
-        chosen = np.zeros(len(self.size), bool)
-        chosen[docs] = True
-        for band in (of, of + 1):
-            k = distance(percent, ends[np.minimum(band, len(ends) - 1)])
-            parts = np.where(chosen & (k > 0) & (self.size > 0), k + 1 + SLACK, 0)  # within k = 0 only equal sets are similar
-            cell0 = np.concatenate([[0], np.cumsum(parts)])
-            use = parts[self.doc] > 0
-            d, spread = self.doc[use], self.spread[use]
-            place = ((self.hash[use] >> W.U(32)) * parts[d].astype(W.U)) >> W.U(32)
-            cell = cell0[d] + place.astype(np.int64)
-            total = _sums(cell, spread, cell0[-1])
-            full = np.bincount(cell, minlength=cell0[-1]) > 0
-            owner = np.repeat(np.arange(len(parts)), parts)
-            empty = np.bincount(owner, ~full, len(parts)).astype(np.int64)
-            # what agrees may be empty partitions only where a set has more than SLACK of them: such sets meet by these too
-            emit = full | (empty > SLACK)[owner]
-            tag = band[owner].astype(W.U) * W.U(1 << 32) + (np.arange(cell0[-1]) - cell0[owner]).astype(W.U)
-            found.append((owner[emit], W.mix(total + W.mix(tag))[emit]))
+    def only(self, docs: np.ndarray) -> Sets:
+        """The chosen sets, in their order, numbered anew."""
+        number = np.full(len(self.size), -1)
+        number[docs] = np.arange(len(docs))
+        use = number[self.doc] >= 0
+        out = object.__new__(Sets)
+        out.hash, out.doc, out.spread = self.hash[use], number[self.doc[use]], self.spread[use]
+        out.size, out.key = self.size[docs], self.key[docs]
+        out.first = np.concatenate([[0], np.cumsum(out.size)])
+        return out
+
+    def signatures(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Set number and signature, of each set in each band that holds its size; nothing for an empty set."""
+        low, high = bands(percent, int(self.size.max(initial=1)))
+        last = np.searchsorted(low, self.size, "right") - 1
+        found = [(np.zeros(0, np.int64), np.zeros(0, W.U))]
+        for back in range(len(low)):
+            band = np.maximum(last - back, 0)
+            inside = (self.size > 0) & (last >= back) & (self.size <= high[band])
+            if not inside.any():
+                break
+            k = distance(percent, high[band])
+            slack = np.where(k >= SLACK_FROM, SLACK + k // SLACK_SHARE, 0)
+            n = np.where(inside & (k > 0), k // 2 + 1 + slack, 0)  # partitions; within k = 0 only equal sets are similar
+            part0 = np.concatenate([[0], np.cumsum(n)])
+            use = n[self.doc] > 0
+            d = self.doc[use]
+            place = ((self.hash[use] >> W.U(32)) * (PARTS * n[d]).astype(W.U)) >> W.U(32)
+            cell = PARTS * part0[d] + place.astype(np.int64)
+            part = _sums(cell, self.spread[use], PARTS * part0[-1]).reshape(-1, PARTS)
+            count = np.bincount(cell, minlength=PARTS * part0[-1]).reshape(-1, PARTS)
+            owner = np.repeat(np.arange(len(n)), n)
+            # of each partition, the subsets that leave one part out
+            total = part.sum(axis=1, keepdims=True, dtype=W.U) - part
+            full = count.sum(axis=1, keepdims=True) > count
+            thin = np.bincount(owner, ~full.all(axis=1), len(n)).astype(np.int64)
+            # sets agree on a subset in 1 + slack partitions at least: where no more than slack have a subset without elements, such a subset isn't needed
+            emit = full | (thin > slack)[owner][:, None]
+            tag = band[owner].astype(W.U) * W.U(1 << 40) + (np.arange(len(owner)) - part0[owner]).astype(W.U) * W.U(PARTS)
+            sig = W.mix(total + W.mix(tag[:, None] + np.arange(PARTS, dtype=W.U)))
+            found.append((np.repeat(owner, PARTS).reshape(-1, PARTS)[emit], sig[emit]))
         return tuple(np.concatenate(p) for p in zip(*found, strict=True))
 
-    def prints(self, i: int) -> bytes:
-        """Fingerprints of one set: a byte for each of about as many parts of the domain as there are elements, each the XOR of its elements' bytes."""
-        own = slice(self.first[i], self.first[i + 1])
-        bits = max(6, int(self.size[i] - 1).bit_length())
-        out = np.zeros(1 << bits, np.uint8)
-        np.bitwise_xor.at(out, (self.spread[own] >> W.U(64 - bits)).astype(np.int64), (self.hash[own] & W.U(255)).astype(np.uint8))
-        return out.tobytes()
-
 
 def _sums(cell: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sum of 64-bit values in each cell, modulo 2**64; the halves are exact as doubles."""
@@ -108,120 +120,87 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 def classes(docs: DataFrame, ngram: int) -> DataFrame:
-    """Each row (its columns but text) with n, the set's size, key, its hash, and its parities; equal sets have equal keys."""
+    """Each row (its columns but text) with n, the set's size, and key, its hash; equal sets have equal keys."""
     others, kinds = [c for c in docs.columns if c != "text"], dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, sets in _sets(batch.column("text"), ngram):
                 own = batch.slice(x.row, len(x))
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in others), _longs(sets.size), _longs(sets.key), parities(sets.doc, sets.spread, len(x), PARITY_LONGS)], [*others, "n", "key", "parity"])
-
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "n long, key long, parity array<long>"]))
-
-
-def _signed(texts: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """Rows (sig, key), one set for each key and task."""
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in others), _longs(sets.size), _longs(sets.key)], [*others, "n", "key"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, sets in _sets(batch.column("text"), ngram):
-                fresh = _fresh(sets, seen)
-                doc, sig = sets.signatures(percent, fresh)
-                for at in range(0, len(sig), 1 << 19):
-                    yield pa.RecordBatch.from_arrays([_longs(sig[at : at + (1 << 19)]), _longs(sets.key[doc[at : at + (1 << 19)]])], ["sig", "key"])
+    return docs.mapInArrow(tidy(run), ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "n long, key long"]))
 
-    return texts.mapInArrow(run, "sig long, key long")
 
+def _fresh(sets: Sets) -> np.ndarray:
+    """Of the sets with elements, one for each key of the slice."""
+    some = np.flatnonzero(sets.size > 0)
+    return np.sort(some[np.unique(sets.key[some], return_index=True)[1]])
 
-def _fresh(sets: Sets, seen: set[int], ok: np.ndarray | None = None) -> np.ndarray:
-    """Texts whose set is not empty and not among those seen by this task."""
-    out = []
-    for i in np.flatnonzero((sets.size > 0) if ok is None else (sets.size > 0) & ok).tolist():
-        k = int(sets.key[i])
-        if k not in seen:
-            seen.add(k)
-            out.append(i)
-    return np.array(out, np.int64)
 
-
-def _elements(texts: DataFrame, ngram: int, wanted: DataFrame) -> DataFrame:
-    """Rows (key, prints, elems) of the wanted keys; a key can come again from another task, and keys that only pass the sieve can be among them."""
-    held = texts.sparkSession.sparkContext.broadcast(S.build(wanted, "key"))
+def _signed(texts: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """Rows (sig, key); equal sets of one slice sign once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for _, sets in _sets(batch.column("text"), ngram):
-                docs = _fresh(sets, seen, S.passes(held.value, sets.key))
-                use = np.zeros(len(sets.size), bool)
-                use[docs] = True
-                elems = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sets.size[docs])]).astype(np.int32)), _longs(sets.hash[use[sets.doc]]))
-                yield pa.RecordBatch.from_arrays([_longs(sets.key[docs]), pa.array([sets.prints(i) for i in docs.tolist()], pa.binary()), elems], ["key", "prints", "elems"])
+                own = sets.only(_fresh(sets))
+                doc, sig = own.signatures(percent)
+                for at in range(0, len(sig), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([_longs(sig[at : at + (1 << 18)]), _longs(own.key[doc[at : at + (1 << 18)]])], ["sig", "key"])
 
-    return texts.mapInArrow(run, "key long, prints binary, elems array<long>")
+    return texts.mapInArrow(tidy(run), "sig long, key long")
 
 
-def _folded(raw: bytes, n: int) -> np.ndarray:
-    x = np.frombuffer(raw, np.uint8)
-    return x if len(x) == n else np.bitwise_xor.reduce(x.reshape(n, -1), axis=1)
+def _members(texts: DataFrame, ngram: int, percent: int, shared: DataFrame) -> DataFrame:
+    """Rows (key, n, parities, wide, sigs, elems) of the sets with signatures that may be among ``shared``; one row for each key."""
+    held = texts.sparkSession.sparkContext.broadcast(S.build(shared, "sig"))
 
-
-def _print_filter(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs whose fingerprints differ in no more parts than similar sets can: each part that differs takes a differing element."""
         for batch in batches:
-            ok = []
-            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("pa", "pb", "na", "nb")), strict=True):
-                size = min(len(x), len(y))
-                ok.append(int((_folded(x, size) != _folded(y, size)).sum()) * (100 + percent) <= (n + m) * (100 - percent))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
-
-    return run
-
-
-def _alike_prints(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) that fingerprints, an eighth of the sets' bytes, don't rule out; a pair with a key that ``sets`` lacks goes."""
-    side = lambda s: sets.select(F.col("key").alias(s), F.col("prints").alias(f"p{s}"), F.size("elems").cast("long").alias(f"n{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb", "na", "nb")
-    return both.mapInArrow(_print_filter(percent), "a long, b long").distinct()
+            for _, sets in _sets(batch.column("text"), ngram):
+                own = sets.only(_fresh(sets))
+                doc, sig = own.signatures(percent)
+                ok = S.passes(held.value, sig)
+                doc, sig = doc[ok], sig[ok]
+                order = np.argsort(doc, kind="stable")
+                doc, sig = doc[order], sig[order]
+                docs, first = np.unique(doc, return_index=True)
+                if not len(docs):
+                    continue
+                own = own.only(docs)
+                sigs = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), _longs(sig))
+                elems = pa.ListArray.from_arrays(pa.array(own.first.astype(np.int32)), _longs(own.hash))
+                yield pa.RecordBatch.from_arrays([_longs(own.key), _longs(own.size), *parities(own.doc, own.spread, len(docs)), wide_parities(own.doc, own.spread, own.size), sigs, elems], ["key", "n", *PARITY, "wide", "sigs", "elems"])
+
+    kinds = ", ".join(["key long, n long", *(f"{p} long" for p in PARITY), "wide binary, sigs array<long>, elems array<long>"])
+    return texts.mapInArrow(tidy(run), kinds).dropDuplicates(["key"])
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar; a pair with a key that ``sets`` lacks goes."""
-    side = lambda s: sets.select(F.col("key").alias(s), F.col("elems").alias(f"e{s}"))
+    """Those pairs (a, b) whose sets are similar. Wide parities, a small part of a large set's bytes, rule pairs out before elements are moved."""
+    side = lambda rows, s: rows.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("wide").alias(f"p{s}"), F.col("elems").alias(f"e{s}"))
+    keys = lambda p: cut(p.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    large = picked(sets.where("wide is not null"), keys(pairs))
+    told = pairs.join(side(large, "b").drop("eb"), "b", "left").join(side(large, "a").drop("ea"), "a", "left").select("a", "b", "na", "nb", "pa", "pb")
+    pairs = cut(told.mapInArrow(tidy(near_wide(percent)), "a long, b long"))
+    own = picked(sets, keys(pairs))
     n, m = F.size("ea"), F.size("eb")
     shared = F.size(F.array_intersect("ea", "eb")).cast("long")
-    return pairs.join(side("b"), "b").join(side("a"), "a").where(shared * 100 >= percent * (n + m - shared)).select("a", "b").distinct()
+    return pairs.join(side(own, "b").select("b", "eb"), "b").join(side(own, "a").select("a", "ea"), "a").where(shared * 100 >= percent * (n + m - shared)).select("a", "b").distinct()
 
 
-def _keys(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-
-
-def roots(texts: DataFrame, base: DataFrame, ngram: int, percent: int) -> DataFrame:
+def roots(texts: DataFrame, ngram: int, percent: int) -> DataFrame:
     """Rows (node, root) of the keys of sets that the similarity graph links to others.
 
-    A signature's keys form a star around the least, and each key is compared with the least star centre that its size and parities allow; the rest is
-    connect()'s. Fingerprints rule out more pairs before the sets, which are many bytes, are shuffled.
+    A first pass finds the signatures of several keys, by aggregation; a second one brings the sets that have such, once for each key, with what connect() needs.
     """
-    sig = Window.partitionBy("sig")
-    signed = _signed(texts, ngram, percent).select("sig", "key", F.min("key").over(sig).alias("least"), F.max("key").over(sig).alias("most"))
-    shared = cut(signed.where("least <> most").select("sig", "key", "least").distinct())
+    ends = _signed(texts, ngram, percent).groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    several = cut(ends.where("lo <> hi").select("sig"))
+    sets = cut(_members(texts, ngram, percent, several))
+    shared = cut(sets.select(F.explode("sigs").alias("sig"), "key").join(several, "sig", "left_semi"))
     shared = cut(distinct_groups(shared))
-    heads = cut(base.where("n > 0").select("key", "n", "parity").join(shared.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
-    star = shared.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
-    first = cut(possible(star, heads, near("x", "y", percent, PARITY_LONGS)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    held = [cut(_elements(texts, ngram, _keys(first)))]
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        lacking = cut(_keys(pairs).join(held[0].select("key"), "key", "left_anti"))
-        if not lacking.isEmpty():
-            held[0] = held[0].union(cut(_elements(texts, ngram, lacking)))
-        return _similar(cut(_alike_prints(pairs, held[0], percent)), held[0], percent)
-
-    return connect(shared, heads, near("x", "y", percent, PARITY_LONGS), similar, first)
+    return connect(shared, sets.select("key", "n", *PARITY), near("x", "y", percent), lambda pairs: _similar(pairs, sets, percent))
 
 
 def _told(docs: DataFrame, id_col: str, text_col: str, ngram: int, percent: int, keep: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
@@ -230,7 +209,7 @@ def _told(docs: DataFrame, id_col: str, text_col: str, ngram: int, percent: int,
     carried = list(dict.fromkeys((id_col, *keep)))
     frame = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carried)], F.xxhash64(F.col(f"`{text_col}`")).alias("__hash"), F.col(f"`{text_col}`").alias("text"))
     base = cut(classes(frame, ngram))
-    root = roots(frame.select("text"), base, ngram, percent).withColumnRenamed("node", "key")
+    root = roots(frame.select("text"), ngram, percent).withColumnRenamed("node", "key")
     least = base.where("n > 0").groupBy("key").agg(F.min(_place()).alias("first")).join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
     heads = least.groupBy("root").agg(F.min("first").alias("head"))
     return base.join(least.join(heads, "root").select("key", "root", "head"), "key", "left"), carried
