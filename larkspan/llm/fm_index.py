@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-DEPTH = 64  # suffixes are ordered by so many symbols; patterns can be as long
-
-
 class WaveletMatrix:
     """Ranks of symbols in a sequence. Each level is a packed bit vector with a count for each 64 bits."""
 
@@ -38,24 +35,28 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of a text of symbols from 0 to sigma - 1, where 0 ends a piece; each piece has an owner number."""
+    """Index of a text of symbols from 0 to sigma - 1, where 0 ends a piece; each piece has an owner number. Suffixes are in full order, so patterns can have any length."""
 
     def __init__(self, text: np.ndarray, owner: np.ndarray, sigma: int):
         n = len(text)
-        rank, width = text.astype(np.int64), 1
-        while width < DEPTH:
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - width] = rank[width:] + 1 if width < n else 0
-            key = rank * (int(rank.max(initial=0)) + 3 + n) + ahead
+        bits = max(1, int(sigma).bit_length())
+        width = max(1, 62 // bits)  # so many symbols are ordered at once, then twice as many each time, until all suffixes differ
+        key = np.zeros(n, np.int64)
+        for i in range(width):
+            key <<= bits
+            key[: n - i] += text[i:] + 1
+        while True:
             order = np.argsort(key, kind="stable")
             s = key[order]
             new = np.zeros(n, np.int64)
             new[1:] = s[1:] != s[:-1]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(new)
-            width *= 2
-            if rank.max(initial=0) == n - 1:
+            if width >= n or rank[order[-1]] == n - 1:
                 break
+            key = rank * (n + 1)
+            key[: n - width] += rank[width:] + 1
+            width *= 2
         suffixes = np.argsort(rank, kind="stable")
         self.n, self.sigma = n, sigma
         self.bwt = WaveletMatrix(text[suffixes - 1], sigma)
@@ -116,7 +117,7 @@ def earlier_matches(index: FMIndex, text: np.ndarray, begin: np.ndarray, end: np
         done |= broke & (nxt - left < span)
         ask = broke & ~done
         probe_end = np.minimum(at - 1 + probe, nxt)
-        useful = ask & (probe_end - left <= span)  # every window still possible holds the probe
+        useful = ask & (probe_end - left <= span) & (probe_end > at - 1)  # every window still possible holds the probe, which isn't empty
         back = np.where(ask, nxt, back)
         stop = np.where(useful, at - 1, np.where(ask, -1, stop))
         restart = np.where(useful, probe_end, nxt)

@@ -17,11 +17,13 @@ from larkspan.llm.shared import cut
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # 18 characters or more
 HEX = r"[0-9a-f]{16,}"
-WEAK = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])"
-ENDPOINT = r"(?:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s\"'<>]+|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.amazonaws\.com"
-IDENT = r"""(?i)(?:client_?id|access_?key_?id|user(?:name)?|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
+# Runs are possessive and start where no such character stands before, so that a match takes time and stack that don't grow faster than the text.
+WEAK = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/=_-])"
+ENDPOINT = r"(?:https?|ftp|s3|jdbc:[a-z]++|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s\"'<>]++|(?<![A-Za-z0-9.-])[A-Za-z0-9.-]++(?<=[A-Za-z0-9-]\.amazonaws\.com)"
+IDENT = r"""(?i)(?:client_?id|access_?key_?id|user(?:name)?|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+"""
 
 LEAST_ASSIGN = 12
+CHUNK = 256
 SCOPE = 512  # code points between the starts of linked parts, at most
 ORDER = {"assign": 0, "access": 1, "hex": 2, "linked": 3}
 
@@ -29,18 +31,27 @@ ORDER = {"assign": 0, "access": 1, "hex": 2, "linked": 3}
 def found(text: Column, pattern: str) -> Column:
     """Array of (start, stop) of the leftmost non-overlapping matches, in code points.
 
-    What stands between the matches (split) and the matches themselves give each match's place by running sums.
+    What stands between the matches (split) and the matches themselves give each match's place by running sums. The sums run over CHUNK matches at a time, for
+    appending to an array copies it: time grows with the number of matches, not with its square.
     """
-    rx = F.lit(pattern)
-    matches = F.regexp_extract_all(text, rx, F.lit(0))
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sizes = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(matches, F.length).alias("own"))
-    ends = F.aggregate(
-        F.slice(sizes, F.lit(1), F.size(matches)),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out")),
-        lambda a, x: F.struct((a["at"] + x["gap"] + x["own"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["own"]).alias("stop")))).alias("out")),
-        lambda a: a["out"],
-    )
-    return F.when(F.size(matches) > 0, ends).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
+    spans = "array<struct<start:int,stop:int>>"
+
+    def one(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        return F.struct((start + x["own"]).alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), (start + x["own"]).alias("stop")))).alias("out"))
+
+    def chunk(a: Column, c: Column) -> Column:
+        inner = F.aggregate(c, F.struct(a["at"].alias("at"), F.array().cast(spans).alias("out")), one)
+        return F.transform(F.array(inner), lambda r: F.struct(r["at"].alias("at"), F.concat(a["all"], F.array(r["out"])).alias("all")))[0]
+
+    def every(rows: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda i: F.slice(rows, i * CHUNK + 1, F.lit(CHUNK)))
+        return F.flatten(F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans}>").alias("all")), chunk, lambda a: a["all"]))
+
+    own = F.transform(F.array(F.slice(sizes, F.lit(1), F.size(matches))), every)[0]  # within a lambda, so that texts are matched once
+    return F.when(F.size(matches) > 0, own).otherwise(F.array().cast(spans))
 
 
 def _kind(spans: Column, kind: str) -> Column:
