@@ -177,8 +177,10 @@ def _texts(frame: DataFrame, wanted: DataFrame) -> DataFrame:
                 ok = ok[S.passes(held.value, x.key[ok])]
                 new = ok[recent.new(x.key[ok])]
                 if len(new):
-                    doc, h = _distinct(*x.shingles(new, SHINGLE))
-                    yield pa.RecordBatch.from_arrays([_longs(x.key[new]), x.texts(new), pa.array(np.bincount(doc, minlength=len(new)).astype(np.int64)), *parities(doc, h, len(new))], ["key", "line", "n", *PARITY])
+                    line = x.texts(new)
+                    own = Lines(0, len(new), *W.buffers(line))  # of what is wanted only
+                    doc, h = _distinct(*own.shingles(np.arange(len(new)), SHINGLE))
+                    yield pa.RecordBatch.from_arrays([_longs(x.key[new]), line, pa.array(np.bincount(doc, minlength=len(new)).astype(np.int64)), *parities(doc, h, len(new))], ["key", "line", "n", *PARITY])
 
     kinds = ", ".join(["key long, line string, n long", *(f"{p} long" for p in PARITY)])
     return frame.mapInArrow(tidy(run), kinds).join(wanted, "key", "left_semi").dropDuplicates(["key"])

@@ -23,10 +23,10 @@ ROUNDS, ORDERS = 3, 4  # rounds of stars, and in each the orders by which groups
 
 def parities(doc: np.ndarray, spread: np.ndarray, n: int) -> list[pa.Array]:
     """For each of n sets, LONGS columns of bits: whether each part of the hash domain has an odd number of elements. Each differing bit takes a differing element."""
-    bits = 64 * LONGS
-    cell = doc * bits + ((spread >> W.U(40)) & W.U(bits - 1)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=n * bits) & 1).astype(np.uint8)
-    words = np.packbits(odd, bitorder="little").view(np.int64).reshape(n, LONGS)
+    cell = (spread >> W.U(40)) & W.U(64 * LONGS - 1)
+    words = np.zeros(n * LONGS, W.U)
+    np.bitwise_xor.at(words, doc * LONGS + (cell >> W.U(6)).astype(np.int64), W.U(1) << (cell & W.U(63)))
+    words = words.view(np.int64).reshape(n, LONGS)
     return [pa.array(np.ascontiguousarray(words[:, i])) for i in range(LONGS)]
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 | 3, 0xC2B2AE3D27D4EB4F | 3
-SLICE_BYTES = 1 << 20  # texts looked at together; a longer text is a slice of its own
+SLICE_BYTES = 1 << 18  # texts looked at together; a longer text is a slice of its own
 
 def separators(kept: str) -> np.ndarray:
     """True for each byte that ends words. kept: "blank" (words are all but 0x20 and 0x09-0x0D) or "alnum" (words are 0-9, a-z and non-ASCII)."""
