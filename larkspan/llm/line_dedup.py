@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from larkspan.llm import sieve as S
 from larkspan.llm import words as W
 from larkspan.llm.linking import PARITY, connect, distinct_groups, near, open_groups, parities
-from larkspan.llm.shared import cut, tidy
+from larkspan.llm.shared import cut, scope, tidy
 
 SHINGLE, BANDS, ROWS = 8, 8, 3  # a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**3)**8 = 0.997
 PERCENT = 80
@@ -221,8 +221,13 @@ def _verified(percent: int):
     return run
 
 
-def removed(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, tkey, nos) of the line numbers that go from a text, and rows (key) of all lines of groups of more than one."""
+def removed(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
+    """Rows (id, tkey, nos) of the line numbers that go from a text."""
+    with scope(docs.sparkSession) as kept:
+        return kept(_removed(docs, id_col, text_col, percent))
+
+
+def _removed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     frame = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     lines = cut(_signed(frame))
     bands = lines.where("bands is not null").select("key", F.explode("bands").alias("sig"))
@@ -243,7 +248,7 @@ def removed(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT)
     heads = grouped.groupBy("root").agg(F.min("first").alias("head"))
     several = cut(alone.union(grouped.join(heads, "root").select("key", F.col("head").alias("first"))))
     gone = lines.select("id", "tkey", "no", "key").join(several, "key").where(~place.eqNullSafe(F.col("first")))
-    return cut(gone.groupBy("id", "tkey").agg(F.collect_set("no").alias("nos"))), several.select("key")
+    return gone.groupBy("id", "tkey").agg(F.collect_set("no").alias("nos"))
 
 
 def _left(text: str, nos: list[int] | None) -> list[str]:
@@ -260,7 +265,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     and texts are one place and keep or lose the same lines; rows with equal ids and different texts are kept apart; a null id comes first.
     An empty table gives an empty one. Columns of ``keep`` are carried.
     """
-    gone, _ = removed(docs, id_col, text_col, percent)
+    gone = removed(docs, id_col, text_col, percent)
     held = docs.sparkSession.sparkContext.broadcast(S.build(gone, "tkey"))
     carried = list(dict.fromkeys((id_col, *keep)))
     frame = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)], F.col(f"`{text_col}`").alias("text"))

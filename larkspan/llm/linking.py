@@ -18,7 +18,7 @@ PARITY = [f"p{i}" for i in range(LONGS)]
 WIDE_FROM, WIDE_BYTES = 800, 2048  # sets of that many elements have 16384 parity bits more, which pairs are held against before their elements are
 FEW = 16
 MOST_KEYS = 1 << 19  # what is broadcast to pick rows by key: 4 MB of keys at most
-ROUNDS, ORDERS = 3, 4  # rounds of stars, and in each the orders by which groups choose their centres
+ROUNDS, ORDERS = 2, 4  # rounds of stars, and in each the orders by which groups choose their centres
 
 
 def parities(doc: np.ndarray, spread: np.ndarray, n: int) -> list[pa.Array]:

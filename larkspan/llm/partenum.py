@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from larkspan.llm import sieve as S
 from larkspan.llm import words as W
 from larkspan.llm.linking import PARITY, connect, distinct_groups, near, near_wide, parities, picked, wide_parities
-from larkspan.llm.shared import cut, tidy
+from larkspan.llm.shared import cut, scope, tidy
 
 PARTS = 3  # of a partition; a signature leaves one out
 SLACK, SLACK_SHARE, SLACK_FROM = 2, 40, 8  # 2 + k // 40 partitions more than needed where k is 8 or more, so that hardly a set has to sign subsets without elements
@@ -152,9 +152,9 @@ def _signed(texts: DataFrame, ngram: int, percent: int) -> DataFrame:
     return texts.mapInArrow(tidy(run), "sig long, key long")
 
 
-def _members(texts: DataFrame, ngram: int, percent: int, shared: DataFrame) -> DataFrame:
-    """Rows (key, n, parities, wide, sigs, elems) of the sets with signatures that may be among ``shared``; one row for each key."""
-    held = texts.sparkSession.sparkContext.broadcast(S.build(shared, "sig"))
+def _shared(texts: DataFrame, ngram: int, percent: int, several: DataFrame) -> DataFrame:
+    """Rows (sig, key) of the signatures ``several``; equal sets of several slices come several times."""
+    held = texts.sparkSession.sparkContext.broadcast(S.build(several, "sig"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,19 +162,27 @@ def _members(texts: DataFrame, ngram: int, percent: int, shared: DataFrame) -> D
                 own = sets.only(_fresh(sets))
                 doc, sig = own.signatures(percent)
                 ok = S.passes(held.value, sig)
-                doc, sig = doc[ok], sig[ok]
-                order = np.argsort(doc, kind="stable")
-                doc, sig = doc[order], sig[order]
-                docs, first = np.unique(doc, return_index=True)
-                if not len(docs):
-                    continue
-                own = own.only(docs)
-                sigs = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), _longs(sig))
-                elems = pa.ListArray.from_arrays(pa.array(own.first.astype(np.int32)), _longs(own.hash))
-                yield pa.RecordBatch.from_arrays([_longs(own.key), _longs(own.size), *parities(own.doc, own.spread, len(docs)), wide_parities(own.doc, own.spread, own.size), sigs, elems], ["key", "n", *PARITY, "wide", "sigs", "elems"])
+                yield pa.RecordBatch.from_arrays([_longs(sig[ok]), _longs(own.key[doc[ok]])], ["sig", "key"])
 
-    kinds = ", ".join(["key long, n long", *(f"{p} long" for p in PARITY), "wide binary, sigs array<long>, elems array<long>"])
-    return texts.mapInArrow(tidy(run), kinds).dropDuplicates(["key"])
+    return texts.mapInArrow(tidy(run), "sig long, key long").join(several, "sig", "left_semi")
+
+
+def _members(texts: DataFrame, ngram: int, wanted: DataFrame) -> DataFrame:
+    """Rows (key, n, parities, wide, elems) of the wanted sets, one for each key."""
+    held = texts.sparkSession.sparkContext.broadcast(S.build(wanted, "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, sets in _sets(batch.column("text"), ngram):
+                docs = _fresh(sets)
+                docs = docs[S.passes(held.value, sets.key[docs])]
+                if len(docs):
+                    own = sets.only(docs)
+                    elems = pa.ListArray.from_arrays(pa.array(own.first.astype(np.int32)), _longs(own.hash))
+                    yield pa.RecordBatch.from_arrays([_longs(own.key), _longs(own.size), *parities(own.doc, own.spread, len(docs)), wide_parities(own.doc, own.spread, own.size), elems], ["key", "n", *PARITY, "wide", "elems"])
+
+    kinds = ", ".join(["key long, n long", *(f"{p} long" for p in PARITY), "wide binary, elems array<long>"])
+    return texts.mapInArrow(tidy(run), kinds).dropDuplicates(["key"]).join(wanted, "key", "left_semi")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -193,14 +201,14 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def roots(texts: DataFrame, ngram: int, percent: int) -> DataFrame:
     """Rows (node, root) of the keys of sets that the similarity graph links to others.
 
-    A first pass finds the signatures of several keys, by aggregation; a second one brings the sets that have such, once for each key, with what connect() needs.
+    A first pass finds the signatures of several keys, by aggregation, a second one the keys of these, and a third one brings those sets, once for each key.
     """
-    ends = _signed(texts, ngram, percent).groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-    several = cut(ends.where("lo <> hi").select("sig"))
-    sets = cut(_members(texts, ngram, percent, several))
-    shared = cut(sets.select(F.explode("sigs").alias("sig"), "key").join(several, "sig", "left_semi"))
-    shared = cut(distinct_groups(shared))
-    return connect(shared, sets.select("key", "n", *PARITY), near("x", "y", percent), lambda pairs: _similar(pairs, sets, percent))
+    with scope(texts.sparkSession) as kept:
+        ends = _signed(texts, ngram, percent).groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+        several = cut(ends.where("lo <> hi").select("sig"))
+        shared = cut(distinct_groups(cut(_shared(texts, ngram, percent, several).distinct())))
+        sets = cut(_members(texts, ngram, cut(shared.select("key").distinct())))
+        return kept(connect(shared, sets.select("key", "n", *PARITY), near("x", "y", percent), lambda pairs: _similar(pairs, sets, percent)))
 
 
 def _told(docs: DataFrame, id_col: str, text_col: str, ngram: int, percent: int, keep: tuple[str, ...]) -> tuple[DataFrame, list[str]]:

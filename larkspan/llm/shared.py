@@ -5,9 +5,9 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +27,44 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "/tmp/checkpoints"
     path = f"{root.rstrip('/')}/larkspan/{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+    fs, where = _folder(spark, path)
+    fs.deleteOnExit(where)
     return path
 
 
+_SCOPES: list[dict[str, bool]] = []
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within it, what cut() writes is deleted at the end, but for what is cut by the function that it gives: results that are made of other cut tables are made in here."""
+    made: dict[str, bool] = {}
+    _SCOPES.append(made)
+
+    def kept(df: DataFrame) -> DataFrame:
+        before = set(made)
+        out = cut(df)
+        for path in set(made) - before:
+            made[path] = True
+        return out
+
+    try:
+        yield kept
+    finally:
+        _SCOPES.pop()
+        for path, stays in made.items():
+            if not stays:
+                fs, where = _folder(spark, path)
+                fs.delete(where, True)
+            elif _SCOPES:
+                _SCOPES[-1][path] = False  # the outer scope decides
+
+
 def cut(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to a shared folder and read it back: its lineage ends there, and a lost executor costs no rerun.
 
@@ -40,6 +72,8 @@ def cut(df: DataFrame, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
+    if _SCOPES:
+        _SCOPES[-1][path] = False
     small_batches(spark)
     df.write.options(**options).parquet(path)
     spark.sparkContext._jvm.System.gc()

@@ -17,7 +17,7 @@ def probes(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def build(keys: DataFrame, key: str) -> np.ndarray:
     """The sieve of a long column: bits as uint64 words, made by aggregation, so that the driver gets MOST_BITS at most."""
     n = max(1, keys.agg(F.approx_count_distinct(key)).first()[0])
-    bits = min(MOST_BITS, max(1 << 12, 1 << (16 * n - 1).bit_length()))
+    bits = min(MOST_BITS, max(1 << 12, 1 << (32 * n - 1).bit_length()))
     at = F.explode(F.array(F.col(key).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(bits - 1))))
     words = keys.select(at.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toPandas()
     out = np.zeros(bits >> 6, np.uint64)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from larkspan.llm import fm_index
 from larkspan.llm import sieve as S
 from larkspan.llm import words as W
-from larkspan.llm.shared import cut, partitions, tidy
+from larkspan.llm.shared import cut, partitions, scope, tidy
 from larkspan.llm.winnowing import _sliding_min
 
 SPAN, K = 50, 20
@@ -211,8 +211,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     predecessor. Rows with equal ids and equal texts get equal results; rows with equal ids and different texts are kept apart. An empty table gives an empty one.
     Texts of any length are searched whole.
     """
-    found = repeats(docs, id_col, text_col, span, k).groupBy("id", "tkey").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    found = cut(found)
+    with scope(docs.sparkSession) as kept:
+        found = kept(repeats(docs, id_col, text_col, span, k).groupBy("id", "tkey").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
     held = docs.sparkSession.sparkContext.broadcast(S.build(found, "tkey"))
     frame = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = dict(frame.dtypes)["id"]
