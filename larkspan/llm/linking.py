@@ -59,10 +59,10 @@ def near_wide(percent: int):
     return run
 
 
-def picked(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` (key, ...) whose key is among ``keys``, a written table: by a broadcast where the keys are few, else by a partitioned join."""
-    keys = keys.select("key")
-    return rows.join(F.broadcast(keys) if keys.count() <= MOST_KEYS else keys, "key", "left_semi")
+def picked(rows: DataFrame, keys: DataFrame, on: str = "key") -> DataFrame:
+    """``rows`` whose ``on`` is among ``keys``, a written table: by a broadcast where the keys are few, else by a partitioned join."""
+    keys = keys.select(on)
+    return rows.join(F.broadcast(keys) if keys.count() <= MOST_KEYS else keys, on, "left_semi")
 
 
 def near(a: str, b: str, percent: int) -> Column:
@@ -75,7 +75,7 @@ def near(a: str, b: str, percent: int) -> Column:
 def open_groups(rows: DataFrame) -> DataFrame:
     """``rows`` (sig, key, ...) of the groups with more than one key. Groups are told by their least and greatest key, aggregated before the shuffle, so a hot group is no task's."""
     ends = rows.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
-    return rows.join(ends.select("sig"), "sig", "left_semi")
+    return picked(rows, cut(ends.select("sig")), "sig")
 
 
 def distinct_groups(shared: DataFrame) -> DataFrame:
@@ -106,15 +106,15 @@ def _unmerged(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _stars(held: DataFrame, heads: DataFrame, close: Column, turn: int) -> DataFrame:
-    """Pairs (a, b) to verify: each key with a centre of one of its groups that ``close`` allows, at most one pair for two components.
+    """Pairs (a, b) to verify: each key with the centre of most of its groups, if ``close`` allows it, and at most one pair for two components.
 
     A group's centre is its first key by one of ORDERS random orders, so that a key meets several centres of its surroundings, but not one for each group.
     """
     order = F.xxhash64("key", F.pmod(F.shiftright("sig", 7), F.lit(ORDERS)), F.lit(turn))
     centre = held.groupBy("sig").agg(F.min(F.struct(order.alias("o"), F.col("key").alias("a"), F.col("root").alias("ra"))).alias("c")).select("sig", "c.a", "c.ra")
-    pairs = held.join(centre, "sig").where("root <> ra").select("a", "ra", F.col("key").alias("b"), F.col("root").alias("rb")).distinct()
-    ok = pairs.join(heads.alias("x"), pairs["a"] == F.col("x.key")).join(heads.alias("y"), pairs["b"] == F.col("y.key")).where(close)
-    one = ok.groupBy("b", "rb").agg(F.min(F.struct(F.xxhash64("a", F.lit(turn)).alias("o"), "a", "ra")).alias("c")).select("c.a", "c.ra", "b", "rb")
+    pairs = held.join(centre, "sig").where("root <> ra").groupBy("a", "ra", F.col("key").alias("b"), F.col("root").alias("rb")).agg(F.count("*").alias("n"))
+    most = pairs.groupBy("b", "rb").agg(F.max(F.struct("n", F.xxhash64("a", F.lit(turn)).alias("o"), "a", "ra")).alias("c")).select("c.a", "c.ra", "b", "rb")
+    one = most.join(heads.alias("x"), F.col("a") == F.col("x.key")).join(heads.alias("y"), F.col("b") == F.col("y.key")).where(close).select("a", "ra", "b", "rb")
     return one.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
 
 
