@@ -10,9 +10,9 @@ def _r(c, n=6):
     return F.round(c, n)
 
 
-@query("shared_across", "WITH d AS (SELECT s_nationkey % 3 g, l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey < 200), k AS (SELECT l_partkey FROM d GROUP BY 1 HAVING count(DISTINCT g) = (SELECT count(DISTINCT g) FROM d)) SELECT l_partkey, count(*) n FROM d WHERE l_partkey IN (SELECT * FROM k) GROUP BY 1")
+@query("shared_across", "WITH d AS (SELECT s_nationkey % 3 g, l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), k AS (SELECT l_partkey FROM d GROUP BY 1 HAVING count(DISTINCT g) = (SELECT count(DISTINCT g) FROM d)) SELECT l_partkey, count(*) n FROM d WHERE l_partkey IN (SELECT * FROM k) GROUP BY 1")
 def shared_across(spark, sf):
-    d = table(spark, sf, "lineitem").where("l_partkey < 200").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select((F.col("s_nationkey") % 3).alias("g"), "l_partkey")
+    d = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select((F.col("s_nationkey") % 3).alias("g"), "l_partkey")
     return C.shared_across(d, "g", "l_partkey").groupBy("l_partkey").agg(F.count("*").alias("n"))
 
 

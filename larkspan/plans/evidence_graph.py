@@ -35,12 +35,12 @@ def posterior(spark, sf):
     return E.aggregate_log_lr(_items(spark, sf)).select("hid", _r(E.posterior(F.lit(-2.0), F.col("log_lr"))).alias("posterior"))
 
 
-@query("adjudication", f"WITH {_LR}, t AS (SELECT l_suppkey % 25 hid, count(DISTINCT CASE WHEN l_partkey % 7 <> 0 THEN l_partkey % 7 END) n, max(CASE WHEN l_orderkey % 15000 = 1 THEN 1 ELSE 0 END) b FROM lineitem WHERE l_orderkey % 500 = 1 GROUP BY 1), p AS (SELECT n_nationkey hid, 1 / (1 + exp(-(-2 + log_lr))) p, CASE WHEN n_regionkey = 0 THEN 'proposed' ELSE 'under_test' END st, n, b, n_nationkey % 3 = 0 AND n_nationkey < 12 f FROM nation LEFT JOIN a ON hid = n_nationkey LEFT JOIN t USING (hid)) SELECT hid, CASE WHEN st = 'proposed' THEN st WHEN f OR coalesce(b, 0) = 1 OR p <= 0.05 THEN 'refuted' WHEN p < 0.9 OR coalesce(n, 0) < 2 THEN 'under_test' ELSE 'surviving' END state FROM p")
+@query("adjudication", f"WITH {_LR}, t AS (SELECT l_suppkey % 25 hid, count(DISTINCT CASE WHEN l_partkey % 7 <> 0 THEN l_partkey % 7 END) n, max(CASE WHEN l_orderkey % 15000 = 1 THEN 1 ELSE 0 END) b FROM lineitem GROUP BY 1), p AS (SELECT n_nationkey hid, 1 / (1 + exp(-(-2 + log_lr))) p, CASE WHEN n_regionkey = 0 THEN 'proposed' ELSE 'under_test' END st, n, b, n_nationkey % 3 = 0 AND n_nationkey < 12 f FROM nation LEFT JOIN a ON hid = n_nationkey LEFT JOIN t USING (hid)) SELECT hid, CASE WHEN st = 'proposed' THEN st WHEN f OR coalesce(b, 0) = 1 OR p <= 0.05 THEN 'refuted' WHEN p < 0.9 OR coalesce(n, 0) < 2 THEN 'under_test' ELSE 'surviving' END state FROM p")
 def adjudication(spark, sf):
     n = table(spark, sf, "nation")
     h = n.select(F.col("n_nationkey").alias("hid"), F.when(F.col("n_regionkey") == 0, "proposed").otherwise("under_test").alias("state"), F.lit("causal").alias("claim"), F.lit(-2.0).alias("prior_log_odds"))
     p = n.select(F.col("n_nationkey").alias("hid"), (F.col("n_nationkey") % 3 == 0).alias("critical"), F.lit(">=").alias("operator"), F.lit(12.0).alias("threshold"), F.col("n_nationkey").cast("double").alias("observed"))
-    t = table(spark, sf, "lineitem").where("l_orderkey % 500 = 1").select((F.col("l_suppkey") % 25).cast("int").alias("hid"), (F.col("l_partkey") % 7).alias("actor"), F.lit(0).alias("independent_of"), (F.col("l_orderkey") % 15000 == 1).alias("succeeded"))
+    t = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 25).cast("int").alias("hid"), (F.col("l_partkey") % 7).alias("actor"), F.lit(0).alias("independent_of"), (F.col("l_orderkey") % 15000 == 1).alias("succeeded"))
     return E.adjudicated(h, _items(spark, sf), p, t).select("hid", "state")
 
 
@@ -66,9 +66,9 @@ def deg_evidence(spark, sf):
     return E.deg_evidence(d).select("p_brand", "n", _r("reliability").alias("reliability"))
 
 
-@query("ledger_verify", "SELECT user_id, count(*) n, 0::BIGINT n_faults FROM events WHERE user_id % 15 = 0 GROUP BY 1")
+@query("ledger_verify", "SELECT user_id, count(*) n, 0::BIGINT n_faults FROM events GROUP BY 1")
 def ledger_verify(spark, sf):
-    e = table(spark, sf, "events").where("user_id % 15 = 0").select(F.col("user_id").alias("chain"), F.col("event_id").alias("seq"), F.col("props").alias("payload"), "event_type")
+    e = table(spark, sf, "events").select(F.col("user_id").alias("chain"), F.col("event_id").alias("seq"), F.col("props").alias("payload"), "event_type")
     sealed = E.sealed(e, ["seq", "event_type"])
     faults = E.ledger_faults(sealed, ["seq", "event_type"]).groupBy("chain").agg(F.count("*").alias("f"))
     n = sealed.groupBy("chain").agg(F.count("*").alias("n"))
@@ -78,10 +78,10 @@ def ledger_verify(spark, sf):
 def _edges(spark, sf):
     """Nations to nations: who sells to whom, by hash of the order."""
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return o.where("o_orderkey % 400 = 0").select(F.col("c_nationkey").cast("long").alias("src"), ((F.col("o_orderkey") / 400).cast("long") % 31).alias("dst")).where("src <> dst").distinct()
+    return o.select(F.col("c_nationkey").cast("long").alias("src"), ((F.col("o_orderkey") / 400).cast("long") % 31).alias("dst")).where("src <> dst").distinct()
 
 
-_EDGE = "e AS (SELECT DISTINCT c_nationkey::BIGINT src, (o_orderkey // 400) % 31 dst FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 400 = 0 AND c_nationkey <> (o_orderkey // 400) % 31)"
+_EDGE = "e AS (SELECT DISTINCT c_nationkey::BIGINT src, (o_orderkey // 400) % 31 dst FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> (o_orderkey // 400) % 31)"
 
 
 @query("graph_hubs", f"WITH {_EDGE} SELECT id, count(*) degree FROM (SELECT src id FROM e UNION ALL SELECT dst FROM e) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
