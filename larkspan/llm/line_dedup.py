@@ -200,8 +200,9 @@ def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs (a, b) whose lines have alike sets of shingles."""
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            own = sum(np.diff(W.buffers(batch.column(side))[1]) for side in ("la", "lb")) + 64
+            for lo, hi in W.cuts(np.concatenate([[0], np.cumsum(own)])):  # by bytes: a line can be a whole long text
+                part = batch.slice(lo, hi - lo)
                 sets = []
                 for side in ("la", "lb"):
                     data, offset = W.buffers(part.column(side))

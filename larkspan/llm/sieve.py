@@ -19,9 +19,13 @@ def build(keys: DataFrame, key: str) -> np.ndarray:
     n = max(1, keys.agg(F.approx_count_distinct(key)).first()[0])
     bits = min(MOST_BITS, max(1 << 12, 1 << (32 * n - 1).bit_length()))
     at = F.explode(F.array(F.col(key).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(bits - 1))))
-    words = keys.select(at.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toPandas()
-    out = np.zeros(bits >> 6, np.uint64)
-    out[words.w.to_numpy(np.int64)] = words.v.to_numpy(np.int64).view(np.uint64)
+    each = keys.select(at.alias("b")).select((F.col("b") + 1).alias("b"))  # bitmaps of 32768 bits, numbered from 1
+    maps = each.groupBy(F.bitmap_bucket_number("b").alias("w")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("v"))
+    size = min(bits >> 3, 1 << 12)
+    out = np.zeros(max(1, bits >> 15) * size, np.uint8)
+    for r in maps.collect():
+        out[(r.w - 1) * size : r.w * size] = np.frombuffer(bytes(r.v), np.uint8)[:size]
+    out = out.view(np.uint64)
     return out
 
 
