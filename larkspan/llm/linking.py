@@ -16,7 +16,7 @@ from larkspan.llm.shared import cut
 LONGS = 16  # 1024 parity bits a set, a column for each 64: a condition on them stays small enough to be compiled
 PARITY = [f"p{i}" for i in range(LONGS)]
 WIDE_FROM, WIDE_BYTES = 800, 2048  # sets of that many elements have 16384 parity bits more, which pairs are held against before their elements are
-FEW = 16
+FEW = 8
 MOST_KEYS = 1 << 19  # what is broadcast to pick rows by key: 4 MB of keys at most
 ROUNDS, ORDERS = 2, 4  # rounds of stars, and in each the orders by which groups choose their centres
 
@@ -139,7 +139,7 @@ def connect(shared: DataFrame, heads: DataFrame, close: Column, similar: Callabl
     some pairs (a, b). In a few rounds each key is compared with one centre of its groups, which merges nearly all that belongs together; then the pairs across what is still
     apart, minus those that ``close`` rules out, are compared exactly. A pair that is connected already is not compared.
     """
-    roots, held = None, cut(shared.select("sig", "key", F.col("key").alias("root")))
+    roots, held = None, shared.select("sig", "key", F.col("key").alias("root"))
     for turn in range(ROUNDS):
         found = cut(similar(cut(_stars(held, heads, close, turn))))
         if found.isEmpty():

@@ -206,7 +206,8 @@ def roots(texts: DataFrame, ngram: int, percent: int) -> DataFrame:
     with scope(texts.sparkSession) as kept:
         ends = _signed(texts, ngram, percent).groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
         several = cut(ends.where("lo <> hi").select("sig"))
-        shared = cut(distinct_groups(cut(_shared(texts, ngram, percent, several).distinct())))
+        with scope(texts.sparkSession) as own:
+            shared = own(distinct_groups(cut(_shared(texts, ngram, percent, several).distinct())))
         sets = cut(_members(texts, ngram, cut(shared.select("key").distinct())))
         return kept(connect(shared, sets.select("key", "n", *PARITY), near("x", "y", percent), lambda pairs: _similar(pairs, sets, percent)))
 

@@ -75,7 +75,7 @@ def cut(df: DataFrame, **options: str) -> DataFrame:
     if _SCOPES:
         _SCOPES[-1][path] = False
     small_batches(spark)
-    df.write.options(**options).parquet(path)
+    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
