@@ -145,6 +145,43 @@ def test_resampling_prefers_the_target(spark, empty):
     assert importance.resample(empty, labels).count() == 0
 
 
+def test_resampling_is_what_exact_counts_give(spark):
+    """With far more buckets than n-grams the hashed models are the exact ones; keys, ties, ranks and the share are stated again in Python."""
+    rnd = random.Random(12)
+    pool = "the of and The é 漢 x1 7 zq".split()
+    text = lambda k: "".join(rnd.choice(pool) + rnd.choice([" ", ", ", "!! ", "\n", "-"]) for _ in range(k))
+    given = [(i, text(rnd.choice([0, 1, 2, 30, 90])), "clash") for i in range(60)] + [(60, None, "c"), (61, "", "c"), (62, " \n", "c"), (None, "the of", "c"), (3, "again"[:3], "c"), (63, "the of " * 4000, "c")]
+    given.append(given[5])
+    marks = [(i, i % 3 % 2, int(i == 4)) for i in range(40)] + [(None, 1, 0), (1, 1, None), (999, 1, 0), (7, None, 0)]
+    d = spark.createDataFrame(given, "doc_id long, text string, kept string").repartition(3)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+
+    def features(t):
+        w = re.findall(r"[0-9A-Za-z\x80-\U0010FFFF]+", t or "")
+        return Counter([*w, *zip(w, w[1:]), *((m,) for m in re.findall(r"[\x00-\x08\x0E-\x1F!-/:-@\[-`{-\x7F]+", t or ""))])
+
+    good = [i for i, q, x in marks if q == 1 and not x and i is not None]
+    counted, raw, target = [features(t) for _, t, _ in given], Counter(), Counter()
+    for (i, *_), f in zip(given, counted, strict=True):
+        raw += f
+        target += f if i in good else Counter()
+    n = 1 << 18
+    ratio = {g: np.log((target[g] + 1) / (target.total() + n)) - np.log((raw[g] + 1) / (raw.total() + n)) for g in raw}
+    hashes = {r.doc_id: r.h for r in d.select("doc_id", F.xxhash64("doc_id", F.lit(17)).alias("h")).collect()}
+    rows = []
+    for (i, *_), f in zip(given, counted, strict=True):
+        weight = sum(k * ratio[g] for g, k in f.items())
+        u = (((hashes[i] & (1 << 64) - 1) >> 11) + 0.5) / 2.0**53
+        rows.append((i, f.total(), weight, weight - np.log(-np.log(u))))
+    rows.sort(key=lambda r: (-round(r[3], 7), r[0] is not None, r[0] or 0))
+    got = sorted(importance.resample(d, labels, buckets=n).collect(), key=lambda r: r.sample_rank)
+    assert [r.sample_rank for r in got] == list(range(len(given)))
+    assert [(r.doc_id, r.n_features) for r in got] == [r[:2] for r in rows]
+    assert np.allclose([(r.log_weight, r.gumbel_key) for r in got], [r[2:] for r in rows], rtol=1e-9, atol=1e-7)
+    share = len(good) / len(marks)
+    assert [r.kept for r in got] == [k < int(len(given) * share + 0.5) for k in range(len(given))]
+
+
 # 5
 
 
@@ -512,3 +549,91 @@ def test_substring_dedup(docs, rows, empty, most, monkeypatch):
         expected[(i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone)))] += 1
     assert _by_row(substring_dedup.dedup(docs), rows, ["n_words", "n_removed", "kept_sha256"]) == expected
     assert substring_dedup.dedup(empty).count() == 0
+
+
+# the pipeline
+
+
+def _good_brute(t):
+    w = BLANK.findall(t or "")
+    triples = Counter(zip(w, w[1:], w[2:]))
+    repeat = {i + k for i in range(len(w) - 2) if triples[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    if len(w) < 50 or 100 * len(repeat) > 50 * len(w) or 10 * len(re.findall(r"[#*$%&|<>]", t)) > len(w):
+        return False
+    lines, seen, again = [x for x in t.split("\n") if BLANK.search(x)], set(), []
+    for x in lines:
+        again += [x] if x in seen else []
+        seen.add(x)
+    if 10 * len(again) > 3 * len(lines) or 5 * sum(map(len, again)) > sum(map(len, lines)):
+        return False
+    for n in (5, 7, 10):
+        seen, inside = set(), set()
+        for i in range(len(w) - n + 1):
+            g = tuple(w[i : i + n])
+            inside |= set(range(i, i + n)) if g in seen else set()
+            seen.add(g)
+        if 5 * sum(len(w[i]) for i in inside) > sum(map(len, w)):
+            return False
+    return True
+
+
+def _pipeline_brute(rows, items, lib):
+    """(id, lang, source, ids) of what is left, and how many rows each stage kept; rows are (id, text, lang, source, ...)."""
+    told = [len(rows)]
+    rows = [r for r in rows if _good_brute(r[1])]
+    told.append(len(rows))
+    gone, cut_down = _lines_brute(rows), []
+    for i, t, *rest in rows:
+        lost = gone[(i, t)]
+        left = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in lost)
+        if not lost or BLANK.search(left):
+            cut_down.append((i, left, *rest))
+    rows = cut_down
+    told.append(len(rows))
+    sets = []
+    for _, t, *_ in rows:
+        w = BLANK.findall(t.translate(LOWER))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
+    root = _groups(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    rows = [min((rows[i] for i in range(len(rows)) if root[i] == g), key=lambda r: (r[0] is None, r[0] or 0)) for g in sorted(set(root))]
+    told.append(len(rows))
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    runs = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    windows = set().union(*(runs(words(t), min(10, len(words(t)))) for i, t in items if i is not None and words(t)))
+    rows = [r for r in rows if not any(runs(words(r[1]), n) & windows for n in {len(x) for x in windows})]
+    told.append(len(rows))
+    return Counter((i, lang, source, (*lib.encode(t), 2)) for i, t, lang, source, *_ in rows), told
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    import sentencepiece
+    from conftest import SCHEMA, corpus
+
+    rnd = random.Random(31)
+    own = lambda k: " ".join("".join(rnd.choice("klmnopqrst") for _ in range(rnd.randint(2, 7))) for _ in range(k))
+    body, license_line = own(90), "All rights reserved by the holders of this text."
+    like = {}  # rows with equal ids and texts: any one of them may stay, so here they are equal in all columns
+    rows = [like.setdefault(r[:2], r) for r in corpus(70, 9)]
+    rows += [(200 + i, f"{own(60)}\n{license_line}\n{own(20)}", "en", "s0", None, 7, True, 3) for i in range(4)]
+    rows += [(300 + i, f"{body} end{i}", "en", None, 5, None, None, None) for i in range(30)] + [(None, f"{own(70)}\n{body}", None, None, None, None, None, None)]
+    tainted = own(80)
+    rows += [(400, tainted, None, "s2", 1, 1, False, 0), (401, own(12) + " \n" + " ".join(tainted.split()[20:31]).upper() + "\n" + own(60), "fr", "s2", 1, 1, False, 0)]
+    items = [("a", " ".join(tainted.split()[18:40])), ("b", None), ("c", "..."), ("d", own(40)), (None, None), ("a", own(3))]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    expected, told = _pipeline_brute(rows, items, sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.MODEL))
+    assert told[1] < told[0] and told[3] < told[2] and told[4] < told[3] and told[4] > 10, told
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids"]
+    found = got.collect()
+    assert Counter((r.doc_id, r.lang, r.source, tuple(map(int, r.ids))) for r in found) == expected
+    assert all(r.n_tokens == len(r.ids) for r in found)
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
