@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspan.llm.shared import ranked
+from larkspan.llm.shared import cut, partitions, ranked
 
 MADE = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve")
 
@@ -55,20 +55,28 @@ def curve_index(cells: Sequence[Column], bits: int) -> Column:
     return F.floor(F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), F.lit(0).cast("long"), step) / states)
 
 
-def _measure(df: DataFrame, name: str) -> Column:
-    """A double that orders as the column does; of a string, its first six bytes count."""
-    kind = dict(df.dtypes)[name]
-    c = F.col(f"`{name}`")
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return (c.cast("timestamp") if kind == "date" else c).cast("double")
+def string_bounds(docs: DataFrame, name: str, cells: int) -> list[str]:
+    """For i from 1 to cells - 1 the least whole value that i / cells of the rows with a value do not exceed; [] without any.
 
-
-def _bucket(value: Column, bounds: Sequence[float]) -> Column:
+    Values are counted before they are sorted, over range partitions, so neither a hot value nor many different ones meet in one task; up to
+    cells - 1 values reach the driver.
+    """
+    counts = docs.groupBy(F.col(f"`{name}`").alias("v")).agg(F.count("*").alias("n")).where("v is not null")
+    counts = cut(counts.repartitionByRange(partitions(docs.sparkSession), "v").select("*", F.spark_partition_id().alias("part")))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = counts.groupBy("part").agg(F.sum("n").alias("m")).select("part", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy()).alias("total"))
+    up_to = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    told = counts.withColumn("run", up_to).join(F.broadcast(starts), "part").withColumn("run", F.col("run") + F.col("before"))
+    crossing = told.select("v", "total", "run", F.expr(f"(run - n) * {cells} div total").alias("low"), F.expr(f"run * {cells} div total").alias("high")).where("high > low")
+    found = sorted(crossing.select("high", "v").collect())
+    return [next(v for high, v in found if high >= i) for i in range(1, cells)] if found else []
+
+
+def _bucket(value: Column, bounds: Sequence[float | str]) -> Column:
     """How many of the bounds are below the value; 0 for a null."""
     if not bounds:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < value)), F.lit(0))
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < value)), F.lit(0))
 
 
 def shard(docs: DataFrame, dims: Sequence[str] = ("lang", "source", "n_chars"), n_shards: int = 8, bits: int = 4, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -76,17 +84,18 @@ def shard(docs: DataFrame, dims: Sequence[str] = ("lang", "source", "n_chars"),
 
     Returns id_col, the columns named in ``keep``, and MADE (which win over input columns of the same names): size (UTF-8 bytes
     of the text plus one), text_crc32, law, shard (from 0), slot (gapless from 0 in each shard), grown_shard (null under this law) and
-    curve, the index on the curve. A null text counts as empty; a null in a dimension falls in the lowest cell; a null id sorts first. Rows
+    curve, the index on the curve. A null text counts as empty; a null in a dimension falls in the lowest cell; whole strings are quantised, in the order of their UTF-8 bytes; a null id sorts first. Rows
     with equal keys stay apart, each with a slot of its own. An empty table gives an empty one. Long texts are only measured.
 
     Every row is sorted by (curve, id, crc, size) over range partitions, which also splits a hot cell; see ranked().
     """
     cells = 1 << bits
-    measures = {f"__m{i}": _measure(docs, d) for i, d in enumerate(dims)}
-    found = docs.select(*[c.alias(k) for k, c in measures.items()]).agg(*[F.percentile_approx(k, [i / cells for i in range(1, cells)], 10_000).alias(k) for k in measures]).first()
-    coords = []
-    for k, c in measures.items():
-        coords.append(_bucket(c, found[k] or []))
+    kinds = dict(docs.dtypes)
+    value = {d: F.col(f"`{d}`") if kinds[d] == "string" else (F.col(f"`{d}`").cast("timestamp") if kinds[d] == "date" else F.col(f"`{d}`")).cast("double") for d in dims}
+    numeric = [d for d in dims if kinds[d] != "string"]
+    found = docs.agg(F.count("*"), *[F.percentile_approx(value[d], [i / cells for i in range(1, cells)], 10_000) for d in numeric]).first()
+    bounds = dict(zip(numeric, found[1:], strict=True)) | {d: string_bounds(docs, d, cells) for d in dims if kinds[d] == "string"}
+    coords = [_bucket(value[d], bounds[d] or []) for d in dims]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     carried = [c for c in dict.fromkeys((id_col, *keep)) if c not in MADE]
     rows = docs.select(*[f"`{c}`" for c in carried], (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), curve_index(coords, bits).alias("curve"))

@@ -119,12 +119,27 @@ def test_shards(docs, rows, empty, tmp_path):
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in size.items())
     expected = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == expected
-    assert [r.curve for r in sorted(got, key=lambda r: (r.shard, r.slot))] == sorted(r.curve for r in got)
+    order = sorted(got, key=lambda r: (r.curve, r.doc_id is not None, r.doc_id or 0, r.text_crc32, r["size"]))
+    place = [(k, k * 8 // len(got)) for k in range(len(got))]
+    assert [(r.shard, r.slot) for r in order] == [(s, k - -(-s * len(got) // 8)) for k, s in place]
     assert hilbert.shard(empty).count() == 0
     boxes = hilbert.write_shards(docs, str(tmp_path / "s"), dims=("lang", "source")).collect()
     assert sum(b.n_rows for b in boxes) == len(rows)
 
 
+def test_strings_with_one_beginning_are_told_apart(spark, tmp_path):
+    rnd = random.Random(2)
+    long = "https://example.org/" + "a" * 50
+    values = [rnd.choice([None, f"{long}{rnd.randrange(300):03d}", f"{long}007", "é漢", "😀", ""]) for _ in range(700)]
+    d = spark.createDataFrame([(i, "t", v) for i, v in enumerate(values)], "doc_id long, text string, source string").repartition(3)
+    given = sorted(v.encode() for v in values if v is not None)
+    assert [b.encode() for b in hilbert.string_bounds(d, "source", 16)] == [given[-(-i * len(given) // 16) - 1] for i in range(1, 16)]
+    assert hilbert.string_bounds(d.where("source is null"), "source", 16) == []
+    boxes = hilbert.write_shards(d.where(F.col("source").startswith(long)), str(tmp_path / "s"), dims=("source",)).orderBy("shard").collect()
+    assert all(int(b.min_source[-3:]) > int(a.max_source[-3:]) - 40 for a, b in zip(boxes, boxes[1:]))
+    assert sum(b.min_source != boxes[0].min_source for b in boxes) > 4
+
+
 # 4
 
 
