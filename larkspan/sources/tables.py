@@ -194,8 +194,10 @@ def export_for_matrix_market(df: DataFrame, row: str, column: str, value: str, p
 
 
 def markdown(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
-    """A small table as Markdown; numbers are rounded."""
-    rows: pd.DataFrame = df.limit(most).toPandas()
+    """A small table as Markdown; numbers are rounded. One of more than ``most`` rows is refused, not cut down."""
+    rows: pd.DataFrame = df.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write the table to a sink, or raise most")
     cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows.itertuples(index=False))])

@@ -171,6 +171,14 @@ def test_sources_and_sinks(spark, tmp_path):
     assert tables.without_ids(spark.createDataFrame([(1, 2)], "id int, `G (12)` int")).columns == ["id", "G"]
 
 
+def test_markdown_refuses_what_it_would_cut(spark):
+    df = spark.range(3).selectExpr("id", "id / 3 AS x")
+    assert tables.markdown(df.orderBy("id"), most=3).split("\n")[2:] == ["| 0 | 0.000 |", "| 1 | 0.333 |", "| 2 | 0.667 |"]
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        tables.markdown(df, most=2)
+    assert tables.markdown(df.limit(0)) == "| id | x |\n|---|---|"
+
+
 def test_streamed_counts_equal_batch_counts(spark, tmp_path):
     from larkspan.streaming.windows import hourly_counts, stream_counts
 
