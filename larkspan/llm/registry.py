@@ -21,5 +21,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _module in ("op01_quality", "op02_token_files", "op03_sharding", "op04_classifier", "op05_lines", "op06_secrets", "op07_decontamination", "op08_pieces", "op09_jaccard", "op10_substring", "op11_audit", "op13_phrases"):
+for _module in ("op01_quality", "op02_token_files", "op03_sharding", "op04_classifier", "op05_lines", "op06_secrets", "op07_decontamination", "op08_pieces", "op09_jaccard", "op10_substring", "op11_audit", "op12_bytes", "op13_phrases"):
     importlib.import_module(f"larkspan.llm.queries.{_module}")
