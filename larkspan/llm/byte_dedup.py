@@ -202,7 +202,7 @@ def _sort(span: int):
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(row)) - 1
+        last = np.append(first, len(row))[1:] - 1
         return pd.DataFrame({"anchor": shard.anchor.to_numpy(np.int64)[row[first]], "piece": shard.piece.to_numpy(np.int64)[row[first]], "lo": at[first].astype(np.int32), "hi": (at[last] + span).astype(np.int32)})
 
     return run
