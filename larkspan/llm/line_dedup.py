@@ -241,14 +241,12 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "lb").mapInArrow(tidy(_verified(percent)), "a long, b long")
 
     roots = connect(shared, texts.select("key", "n", *PARITY), near("x", "y", percent), similar).withColumnRenamed("node", "key")
-    # before anything is joined, each key's first place and count
+    # of the lines only those that are found twice or linked go on, and of these each group's first place is found
     place = F.struct(F.col("id"), F.col("no"), F.col("tkey"))
-    keys = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(roots, "key", "left")
-    alone = keys.where("root is null and n > 1").select("key", "first")
-    grouped = keys.where("root is not null")
-    heads = grouped.groupBy("root").agg(F.min("first").alias("head"))
-    several = cut(alone.union(grouped.join(heads, "root").select("key", F.col("head").alias("first"))))
-    gone = lines.select("id", "tkey", "no", "key").join(several, "key").where(~place.eqNullSafe(F.col("first")))
+    keys = lines.groupBy("key").agg(F.count("*").alias("n")).join(roots, "key", "full").where("n > 1 or root is not null")
+    several = cut(keys.select("key", F.coalesce("root", "key").alias("root")))
+    held = cut(lines.select("id", "tkey", "no", "key").join(several, "key").drop("key"))
+    gone = held.join(held.groupBy("root").agg(F.min(place).alias("first")), "root").where(~place.eqNullSafe(F.col("first")))
     return gone.groupBy("id", "tkey").agg(F.collect_set("no").alias("nos"))
 
 
