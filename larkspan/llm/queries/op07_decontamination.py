@@ -12,7 +12,7 @@ ls AS (SELECT DISTINCT l FROM bi),
 di AS (SELECT doc_id, l, unnest(range(1, len(w) - l + 2)) i, unnest(list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(w[i:i + l - 1], ' '))) s FROM dw, ls),
 h AS (SELECT DISTINCT doc_id, i, l, item_id FROM di JOIN bi USING (l, s)),
 c AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) p FROM (SELECT DISTINCT doc_id, i, l FROM h)) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) n_items, string_agg(s, ',' ORDER BY s) x FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) s FROM h) GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) n_items, string_agg(s, ',' ORDER BY s) x FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) s FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(n_hit, 0) AS BIGINT) n_hit, CAST(coalesce(n_items, 0) AS BIGINT) n_items, sha256(coalesce(x, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 FROM dw LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """

@@ -18,7 +18,7 @@ ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE]
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # 18 characters or more
 HEX = r"[0-9a-f]{16,}"
 # Runs are possessive and start where no such character stands before, so that a match takes time and stack that don't grow faster than the text.
-WEAK = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/=_-])"
+WEAK = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+|[A-Za-z]{32,}+)={0,2}+(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"(?:https?|ftp|s3|jdbc:[a-z]++|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s\"'<>]++|(?<![A-Za-z0-9.-])[A-Za-z0-9.-]++(?<=[A-Za-z0-9-]\.amazonaws\.com)"
 IDENT = r"""(?i)(?:client_?id|access_?key_?id|user(?:name)?|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}+"""
 
@@ -84,7 +84,10 @@ def linked(held: DataFrame, scope: int = SCOPE) -> DataFrame:
     """
     key = ["__id", "__text"]
     rows = held.where(F.size("weak") > 0).dropDuplicates(key)
-    weak = rows.select(*key, F.explode("weak").alias("w")).select(*key, "w.*", F.expr(f"start div {scope}").cast("int").alias("bin"))
+    within = lambda w, kinds: F.exists(F.concat(*kinds), lambda p: (p["start"] <= w["start"]) & (w["stop"] <= p["stop"]))
+    apart = F.filter("weak", lambda w: ~within(w, ["endpoint"]))  # a part of an endpoint complements none
+    own = F.transform(apart, lambda w: F.struct(w["start"].alias("start"), w["stop"].alias("stop"), within(w, ["ident"]).alias("named")))
+    weak = rows.select(*key, F.explode(own).alias("w")).select(*key, "w.*", F.expr(f"start div {scope}").cast("int").alias("bin"))
 
     def near(candidates: DataFrame, kind: str) -> DataFrame:
         bins = rows.select(*key, F.explode(kind).alias("p")).groupBy(*key, F.expr(f"p.start div {scope}").cast("int").alias("bin")).agg(F.min("p.start").alias("lo"), F.max("p.start").alias("hi"))
@@ -94,7 +97,7 @@ def linked(held: DataFrame, scope: int = SCOPE) -> DataFrame:
         keyed = reduce(lambda a, b: a & b, [candidates[c].eqNullSafe(bins[c]) for c in (*key, "bin")])
         return candidates.join(bins, keyed & ok, "left_semi")
 
-    both = near(weak, "access").union(near(near(weak, "ident"), "endpoint"))
+    both = near(weak, "access").union(near(near(weak.where("not named"), "ident"), "endpoint"))  # nor is an identifier's value the secret to it
     return both.groupBy(*key).agg(F.collect_set(F.struct("start", "stop")).alias("linked"))
 
 

@@ -58,7 +58,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, span: int, k: int
                 fps = np.concatenate([fp, W.mix(h + n[short].astype(W.U))])
                 yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array(np.concatenate([win, h]).view(np.int64)), pa.array(length), batch.column("item").take(pa.array(doc + x.row))], ["fp", "win", "len", "item"])
 
-    return frame.mapInArrow(run, "fp long, win long, len int, item string").where("item is not null").distinct()
+    return frame.mapInArrow(run, "fp long, win long, len int, item string").distinct()
 
 
 def _candidates(docs: DataFrame, text_col: str, bits: np.ndarray, lengths: list[int], span: int, k: int) -> DataFrame:
@@ -97,8 +97,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """One row for each input row: id_col, n_words, n_hit (words inside windows of items), n_items, items_sha256, contaminated; columns of
     ``keep`` are carried.
 
-    Words are runs of digits, ASCII letters in lower case, and non-ASCII characters. A null or empty text has no words and no hits; an item without words or id
-    has no windows; no items means no hits. Equal items each count. Repeated rows each get their result. Texts of any length are searched
+    Words are runs of digits, ASCII letters in lower case, and non-ASCII characters. A null or empty text has no words and no hits; an item without words
+    has no windows; one without an id hits but is neither counted nor listed; no items means no hits. Equal items each count. Repeated rows each get their result. Texts of any length are searched
     whole. An empty table gives an empty one.
 
     What goes to every executor is the items' bit sieve (8 MB at most). The joins on fingerprints are Spark's to plan: it broadcasts the items' side
@@ -120,7 +120,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["to"] - F.greatest(a["to"], s["at"]))).cast("long").alias("n"), F.greatest(a["to"], s["to"]).alias("to")),
         lambda a: a["n"],
     )
-    found = hits.select("__row", "fp", "win", "len").distinct().join(wins, ["fp", "win", "len"]).groupBy("__row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found = hits.select("__row", "fp", "win", "len").distinct().join(wins.where("item is not null"), ["fp", "win", "len"]).groupBy("__row").agg(F.sort_array(F.collect_set("item")).alias("items"))
     out = base.drop("__found").join(spans.select("__row", union.alias("h")), "__row", "left").join(found, "__row", "left")
     names = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("h", F.lit(0).cast("long"))
