@@ -1,10 +1,13 @@
-"""Graph operators over an edge table (src, dst): joins and aggregations, with breadth-first steps cut off from their lineage by Spark's own plans."""
+"""Graph operators over an edge table (src, dst): joins and aggregations; breadth-first steps write their state."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.operators.lineage import Steps
+
 
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes one step away in any direction; nodes: (id)."""
@@ -71,15 +74,48 @@ def simple_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, most: in
     return out if limit is None else out.orderBy("n_edges", "path").limit(limit)
 
 
-def closure(edges: DataFrame, starts: DataFrame, most: int = 20) -> DataFrame:
-    """Every node that can be reached from the starts, themselves included, within ``most`` steps; ends early when nothing is new."""
-    seen = fresh = starts.select("id").distinct()
-    for _ in range(most):
-        fresh = downstream(edges, fresh).join(seen, "id", "left_anti")
-        if fresh.isEmpty():
-            break
-        seen = seen.union(fresh)
-    return seen
+PART_EDGES = 1 << 18
+
+
+def _expanded(edges: pd.DataFrame, frontier: pd.DataFrame) -> pd.DataFrame:
+    """Every node that the frontier reaches over the edges of one part."""
+    out: dict = {}
+    for a, b in zip(edges.src, edges.dst, strict=True):
+        out.setdefault(a, []).append(b)
+    seen, stack = set(), list(frontier.id)
+    while stack:
+        for b in out.get(stack.pop(), ()):
+            if b not in seen:
+                seen.add(b)
+                stack.append(b)
+    return pd.DataFrame({"id": pd.Series(list(seen), dtype=frontier.id.dtype if frontier.id.dtype.kind in "iu" else object), "part": frontier.part.iloc[0] if len(frontier) else 0})
+
+
+def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Every node that can be reached from the starts, themselves included.
+
+    Edges are dealt by their source to parts of PART_EDGES, about. In a round each part follows the frontier as far as its own edges go, and what is new to all and has its edges elsewhere is the next
+    frontier; it ends when there is none, however long the paths are, and cycles do no harm. A round's cost is linear in the edges of the parts that it reaches, and its rows are written, so
+    plans don't grow. Of one node with very many edges the part grows with them; edges with a null are ignored, null starts too. Starts without edges are all there is of them.
+    """
+    spark = edges.sparkSession
+    steps = Steps(spark)
+    kind = dict(edges.dtypes)["src"]
+    links = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct()
+    parts = max(1, -(-links.count() // PART_EDGES))
+    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    links = steps.write(links.withColumn("part", deal("src")))
+    fresh = starts.select(F.col("id").cast(kind).alias("id")).where("id is not null").distinct()
+    seen = steps.write(fresh, "seen")
+    frontier = seen.withColumn("part", deal("id"))
+    while True:
+        reached = links.groupBy("part").cogroup(frontier.groupBy("part")).applyInPandas(_expanded, f"id {kind}, part int")
+        new = reached.join(seen, "id", "left_anti").groupBy("id").agg(F.bool_or(F.col("part") == deal("id")).alias("done"))
+        new = steps.write(new)
+        if new.isEmpty():
+            return seen
+        seen = steps.write(new.select("id"), "seen")
+        frontier = new.where("not done").select("id", deal("id").alias("part"))
 
 
 def matched(nodes: DataFrame, query: str, label: str = "label") -> DataFrame:

@@ -154,12 +154,15 @@ def jensen_shannon(df: DataFrame, keys: Sequence[str], p: str, q: str) -> DataFr
     return x.groupBy(*keys).agg((F.sum(part("__p")) / 2 + F.sum(part("__q")) / 2).alias("js"))
 
 
-def feasible_states(df: DataFrame, axes: Sequence[str], least: int, levels: int = 2) -> DataFrame:
-    """How many samples each combination of axis levels has, those with none as well, and whether that is enough."""
-    grid = None
+def feasible_states(df: DataFrame, axes: Sequence[str], least: int, most: int = 10_000) -> DataFrame:
+    """How many samples each combination of axis levels has, those with none as well, and whether that is enough. Nulls are no level; more than ``most`` combinations are an error."""
+    grid, cells = None, 1
     for a in axes:
-        values = df.select(a).where(F.col(a).isNotNull()).distinct().limit(levels)
-        grid = values if grid is None else grid.crossJoin(values)  # levels to the power of axes: some tens of rows
+        values = df.select(a).where(F.col(a).isNotNull()).distinct()
+        cells *= values.count()
+        if cells > most:
+            raise ValueError(f"the axes have more than {most} combinations")
+        grid = values if grid is None else grid.crossJoin(values)  # ``most`` rows at most
     n = df.groupBy(*axes).agg(F.count("*").alias("n"))
     return grid.join(n, list(axes), "left").fillna(0, ["n"]).withColumn("usable", F.col("n") >= least)
 
