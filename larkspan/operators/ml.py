@@ -40,49 +40,6 @@ def silhouettes(df: DataFrame, array: str, ks: Sequence[int], method: str = "kme
     return out
 
 
-def linkage_labels(x: np.ndarray, k: int) -> np.ndarray:
-    """Average-linkage clusters of up to some thousands of rows, labelled by first appearance."""
-    n = len(x)
-    d = np.sqrt(np.stack([((x - row) ** 2).sum(-1) for row in x]))  # the distances are all that is held: 8 n * n bytes
-    np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    for _ in range(n - k):
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        i, j = min(i, j), max(i, j)
-        merged = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        d[i, ~alive] = d[~alive, i] = np.inf
-        size[i] += size[j]
-        alive[j] = False
-        label[label == j] = i
-    return pd.factorize(label)[0]
-
-
-def consensus(df: DataFrame, id_col: str, array: str, k: int, repeats: int = 50, share: float = 0.8, seed: int = 1) -> DataFrame:
-    """Co-clustering share of each pair of units over resamples: rows (a, b, consensus).
-
-    Every resample is a group of its own, picked by hashes; pairs are counted by an aggregation over all of them.
-    """
-    rows = df.select(id_col, F.col(array).cast("array<double>").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep"))
-    rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), "rep", id_col), F.lit(1000)) < int(share * 1000))
-    kind = dict(df.dtypes)[id_col]
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(id_col)
-        return pd.DataFrame({"rep": g.rep, "id": g[id_col], "cluster": linkage_labels(np.stack(g.x.to_numpy()), min(k, len(g)))})
-
-    c = rows.groupBy("rep").applyInPandas(run, f"rep int, id {kind}, cluster int")
-    a, b = c.withColumnsRenamed({"id": "a", "cluster": "ca"}), c.withColumnsRenamed({"id": "b", "cluster": "cb"})
-    return a.join(b, "rep").where("a < b").groupBy("a", "b").agg(F.avg((F.col("ca") == F.col("cb")).cast("double")).alias("consensus"))
-
-
-def ambiguity(pairs: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
-    """Proportion of ambiguous clustering."""
-    return pairs.agg(F.avg(((F.col("consensus") > low) & (F.col("consensus") < high)).cast("double")).alias("pac"))
-
-
 def em_fractions(bulk: DataFrame, reference: dict[str, dict[str, float]], sample: str, gene: str, count: str, rounds: int = 1000, tol: float = 1e-7) -> DataFrame:
     """Cell-state fractions of each bulk sample by fixed-point EM on reference profiles; rows (sample, state, theta).
 

@@ -1,8 +1,8 @@
-"""Count models, moderated statistics, regression on several covariates and batch correction."""
+"""Count models, moderated statistics, regression, batch correction, density and consensus clustering, held-out signatures and factorisation."""
 
 from pyspark.sql import functions as F
 
-from larkspan.operators import expression, regression
+from larkspan.operators import consensus, density, expression, regression
 from larkspan.plans.registry import query, table
 
 
@@ -83,3 +83,34 @@ def residualised_two(spark, sf):
     lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     r = regression.residualised(lines, ["p_brand"], "l_quantity", ["l_discount", "l_tax"])
     return r.groupBy("p_brand").agg(F.round(F.min("residual"), 5).alias("low"), F.round(F.max("residual"), 5).alias("high"), F.round(F.avg("residual"), 5).alias("mean"))
+
+
+@query("hdbscan")
+def hdbscan(spark, sf):
+    return density.hdbscan(table(spark, sf, "embeddings"), "vec_id", "embedding", 4, 5)
+
+
+@query("consensus_k")
+def consensus_k(spark, sf):
+    out = consensus.consensus(table(spark, sf, "embeddings"), "vec_id", "embedding", range(2, 7), 20, min_fraction=0.02)
+    return out.select("k", _r("pac"), _r("smallest"), "n_landmarks", "chosen", F.round(F.element_at("cdf", 51), 6).alias("cdf_half"))
+
+
+@query("heldout_signatures")
+def heldout_signatures(spark, sf):
+    """Features that tell clusters of vectors apart, the clusters named after a side of the first coordinate."""
+    e = table(spark, sf, "embeddings")
+    side = e.select("vec_id", F.when(F.element_at("embedding", 1) > 0, "right").otherwise("left").alias("side"))
+    out = consensus.heldout_signatures(e, "vec_id", "embedding", 2, 10, reference=side)
+    return out.select("cluster", "feature", _r("median_p"), _r("fdr_of_median"), _r("frac_splits_sig"), _r("mean_lfc"), "n_splits_tested")
+
+
+@query("factorised_profiles")
+def factorised_profiles(spark, sf):
+    """Brands' line items by month as two parts: each brand's share of the first, which is the one that the brands have most of."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    counts = lines.groupBy("p_brand", F.month("l_shipdate").alias("m")).agg(F.count("*").cast("double").alias("n"))
+    x = counts.groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct("m", "n"))).alias("by")).select("p_brand", F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.coalesce(F.try_element_at("by", m), F.lit(0.0))).alias("x"))
+    w, h, _ = consensus.factorised(x, "p_brand", "x", 2)
+    mass = F.transform(F.arrays_zip("weights", F.array(*(F.lit(float(v)) for v in h.sum(1))).alias("s")), lambda z: z["weights"] * z["s"])
+    return w.select("p_brand", F.round(F.array_max(mass) / F.aggregate(mass, F.lit(0.0), lambda a, v: a + v), 4).alias("largest_share"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from larkspan.operators import ml, stats
+from larkspan.operators import consensus, ml, stats
 from larkspan.plans.registry import query, table
 
 
@@ -230,7 +230,7 @@ def gaussian_mixture(spark, sf):
 
 @query("consensus_pac")
 def consensus_pac(spark, sf):
-    return ml.ambiguity(ml.consensus(table(spark, sf, "embeddings"), "vec_id", "embedding", 3, 20))
+    return consensus.consensus(table(spark, sf, "embeddings"), "vec_id", "embedding", [3], 20).select("pac")
 
 
 @query("em_fractions")
