@@ -112,5 +112,7 @@ def pairs(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def covering_shards(values: DataFrame, index: DataFrame, value: str = "value") -> DataFrame:
-    """Rows (shard) of an index (shard, lo, hi) whose range holds one of the values."""
-    return index.join(values, F.col(value).between(F.col("lo"), F.col("hi")), "left_semi").select("shard")
+    """Rows (shard) of an index (shard, lo, hi) whose range holds one of the values, by a search in their common order."""
+    from larkspan.sources.atlas import covering
+
+    return covering(index.select("shard", "lo", "hi"), values, value).select("shard")

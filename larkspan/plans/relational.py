@@ -349,3 +349,22 @@ def numeric_profile(spark, sf):
 def long_nonzero(spark, sf):
     wide = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") < 0).cast("int").alias("neg"), (F.col("c_acctbal") > 9000).cast("int").alias("rich"))
     return src.long_nonzero(wide, "c_custkey", "f", "v")
+
+
+_WANTED = (3, 17, 18, 44)
+
+
+@query("atlas_scan", f"""WITH l AS (SELECT l_returnflag, l_linestatus, CAST(l_extendedprice AS DOUBLE) p, l_quantity q, CAST(l_quantity - 1 AS BIGINT) // 5 s FROM lineitem),
+n AS (SELECT count(DISTINCT s) a, count(DISTINCT CASE WHEN q IN {_WANTED} THEN s END) b FROM l)
+SELECT l_returnflag, round(avg(p) FILTER (l_linestatus = 'F'), 4) "F", round(avg(p) FILTER (l_linestatus = 'O'), 4) "O", any_value(CAST(a AS INTEGER)) n_files, any_value(CAST(b AS INTEGER)) n_read FROM l, n WHERE q IN {_WANTED} AND p > 100 GROUP BY 1""")
+def atlas_scan(spark, sf):
+    """Line items dealt to a file for every five quantities: mean prices of some quantities, from the files that hold them."""
+    from larkspan.operators.lineage import Steps
+    from larkspan.sources import atlas
+
+    at = Steps(spark).path
+    lines = table(spark, sf, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("double")).withColumn("shard", F.floor((F.col("l_quantity") - 1) / 5).cast("int"))
+    lines.repartition("shard").write.partitionBy("shard").parquet(f"{at}/shards")
+    wanted = spark.createDataFrame([(float(v),) for v in _WANTED], "value double")
+    out, report = atlas.atlas(spark, f"{at}/shards", f"{at}/index", "l_quantity", wanted, "double", F.col("l_extendedprice") > 100, "l_returnflag", "l_linestatus", "l_extendedprice", ["F", "O"])
+    return out.crossJoin(F.broadcast(report)).select("l_returnflag", F.round("F", 4).alias("F"), F.round("O", 4).alias("O"), "n_files", "n_read")  # one row of counts
