@@ -8,33 +8,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _bucket(v: Column) -> Column:
+    """A number that never falls as a double grows: sign, exponent and eight bits after it. A window over buckets has some hundred thousand rows at most, whatever the group; NaN comes last, null gives null."""
+    m = F.abs(v)
+    e = F.greatest(F.lit(-1074.0), F.least(F.lit(1023.0), F.floor(F.log2(F.when((m > 0) & (m < float("inf")), m).otherwise(1.0))).cast("double")))
+    part = F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor((m / F.pow(F.lit(2.0), e) - 1) * 256).cast("double")))
+    size = F.when(m == float("inf"), F.lit(1 << 20)).otherwise(((e + 1075) * 256 + part + 1).cast("int"))
+    return F.when(F.isnan(v), F.lit(1 << 21)).when(v == 0, F.lit(0)).when(v < 0, -size).when(v > 0, size)
+
+
+def _beside(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``a`` with the other columns of ``b``, whose ``on`` are unique; nulls match nulls."""
+    other = b.withColumnsRenamed({c: f"__on_{i}" for i, c in enumerate(on)})
+    return a.join(other, [F.col(f"`{c}`").eqNullSafe(F.col(f"__on_{i}")) for i, c in enumerate(on)]).drop(*(f"__on_{i}" for i in range(len(on))))
+
+
+def _counted(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The distinct values of each group with their count __c, bucket __b, how many rows come before them, __before, and the group's rows, __n.
+
+    Running sums are taken over the buckets' totals and within each bucket, so a window never holds a whole group.
+    """
+    c = rows.groupBy(*keys, value).agg(F.count("*").alias("__c")).withColumn("__b", F.coalesce(_bucket(F.col(value).cast("double")), F.lit(-(1 << 21))))
+    whole, first = Window.partitionBy(*keys), Window.unboundedPreceding
+    totals = c.groupBy(*keys, "__b").agg(F.sum("__c").alias("__t"))
+    totals = totals.select(*keys, "__b", F.coalesce(F.sum("__t").over(whole.orderBy("__b").rowsBetween(first, -1)), F.lit(0)).alias("__base"), F.sum("__t").over(whole).alias("__n"))
+    inner = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(first, -1)
+    return _beside(c, totals, [*keys, "__b"]).withColumn("__before", F.col("__base") + F.coalesce(F.sum("__c").over(inner), F.lit(0))).drop("__base")
+
+
 def fdr_bh(df: DataFrame, keys: Sequence[str], p: str, name: str = "fdr") -> DataFrame:
     """Step-up false discovery rate within keys: nulls and NaN count as 1, monotone, at most 1.
 
-    Equal p values share one rate, so the rate is found on their counts: the window holds distinct values only, and rows get theirs by a join.
+    Equal p values share one rate, which is found on their counts and joined to the rows. The least rate from a value on is that within its bucket and that of the buckets after it.
     """
     value = F.when(F.col(p).isNull() | F.isnan(F.col(p).cast("double")), 1.0).otherwise(F.col(p).cast("double"))
     rows = df.withColumn("__p", value)
-    c = rows.groupBy(*keys, "__p").agg(F.count("*").alias("__c"))
-    up = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumns({"__r": F.sum("__c").over(up), "__n": F.sum("__c").over(Window.partitionBy(*keys))})
-    down = Window.partitionBy(*keys).orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn(name, F.least(F.lit(1.0), F.min(F.col("__p") * F.col("__n") / F.col("__r")).over(down)))
-    return rows.join(c.drop("__c", "__r", "__n"), [*keys, "__p"]).drop("__p")
+    c = _counted(rows, keys, "__p").withColumn("__q", F.col("__p") * F.col("__n") / (F.col("__before") + F.col("__c")))
+    after = Window.partitionBy(*keys).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    later = c.groupBy(*keys, "__b").agg(F.min("__q").alias("__m")).select(*keys, "__b", F.min("__m").over(after).alias("__m"))
+    inner = Window.partitionBy(*keys, "__b").orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
+    c = _beside(c, later, [*keys, "__b"]).withColumn(name, F.least(F.lit(1.0), F.min("__q").over(inner), F.col("__m")))
+    return _beside(rows, c.select(*keys, "__p", name), [*keys, "__p"]).drop("__p")
 
 
 def fdr_naive(df: DataFrame, keys: Sequence[str], p: str, name: str = "fdr") -> DataFrame:
     """p * n / average rank, at most 1, without the monotone step; nulls count as 1."""
     rows = df.withColumn("__p", F.coalesce(F.col(p).cast("double"), F.lit(1.0)))
-    c = rows.groupBy(*keys, "__p").agg(F.count("*").alias("__c"))
-    up = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
-    rank = F.sum("__c").over(up) - (F.col("__c") - 1) / 2
-    c = c.withColumn(name, F.least(F.lit(1.0), F.col("__p") * F.sum("__c").over(Window.partitionBy(*keys)) / rank))
-    return rows.join(c.drop("__c"), [*keys, "__p"]).drop("__p")
+    c = _counted(rows, keys, "__p")
+    rank = F.col("__before") + (F.col("__c") + 1) / 2
+    return _beside(rows, c.select(*keys, "__p", F.least(F.lit(1.0), F.col("__p") * F.col("__n") / rank).alias(name)), [*keys, "__p"]).drop("__p")
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Ranks from 1, ties sharing their mean."""
+    """Ranks from 1, ties sharing their mean; nulls are the least. Numbers are ranked by their counts, others (dates, strings) by a window over their group."""
+    if dict(df.dtypes)[value].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean"):
+        return _beside(df, _counted(df.select(*keys, value), keys, value).select(*keys, value, (F.col("__before") + (F.col("__c") + 1) / 2).alias(name)), [*keys, value])
     w = Window.partitionBy(*keys).orderBy(value)
     return df.withColumn(name, F.rank().over(w) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2)
 
