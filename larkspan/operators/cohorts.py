@@ -83,9 +83,13 @@ def centred_assignment(df: DataFrame, unit: str, feature: str, value: str, centr
 def random_set_overlaps(universe: DataFrame, gene: str, sets: DataFrame, set_col: str, n_draw: int, n_sim: int, seed: int = 7) -> DataFrame:
     """Overlap of each gene set with random draws, by simulation: rows (sim, set, overlap). A draw is the n_draw genes of the least hashes with the simulation's number."""
     u = universe.select(gene).distinct()
-    sims = u.sparkSession.range(1, n_sim + 1).withColumnRenamed("id", "sim")
-    w = Window.partitionBy("sim").orderBy(F.xxhash64(F.lit(seed), "sim", gene), gene)
-    drawn = sims.join(u, F.lit(True)).withColumn("k", F.row_number().over(w)).where(F.col("k") <= n_draw).select("sim", gene)
+    n = u.agg(F.count("*").cast("double").alias("__n"))  # one row
+    # hashes are even over 64 bits: this share of the least has all that are drawn, but for ten deviations
+    share = F.least(F.lit(1.0), F.lit(n_draw + 10 * n_draw**0.5 + 50) / F.col("__n"))
+    h = F.xxhash64(F.lit(seed), "sim", gene)
+    near = u.crossJoin(F.broadcast(n)).withColumn("sim", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_sim).cast("long")))).withColumn("__h", h).where(F.col("__h").cast("double") <= share * 2.0**64 - 2.0**63)
+    w = Window.partitionBy("sim").orderBy("__h", gene)
+    drawn = near.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n_draw).select("sim", gene)
     return drawn.join(sets.select(set_col, gene).distinct(), gene).groupBy("sim", set_col).agg(F.count("*").alias("overlap"))
 
 

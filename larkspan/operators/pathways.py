@@ -49,13 +49,25 @@ def toi_summary(df: DataFrame, keys: Sequence[str], scores: Sequence[str] = ("to
     return df.groupBy(*keys).agg(F.count("*").alias("n_pathways"), *[f(s).alias(f"{s}_{n}") for s in scores for n, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_pop))])
 
 
-def hypergeometric_upper(k: Column, population: Column, marked: Column, drawn: Column, logs: Column) -> Column:
-    """P(X >= k) of ``drawn`` from a population with ``marked``; ``logs`` is an array of log factorials that reaches the population."""
-    f = lambda n: F.element_at(logs, (n + 1).cast("int"))
-    choose = lambda n, r: f(n) - f(r) - f(n - r)
+_SMALL = 16
+
+
+def log_factorial(n: Column) -> Column:
+    """Of whole numbers from 0 on: by their products below 16, else by Stirling's series, which is exact to the last digits there."""
+    x = n.cast("double") + 1
+    u = 1 / (x * x)
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - u * (1 / 360 - u * (1 / 1260 - u / 1680))) / x
+    small = F.element_at(F.array(*(F.lit(math.log(math.factorial(i))) for i in range(_SMALL))), F.least(n, F.lit(_SMALL - 1)).cast("int") + 1)
+    return F.when(n < _SMALL, small).otherwise(series)
+
+
+def hypergeometric_upper(k: Column, population: Column, marked: Column, drawn: Column) -> Column:
+    """P(X >= k) of ``drawn`` from a population with ``marked``."""
+    choose = lambda n, r: log_factorial(n) - log_factorial(r) - log_factorial(n - r)
     low, high = F.greatest(k, drawn + marked - population, F.lit(0)), F.least(marked, drawn)
-    term = lambda i: F.exp(choose(marked, i) + choose(population - marked, drawn - i) - choose(population, drawn))
-    total = F.aggregate(F.sequence(low.cast("int"), F.greatest(high, low).cast("int")), F.lit(0.0), lambda a, i: a + F.when(i <= high, term(i)).otherwise(0.0))
+    whole = choose(population, drawn)
+    term = lambda i: F.exp(choose(marked, i) + choose(population - marked, drawn - i) - whole)
+    total = F.aggregate(F.sequence(low.cast("long"), F.greatest(high, low).cast("long")), F.lit(0.0), lambda a, i: a + F.when(i <= high, term(i)).otherwise(0.0))
     return F.least(total, F.lit(1.0))
 
 
@@ -64,21 +76,9 @@ def enriched_sets(sets: DataFrame, chosen: DataFrame, universe: DataFrame, set_c
     uni = universe.select(gene).distinct()
     sel = chosen.select(gene).distinct().join(uni, gene, "left_semi").withColumn("__s", F.lit(1))
     sizes = uni.agg(F.count("*").alias("population")).crossJoin(sel.agg(F.count("*").alias("drawn")))  # one row each
-    most = sizes.first()["population"]
     per = sets.select(set_col, gene).distinct().join(uni, gene, "left_semi").join(sel, gene, "left").groupBy(set_col).agg(F.count("*").alias("marked"), F.count("__s").alias("k"))
-    one = _log_table(sets.sparkSession, most)
-    out = per.where(F.col("k") >= least).crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(one))
-    p = hypergeometric_upper(F.col("k"), F.col("population"), F.col("marked"), F.col("drawn"), F.col("__logs"))
-    return out.withColumn("pval", p).drop("__logs")
-
-
-def _log_table(spark, most: int) -> DataFrame:
-    """One row with the array of log factorials up to a population's size: eight bytes a gene."""
-    total, out = 0.0, [0.0]
-    for i in range(1, most + 1):
-        total += math.log(i)
-        out.append(total)
-    return spark.createDataFrame([(out,)], "__logs array<double>")
+    out = per.where(F.col("k") >= least).crossJoin(F.broadcast(sizes))
+    return out.withColumn("pval", hypergeometric_upper(F.col("k"), F.col("population"), F.col("marked"), F.col("drawn")))
 
 
 def gene_lists(df: DataFrame, keys: Sequence[str], gene: str) -> DataFrame:

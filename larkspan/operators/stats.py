@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -139,6 +140,60 @@ def confounding(df: DataFrame, batch: str, group: str) -> DataFrame:
     return t.withColumn("verdict", F.when(F.col("least") == 0, "confounded").when((F.col("least") < 5) | (F.col("cramers_v") > 0.7), "partial").otherwise("ok"))
 
 
+def fisher_exact(df: DataFrame, keys: Sequence[str], row: Column, col: Column) -> DataFrame:
+    """Fisher's exact test of two conditions within keys: cells a (both), b (row only), c (column only), d (neither), the odds ratio and the two-sided p. Rows where a condition is null are left out."""
+    n = lambda r, c: F.count_if((row if r else ~row) & (col if c else ~col))
+    t = df.groupBy(*keys).agg(n(True, True).alias("a"), n(True, False).alias("b"), n(False, True).alias("c"), n(False, False).alias("d"))
+    odds = F.try_divide(F.col("a") * F.col("d"), (F.col("b") * F.col("c")).cast("double"))
+    return t.withColumns({"odds_ratio": odds, "pval": D.p_fisher(F.col("a"), F.col("b"), F.col("c"), F.col("d"))})
+
+
+def shapiro(df: DataFrame, keys: Sequence[str], value: str, most: int = 5000) -> DataFrame:
+    """Shapiro and Wilk's test by group: n, w, pval. Sizes that the method isn't made for, below 3 and above 5,000, and groups of one value have null; groups that are too large aren't gathered. Nulls and NaN are left out."""
+    use = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null and not isnan(__v)")
+    sizes = use.groupBy(*keys).agg(F.count("*").alias("n"))
+    kinds = dict(df.dtypes)
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        w, p = D.shapiro_wilk(np.sort(g["__v"].to_numpy(float)))
+        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "w": [w], "pval": [p]})
+
+    fit = use.join(sizes.where((F.col("n") >= 3) & (F.col("n") <= most)), list(keys), "left_semi").groupBy(*keys).applyInPandas(run, f"{head}, w double, pval double")
+    out = sizes.join(fit, list(keys), "left")
+    return out.select(*keys, "n", F.when(~F.isnan("w"), F.col("w")).alias("w"), F.when(~F.isnan("pval"), F.col("pval")).alias("pval"))
+
+
+def dunnett(df: DataFrame, keys: Sequence[str], group: str, value: str, control) -> DataFrame:
+    """Each group against the control within keys: rows (keys, group, difference, t, df, pval), pval adjusted for the number of comparisons. Groups without a value, keys without a control or without residual degrees of freedom have no
+    rows. Groups are aggregated to their moments; a key's are one row."""
+    s = df.where(F.col(value).isNotNull()).groupBy(*keys, group).agg(F.count(value).cast("double").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    packed = s.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(group).cast("string").alias("g"), "n", "m", "v"))).alias("all"))
+    kinds = dict(df.dtypes)
+    head = "".join(f"`{k}` {kinds[k]}, " for k in keys)
+    name = str(control)
+
+    def run(batches):
+        for b in batches:
+            made = []
+            for r in b.to_dict("records"):
+                base = next((x for x in r["all"] if x["g"] == name), None)
+                rest = [x for x in r["all"] if x["g"] != name and x["g"] is not None]
+                free = sum(x["n"] for x in r["all"]) - len(r["all"])
+                if base is None or not rest or free <= 0:
+                    continue
+                s2 = sum(x["n"] * x["v"] for x in r["all"]) / free
+                shares = np.array([x["n"] / (x["n"] + base["n"]) for x in rest])
+                for x in rest:
+                    se = math.sqrt(s2 * (1 / x["n"] + 1 / base["n"]))
+                    t = (x["m"] - base["m"]) / se if se > 0 else math.nan
+                    made.append({**{k: r[k] for k in keys}, "g": x["g"], "difference": x["m"] - base["m"], "t": t, "df": free, "pval": D.dunnett_two_sided(t, shares, free) if se > 0 else math.nan})
+            yield pd.DataFrame(made, columns=[*keys, "g", "difference", "t", "df", "pval"])
+
+    out = packed.mapInPandas(run, f"{head}g string, difference double, t double, df double, pval double")
+    return out.select(*keys, F.col("g").cast(kinds[group]).alias(group), "difference", F.when(~F.isnan("t"), F.col("t")).alias("t"), "df", F.when(~F.isnan("pval"), F.col("pval")).alias("pval"))
+
+
 def fisher_meta(df: DataFrame, keys: Sequence[str], r: str, n: str) -> DataFrame:
     """Fixed-effect mean of correlations by Fisher's z, Cochran's Q and I squared."""
     w = F.col(n) - 3

@@ -238,3 +238,32 @@ def em_fractions(spark, sf):
     ref = {f"s{k}": {str(g): 1.0 + (g * (k + 3)) % 7 for g in range(40)} for k in range(4)}
     d = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 20).alias("sample"), (F.col("l_partkey") % 40).cast("string").alias("gene")).agg(F.sum("l_quantity").alias("count"))
     return ml.em_fractions(d, ref, "sample", "gene", "count").withColumn("theta", _r("theta"))
+
+
+@query("fisher_exact", """WITH t AS (SELECT p_brand, count(*) FILTER (x AND y) a, count(*) FILTER (x AND NOT y) b, count(*) FILTER (NOT x AND y) c, count(*) FILTER (NOT x AND NOT y) d
+  FROM (SELECT p_brand, l_returnflag = 'A' x, l_quantity > 25 y FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1),
+e AS (SELECT *, unnest(range(greatest(0, a + c - c - d), least(a + b, a + c) + 1)) i FROM t),
+q AS (SELECT *, -(lgamma(i + 1) + lgamma(a + b - i + 1) + lgamma(a + c - i + 1) + lgamma(d - a + i + 1)) l FROM e),
+p AS (SELECT *, exp(l - max(l) OVER (PARTITION BY p_brand)) p FROM q),
+o AS (SELECT *, max(CASE WHEN i = a THEN p END) OVER (PARTITION BY p_brand) own FROM p)
+SELECT p_brand, a, b, c, d, round(any_value(a) * any_value(d) / (any_value(b) * any_value(c))::DOUBLE, 6) odds_ratio, round(least(1, sum(p) FILTER (p <= own * (1 + 1e-7)) / sum(p)), 6) pval FROM o GROUP BY 1, 2, 3, 4, 5""")
+def fisher_exact(spark, sf):
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return stats.fisher_exact(lines, ["p_brand"], F.col("l_returnflag") == "A", F.col("l_quantity") > 25).withColumns({"odds_ratio": _r("odds_ratio"), "pval": _r("pval")})
+
+
+@query("shapiro")
+def shapiro(spark, sf):
+    return stats.shapiro(table(spark, sf, "part"), ["p_brand"], "p_retailprice").select("p_brand", "n", _r("w", 5).alias("w"), _r("pval", 5).alias("pval"))
+
+
+@query("dunnett")
+def dunnett(spark, sf):
+    c = table(spark, sf, "customer").withColumn("k", F.col("c_nationkey") % 3)
+    return stats.dunnett(c, ["k"], "c_mktsegment", "c_acctbal", "BUILDING").select("k", "c_mktsegment", _r("difference", 4).alias("difference"), _r("t", 5).alias("t"), "df", _r("pval", 5).alias("pval"))
+
+
+@query("dunnett_t", """WITH g AS (SELECT c_nationkey % 3 k, c_mktsegment s, count(*) n, avg(c_acctbal) m, var_pop(c_acctbal) v FROM customer GROUP BY 1, 2), p AS (SELECT k, sum(n * v) / (sum(n) - count(*)) s2, sum(n) - count(*) df FROM g GROUP BY 1)
+SELECT g.k, g.s c_mktsegment, round(g.m - b.m, 4) difference, round((g.m - b.m) / sqrt(s2 * (1.0 / g.n + 1.0 / b.n)), 5) t, CAST(df AS DOUBLE) df FROM g JOIN g b ON b.k = g.k AND b.s = 'BUILDING' AND g.s <> 'BUILDING' JOIN p ON p.k = g.k""")
+def dunnett_t(spark, sf):
+    return dunnett(spark, sf).drop("pval")
