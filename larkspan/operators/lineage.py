@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 class Steps:
@@ -34,3 +35,12 @@ class Steps:
         """Delete what an unnamed step has written, if it isn't read any more."""
         for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f), True)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with numbers from 1 in that order: range-partitioned, sorted and written, so a row's number is its place in its part plus the counts of the parts before; the only window over all has one row for each part."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = Steps(df.sparkSession).write(rows.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at")))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return rows.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")

@@ -31,5 +31,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["nunique_topk"](spark, sf_dir)
 
 
-for _module in ("relational", "analytics", "statistics", "evidence_graph", "cohorts", "models"):
+for _module in ("relational", "analytics", "statistics", "evidence_graph", "cohorts", "models", "exchange"):
     importlib.import_module(f"larkspan.plans.{_module}")

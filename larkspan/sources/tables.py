@@ -184,13 +184,13 @@ def attach(df: DataFrame, meta: DataFrame, on: str) -> DataFrame:
 
 def export_for_matrix_market(df: DataFrame, row: str, column: str, value: str, path: str) -> None:
     """Sparse triplets with 1-based indices, and both label lists, as text folders."""
-    from pyspark.sql import Window
+    from larkspan.operators.lineage import numbered
 
-    labels = {c: df.select(c).distinct().withColumn(f"{c}_no", F.row_number().over(Window.orderBy(c))) for c in (row, column)}
+    labels = {c: numbered(df.select(c).where(F.col(c).isNotNull()).distinct(), [c], f"{c}_no") for c in (row, column)}
     body = df.where(F.col(value) != 0).join(labels[row], row).join(labels[column], column)
     body.select(F.concat_ws(" ", f"{row}_no", f"{column}_no", value).alias("value")).write.mode("overwrite").text(f"{path}/entries")
-    for c, t in labels.items():
-        t.orderBy(f"{c}_no").select(F.col(c).cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/{c}")
+    for c, t in labels.items():  # files are in order and each is sorted
+        t.orderBy(f"{c}_no").select(F.col(c).cast("string").alias("value")).write.mode("overwrite").text(f"{path}/{c}")
 
 
 def markdown(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
