@@ -368,3 +368,8 @@ def atlas_scan(spark, sf):
     wanted = spark.createDataFrame([(float(v),) for v in _WANTED], "value double")
     out, report = atlas.atlas(spark, f"{at}/shards", f"{at}/index", "l_quantity", wanted, "double", F.col("l_extendedprice") > 100, "l_returnflag", "l_linestatus", "l_extendedprice", ["F", "O"])
     return out.crossJoin(F.broadcast(report)).select("l_returnflag", F.round("F", 4).alias("F"), F.round("O", 4).alias("O"), "n_files", "n_read")  # one row of counts
+
+
+@query("hash_sample_counts", "SELECT c_mktsegment, least(count(*), 30) n FROM customer GROUP BY 1")
+def hash_sample_counts(spark, sf):
+    return hash_sample(spark, sf).groupBy("c_mktsegment").agg(F.count("*").alias("n"))

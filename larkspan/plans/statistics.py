@@ -148,7 +148,7 @@ def embed_cosine(spark, sf):
     return e.join(c, "label").select("vec_id", _r(stats.cosine(F.col("embedding"), F.col("c")), 5).alias("cos"))
 
 
-@query("size_factors")
+@query("size_factors", "WITH d AS (SELECT l_suppkey % 10 sample, l_partkey % 40 gene, sum(l_quantity) c FROM lineitem GROUP BY 1, 2), g AS (SELECT gene, avg(ln(c)) g FROM d WHERE c > 0 GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT sample) FROM d)) SELECT sample, round(exp(median(ln(c) - g)), 6) size_factor FROM d JOIN g USING (gene) GROUP BY 1")
 def size_factors(spark, sf):
     d = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("sample"), (F.col("l_partkey") % 40).alias("gene")).agg(F.sum("l_quantity").alias("count"))
     return stats.size_factors(d, "sample", "gene", "count").select("sample", _r("size_factor").alias("size_factor"))
@@ -267,3 +267,36 @@ def dunnett(spark, sf):
 SELECT g.k, g.s c_mktsegment, round(g.m - b.m, 4) difference, round((g.m - b.m) / sqrt(s2 * (1.0 / g.n + 1.0 / b.n)), 5) t, CAST(df AS DOUBLE) df FROM g JOIN g b ON b.k = g.k AND b.s = 'BUILDING' AND g.s <> 'BUILDING' JOIN p ON p.k = g.k""")
 def dunnett_t(spark, sf):
     return dunnett(spark, sf).drop("pval")
+
+
+@query("levene_f", """WITH m AS (SELECT c_nationkey % 3 k, c_mktsegment g, median(c_acctbal) md FROM customer GROUP BY 1, 2), d AS (SELECT k, g, abs(c_acctbal - md) x FROM customer JOIN m ON k = c_nationkey % 3 AND g = c_mktsegment),
+s AS (SELECT k, g, count(*) n, avg(x) m, var_pop(x) v FROM d GROUP BY 1, 2) SELECT k, round((sum(n * m * m) - sum(n * m) ^ 2 / sum(n)) / (count(*) - 1) / (sum(n * v) / (sum(n) - count(*))), 6) f FROM s GROUP BY 1""")
+def levene_f(spark, sf):
+    return levene(spark, sf).select("k", "f")
+
+
+@query("dunn_z", """WITH r AS (SELECT c_mktsegment g, c_nationkey v, rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2 r FROM customer), s AS (SELECT g, count(*) n, avg(r) m FROM r GROUP BY 1),
+t AS (SELECT sum(c * c * c - c) t, sum(c) n FROM (SELECT count(*)::DOUBLE c FROM customer GROUP BY c_nationkey))
+SELECT x.g a, y.g b, round((x.m - y.m) / sqrt((t.n * (t.n + 1) / 12 - t / (12 * (t.n - 1))) * (1.0 / x.n + 1.0 / y.n)), 5) z FROM s x JOIN s y ON x.g < y.g, t""")
+def dunn_z(spark, sf):
+    return dunn(spark, sf).select("a", "b", "z")
+
+
+@query("interval_centres", "SELECT c_mktsegment, round(avg(c_acctbal), 3) centre FROM customer GROUP BY 1")
+def interval_centres(spark, sf):
+    return stats.mean_interval(table(spark, sf, "customer"), ["c_mktsegment"], "c_acctbal").select("c_mktsegment", F.round((F.col("low") + F.col("high")) / 2, 3).alias("centre"))
+
+
+@query("factorial_estimates", """WITH c AS (SELECT p_brand, avg(q) FILTER (a = 0 AND b = 0) m00, avg(q) FILTER (a = 1 AND b = 0) m10, avg(q) FILTER (a = 0 AND b = 1) m01, avg(q) FILTER (a = 1 AND b = 1) m11
+  FROM (SELECT p_brand, l_quantity q, CAST(p_size > 25 AS INT) a, CAST(l_returnflag = 'A' AS INT) b FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('A', 'R')) GROUP BY 1)
+SELECT p_brand, unnest(['a', 'b', 'ab']) term, round(unnest([m10 - m00, m01 - m00, m11 - m10 - m01 + m00]), 6) estimate FROM c WHERE m00 IS NOT NULL AND m01 IS NOT NULL AND m10 IS NOT NULL AND m11 IS NOT NULL""")
+def factorial_estimates(spark, sf):
+    return factorial_ols(spark, sf).select("p_brand", "term", "estimate")
+
+
+@query("permanova_f", """WITH d AS (SELECT l_suppkey % 20 u, l_partkey % 6 f, avg(l_quantity) v FROM lineitem GROUP BY 1, 2), g AS (SELECT u, u % 2 g FROM d GROUP BY 1), m AS (SELECT g, count(*) m FROM g GROUP BY 1),
+p AS (SELECT x.u a, y.u b, sum((x.v - y.v) ^ 2) d2 FROM d x JOIN d y ON x.f = y.f AND x.u < y.u GROUP BY 1, 2),
+w AS (SELECT sum(d2 / m) ssw FROM p JOIN g x ON x.u = a JOIN g y ON y.u = b AND x.g = y.g JOIN m ON m.g = x.g), t AS (SELECT sum(d2) / (SELECT count(*) FROM g) sst FROM p)
+SELECT round((sst - ssw) / ((SELECT count(*) FROM m) - 1) / (ssw / ((SELECT count(*) FROM g) - (SELECT count(*) FROM m))), 6) pseudo_f, round(1 - ssw / sst, 6) r2 FROM w, t""")
+def permanova_f(spark, sf):
+    return permanova(spark, sf).select("pseudo_f", "r2")
