@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,17 +160,47 @@ def event_digest(columns: Sequence[str]) -> Column:
 
 
 def sealed(events: DataFrame, columns: Sequence[str], chain: str = "chain") -> DataFrame:
-    """Events (chain, seq, payload, ...) with payload_hash, prev_hash and this_hash. Every hash needs the one before, so each chain is folded in its order in one expression."""
+    """Events (chain, seq, payload, ...) with payload_hash, prev_hash and this_hash.
+
+    Every hash needs the one before, so a chain is one task's, but it is streamed: chains are dealt by hash and sorted, and a task keeps the last hash only, however long a chain is. Time grows with the number of events.
+    Events of one seq are in the order of what is hashed.
+    """
     own = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     rows = events.withColumn("payload_hash", S.content_hash(F.coalesce(F.col("payload"), F.lit("")))).withColumn("__own", F.concat_ws("|", own, "payload_hash"))
-    listed = rows.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct("seq", "__own"))).alias("l"))
-    step = lambda a, e: F.concat(a, F.array(F.sha2(F.concat_ws("|", e["__own"], F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(""))).cast("binary"), 256)))
-    hashes = listed.select(chain, F.posexplode(F.aggregate("l", F.array().cast("array<string>"), step)).alias("i", "this_hash"), "l")
-    hashes = hashes.select(chain, F.get("l", F.col("i"))["seq"].alias("seq"), "this_hash", F.when(F.col("i") > 0, 1).alias("later"), F.col("i"))
-    keyed = rows.join(hashes.drop("later", "i"), [chain, "seq"])
-    from pyspark.sql import Window
-
-    return keyed.withColumn("prev_hash", F.coalesce(F.lag("this_hash").over(Window.partitionBy(chain).orderBy("seq")), F.lit(""))).drop("__own")
+    kept = [c for c in rows.columns if c != "__own"]
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = object(), ""
+        for batch in batches:
+            before, after = [], []
+            for c, text in zip(batch.column(chain).to_pylist(), batch.column("__own").to_pylist(), strict=True):
+                if c != at:
+                    at, last = c, ""
+                before.append(last)
+                last = sha256(f"{text}|{last}".encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(after, pa.string()), pa.array(before, pa.string())], [*kept, "this_hash", "prev_hash"])
+
+    dealt = rows.repartition(chain).sortWithinPartitions(chain, "seq", "__own")
+    return dealt.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "this_hash string", "prev_hash string"]))
+
+
+def for_subject(events: DataFrame, subject, column: str = "subject") -> DataFrame:
+    """A ledger's events on one subject, in order."""
+    return events.where(F.col(column) == F.lit(subject)).orderBy("seq")
+
+
+def first_of(events: DataFrame, kinds: Sequence[str], kind: str = "kind", by: str = "subject") -> DataFrame:
+    """The first event of one of the kinds for each subject; aggregated before it is shuffled."""
+    rest = [c for c in events.columns if c != by]
+    first = events.where(F.col(kind).isin(list(kinds))).groupBy(by).agg(F.min_by(F.struct(*rest), F.col("seq")).alias("e"))
+    return first.select(by, "e.*")
+
+
+def export_ledger(events: DataFrame, path: str) -> None:
+    """One JSON object a line; keys are in the order of the columns, and nulls are left out."""
+    events.select(F.to_json(F.struct(*events.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
 def ledger_faults(events: DataFrame, columns: Sequence[str], chain: str = "chain") -> DataFrame:

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.functions import distributions as D
+from larkspan.operators.lineage import numbered
 from larkspan.operators.windows import average_rank
 
 
@@ -303,14 +304,22 @@ def expression_test(df: DataFrame, sample: str, gene: str, count: str, tumour: C
     return welch(x, [gene], "__y", tumour).withColumn("method", F.lit("welch_log2_size_factors"))
 
 
+def _permutations(units: DataFrame, unit: str, n: int, seed: int, name: str) -> DataFrame:
+    """Rows (unit, perm, place) of n orders of the units by hashes; all orders are numbered in one range-partitioned sort, as each has as many places."""
+    size = units.agg(F.count("*").alias("__all"))  # one row
+    rows = units.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("__h", F.xxhash64(F.lit(seed), "perm", unit))
+    told = numbered(rows, ["perm", "__h", unit], "__no").crossJoin(F.broadcast(size))
+    return told.select(unit, "perm", (F.pmod(F.col("__no") - 1, F.col("__all")) + 1).alias(name))
+
+
 def permutation_coupling(df: DataFrame, pairs: DataFrame, unit: str, feature: str, value: str, n: int = 200, seed: int = 5) -> DataFrame:
     """Spearman coupling of feature pairs (a, b), with p from n relabellings of the units, each a hash order.
 
     The permutations are a table (perm, unit, place): every one is another join key, so they run side by side.
     """
     units = df.select(unit).distinct()
-    base = units.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(unit)))
-    perms = units.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("place", F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", unit), unit)))
+    base = numbered(units, [unit], "place")
+    perms = _permutations(units, unit, n, seed, "place")
     shuffled = perms.join(base.withColumnRenamed(unit, "__u"), "place").select("perm", unit, "__u").union(units.select(F.lit(0).alias("perm"), unit, F.col(unit).alias("__u")))
     r = average_rank(df, [feature], value, "__r").select(unit, feature, "__r")
     left = pairs.join(r.select(F.col(feature).alias("a"), unit, F.col("__r").alias("x")), "a")
@@ -329,8 +338,8 @@ def permanova(df: DataFrame, unit: str, feature: str, value: str, group: DataFra
     d2 = a.join(b, feature).where("a < b").groupBy("a", "b").agg(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))).alias("d2"))
     label = [c for c in group.columns if c != unit][0]
     own = group.select(unit, F.col(label).alias("g"))
-    place = own.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(unit)))
-    perm = own.select(unit).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("i", F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", unit), unit)))
+    place = numbered(own, [unit], "i")
+    perm = _permutations(own.select(unit), unit, n, seed, "i")
     labels = perm.join(place.select("i", "g"), "i").select("perm", unit, "g").union(own.select(F.lit(0).alias("perm"), unit, "g"))
     la, lb = labels.withColumnsRenamed({unit: "a", "g": "ga"}), labels.withColumnsRenamed({unit: "b", "g": "gb"})
     sizes = own.groupBy("g").agg(F.count("*").alias("m"))
@@ -349,9 +358,10 @@ def clr(df: DataFrame, unit: str, value: str, floor: float = 1e-6) -> DataFrame:
 
 def bootstrap_spearman(df: DataFrame, keys: Sequence[str], id_col: str, a: str, b: str, n: int = 200, seed: int = 11) -> DataFrame:
     """Percentile interval of the rank correlation over n resamples; a resample's rows are picked by hashes, so it is the same on every run."""
-    w = Window.partitionBy(*keys).orderBy(id_col)
-    rows = df.dropna(subset=[a, b]).withColumn("__i", F.row_number().over(w))
-    size = rows.groupBy(*keys).agg(F.max("__i").alias("__n"))
+    rows = numbered(df.dropna(subset=[a, b]), [*keys, id_col], "__no")
+    size = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__no").alias("__first"))
+    rows = rows.join(size.select(*keys, "__first"), list(keys)).withColumn("__i", (F.col("__no") - F.col("__first") + 1).cast("int"))
+    size = size.drop("__first")
     picks = rows.select(*keys, "__i").join(size, list(keys)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
     picks = picks.select(*keys, "rep", (F.pmod(F.xxhash64(F.lit(seed), "rep", "__i"), F.col("__n")) + 1).cast("int").alias("__i"))
     drawn = picks.join(rows, [*keys, "__i"])

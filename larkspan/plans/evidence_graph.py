@@ -66,6 +66,34 @@ def deg_evidence(spark, sf):
     return E.deg_evidence(d).select("p_brand", "n", _r("reliability").alias("reliability"))
 
 
+@query("ledger_tampered", "SELECT user_id, count(*) FILTER (event_id % 97 = 0) n_payload, count(*) FILTER (event_id % 97 <> 0) * 0 n_other FROM events GROUP BY 1 HAVING count(*) FILTER (event_id % 97 = 0) > 0")
+def ledger_tampered(spark, sf):
+    """A ledger in which the payload of every 97th event was changed after it was sealed: just those are told."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("chain"), F.col("event_id").alias("seq"), F.col("props").alias("payload"), "event_type")
+    changed = E.sealed(e, ["seq", "event_type"]).withColumn("payload", F.when(F.col("seq") % 97 == 0, F.concat(F.coalesce("payload", F.lit("")), F.lit(" "))).otherwise(F.col("payload")))
+    faults = E.ledger_faults(changed, ["seq", "event_type"])
+    return faults.groupBy(F.col("chain").alias("user_id")).agg(F.count_if((F.col("fault") == "payload") & (F.col("seq") % 97 == 0)).alias("n_payload"), F.count_if((F.col("fault") != "payload") | (F.col("seq") % 97 != 0)).alias("n_other"))
+
+
+@query("ledger_first", "SELECT user_id, min(event_id) seq, arg_min(event_type, event_id) kind FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1")
+def ledger_first(spark, sf):
+    e = table(spark, sf, "events").select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("kind"))
+    return E.first_of(e, ["click", "purchase"], by="user_id")
+
+
+@query("ledger_export", "SELECT event_id seq, event_type kind, user_id subject FROM events WHERE user_id = (SELECT min(user_id) FROM events)")
+def ledger_export(spark, sf):
+    """One subject's events, as they come back from the exported ledger."""
+    from larkspan.operators.lineage import Steps
+    from larkspan.sources.tables import json_lines
+
+    at = Steps(spark).path
+    e = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), F.col("user_id").alias("subject"))
+    E.export_ledger(e, at)
+    first = e.agg(F.min("subject")).first()[0]
+    return E.for_subject(json_lines(spark, at, "seq long, kind string, subject long"), first)
+
+
 @query("ledger_verify", "SELECT user_id, count(*) n, 0::BIGINT n_faults FROM events GROUP BY 1")
 def ledger_verify(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("chain"), F.col("event_id").alias("seq"), F.col("props").alias("payload"), "event_type")
