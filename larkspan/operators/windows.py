@@ -129,6 +129,18 @@ def correlations(df: DataFrame, unit: str, feature: str, value: str, target) ->
     return df.where(F.col(feature) != target).join(one, unit).groupBy(feature).agg(F.corr(value, "__y").alias("r"), F.count("*").alias("n"))
 
 
+def correlation_matrix(df: DataFrame, unit: str, feature: str, value: str, most: int = 5000) -> DataFrame:
+    """Rows (a, b, r, n): Pearson correlation of each pair of features, a before b, over the n units that both have.
+
+    The result has a row for each pair, so more than ``most`` features are an error. A unit's features meet in one join on the unit; what is shuffled after it are partial moments of pairs.
+    """
+    if df.select(feature).distinct().count() > most:
+        raise ValueError(f"more than {most} features")
+    rows = df.where(F.col(value).isNotNull() & F.col(feature).isNotNull()).select(F.col(unit).alias("__u"), F.col(feature).alias("a"), F.col(value).cast("double").alias("__x"))
+    other = rows.withColumnsRenamed({"a": "b", "__x": "__y"})
+    return rows.join(other, "__u").where("a < b").groupBy("a", "b").agg(F.corr("__x", "__y").alias("r"), F.count("*").alias("n"))
+
+
 def curve_choice(df: DataFrame, fdr: str, x: str, y: str, points: int = 3) -> DataFrame:
     """For each rate of a cutoff grid the correlation of cut and count, null under ``points`` points, and which rate is the first to have one."""
     c = df.groupBy(fdr).agg(F.count("*").alias("n"), F.corr(x, y).alias("r")).withColumn("r", F.when(F.col("n") >= points, F.col("r")))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from larkspan.operators import consensus, density, expression, regression
+from larkspan.operators import consensus, deconvolution, density, expression, regression, stats, windows
 from larkspan.plans.registry import query, table
 
 
@@ -114,3 +114,54 @@ def factorised_profiles(spark, sf):
     w, h, _ = consensus.factorised(x, "p_brand", "x", 2)
     mass = F.transform(F.arrays_zip("weights", F.array(*(F.lit(float(v)) for v in h.sum(1))).alias("s")), lambda z: z["weights"] * z["s"])
     return w.select("p_brand", F.round(F.array_max(mass) / F.aggregate(mass, F.lit(0.0), lambda a, v: a + v), 4).alias("largest_share"))
+
+
+def _mixture(spark, sf):
+    """Quantities by supplier and part class, the profiles of three sizes of parts, and equal fractions."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumns({"sample": F.col("l_suppkey") % 20, "gene": F.concat_ws("/", "p_brand", "p_type"), "state": F.concat(F.lit("s"), F.col("p_size") % 3)})
+    bulk = lines.groupBy("sample", "gene").agg(F.sum("l_quantity").alias("count"))
+    phi = deconvolution.profiles(lines.groupBy("state", "gene").agg((F.sum("l_quantity") + 1).alias("level")))
+    theta = lines.groupBy("sample", "state").agg(F.sum("l_quantity").alias("q")).join(lines.groupBy("sample").agg(F.sum("l_quantity").alias("t")), "sample").select("sample", "state", (F.col("q") / F.col("t")).alias("theta"))
+    return bulk, theta, phi
+
+
+_Z = """l AS (SELECT l_suppkey % 20 s, p_brand || '/' || p_type g, 's' || (p_size % 3) k, l_quantity q FROM lineitem JOIN part ON l_partkey = p_partkey),
+b AS (SELECT s, g, sum(q) c FROM l GROUP BY 1, 2), h AS (SELECT k, g, sum(q) + 1 v FROM l GROUP BY 1, 2), w AS (SELECT kk.k, gg.g, coalesce(v, 0) + 1e-9 v FROM (SELECT DISTINCT k FROM h) kk CROSS JOIN (SELECT DISTINCT g FROM h) gg LEFT JOIN h ON h.k = kk.k AND h.g = gg.g),
+f AS (SELECT k, g, v / sum(v) OVER (PARTITION BY k) phi FROM w), t AS (SELECT s, k, sum(q) / sum(sum(q)) OVER (PARTITION BY s) theta FROM l GROUP BY 1, 2),
+z AS (SELECT b.s, f.k, b.g, c * theta * phi / sum(theta * phi) OVER (PARTITION BY b.s, b.g) z FROM b JOIN f USING (g) JOIN t ON t.s = b.s AND t.k = f.k)"""
+
+
+@query("expected_counts", f"WITH {_Z} SELECT s sample, k state, round(sum(z), 4) total, round(max(z), 4) most FROM z GROUP BY 1, 2")
+def expected_counts(spark, sf):
+    z = deconvolution.expected_counts(*_mixture(spark, sf))
+    return z.groupBy("sample", "state").agg(F.round(F.sum("z"), 4).alias("total"), F.round(F.max("z"), 4).alias("most"))
+
+
+@query("updated_reference", f"WITH {_Z}, m AS (SELECT s, g, sum(z) z FROM z WHERE k = 's0' GROUP BY 1, 2), e AS (SELECT g, sum(z) z FROM z WHERE k <> 's0' GROUP BY 1), p AS (SELECT s, g, z / sum(z) OVER (PARTITION BY s) psi FROM m), r AS (SELECT g, z / sum(z) OVER () psi FROM e) SELECT g gene, round(r.psi, 7) rest, round(avg(p.psi), 7) malignant FROM r JOIN p USING (g) GROUP BY 1, 2")
+def updated_reference(spark, sf):
+    mal, env = deconvolution.updated_reference(deconvolution.expected_counts(*_mixture(spark, sf)), ["s0"])
+    return env.withColumnRenamed("psi", "rest").join(mal.groupBy("gene").agg(F.avg("psi").alias("malignant")), "gene").select("gene", F.round("rest", 7).alias("rest"), F.round("malignant", 7).alias("malignant"))
+
+
+@query("refitted_purity")
+def refitted_purity(spark, sf):
+    bulk, theta, phi = _mixture(spark, sf)
+    out = deconvolution.refitted(bulk, *deconvolution.updated_reference(deconvolution.expected_counts(bulk, theta, phi), ["s0"]))
+    return out.withColumn("purity", F.round("purity", 5))
+
+
+@query("nnls_fractions")
+def nnls_fractions(spark, sf):
+    bulk, _, phi = _mixture(spark, sf)
+    return deconvolution.nnls_fractions(bulk, phi).withColumn("weight", F.round("weight", 3))
+
+
+@query("correlation_matrix", "WITH s AS (SELECT p_brand f, l_suppkey u, avg(l_quantity) v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) SELECT a.f a, b.f b, round(corr(a.v, b.v), 6) r, count(*) n FROM s a JOIN s b ON a.u = b.u AND a.f < b.f GROUP BY 1, 2")
+def correlation_matrix(spark, sf):
+    d = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "l_suppkey").agg(F.avg("l_quantity").alias("v"))
+    return windows.correlation_matrix(d, "l_suppkey", "p_brand", "v").select("a", "b", _r("r"), "n")
+
+
+@query("mutual_information", "WITH c AS (SELECT l_returnflag a, l_linestatus b, count(*)::DOUBLE c FROM lineitem GROUP BY 1, 2), n AS (SELECT sum(c) n FROM c), r AS (SELECT a, sum(c) r FROM c GROUP BY 1), s AS (SELECT b, sum(c) s FROM c GROUP BY 1), h AS (SELECT (SELECT -sum(r / n * ln(r / n)) FROM r, n) x, (SELECT -sum(s / n * ln(s / n)) FROM s, n) y, (SELECT sum(c / n * ln(c * n / (r * s))) FROM c JOIN r USING (a) JOIN s USING (b), n) m) SELECT round(m / ((x + y) / 2), 8) nmi FROM h")
+def mutual_information(spark, sf):
+    return stats.rand_index(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus").select(_r("nmi", 8))
