@@ -240,7 +240,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
         side = lambda s: texts.select(F.col("key").alias(s), F.col("line").alias(f"l{s}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "lb").mapInArrow(tidy(_verified(percent)), "a long, b long")
 
-    roots = connect(shared, texts.select("key", "n", *PARITY), near("x", "y", percent), similar).withColumnRenamed("node", "key")
+    roots = connect(shared, texts.select("key", "n", *PARITY), near("x", "y", percent), similar, more=4).withColumnRenamed("node", "key")
     # of the lines only those that are found twice or linked go on, and of these each group's first place is found
     place = F.struct(F.col("id"), F.col("no"), F.col("tkey"))
     keys = lines.groupBy("key").agg(F.count("*").alias("n")).join(roots, "key", "full").where("n > 1 or root is not null")

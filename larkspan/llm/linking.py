@@ -18,8 +18,8 @@ PARITY = [f"p{i}" for i in range(LONGS)]
 WIDE_FROM, WIDE_BYTES = 800, 2048  # sets of that many elements have 16384 parity bits more, which pairs are held against before their elements are
 FEW = 8
 MOST_KEYS = 1 << 19  # what is broadcast to pick rows by key: 4 MB of keys at most
-ROUNDS, ORDERS = 8, 4  # rounds of stars at most, and in each the orders by which groups choose their centres
-SLACK = 4  # so many pairs a row are made at once; while more are left, another round of stars comes first
+ROUNDS, ORDERS = 2, 4  # rounds of stars in all groups, and in each the orders by which groups choose their centres
+SLACK = 8  # groups with more open pairs a row than that can get more rounds
 
 
 def parities(doc: np.ndarray, spread: np.ndarray, n: int) -> list[pa.Array]:
@@ -106,10 +106,11 @@ def _unmerged(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return cut(held.join(ends.select("sig"), "sig", "left_semi"))
 
 
-def _left(held: DataFrame) -> tuple[int, int]:
-    """How many pairs of different components the groups hold, at most, and how many rows there are."""
+def _heavy(held: DataFrame) -> DataFrame:
+    """``held`` of the groups whose members of different components make many pairs, counted by sizes of components."""
     sizes = held.groupBy("sig", "root").agg(F.count("*").alias("n")).groupBy("sig").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within"))
-    return tuple(v or 0 for v in sizes.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first())
+    many = sizes.where(F.col("all") * F.col("all") - F.col("within") > 2 * SLACK * F.col("all")).select("sig")
+    return cut(picked(held, cut(many), "sig"))
 
 
 def _stars(held: DataFrame, heads: DataFrame, close: Column, turn: int) -> DataFrame:
@@ -139,22 +140,25 @@ def _rest(held: DataFrame, heads: DataFrame, close: Column) -> DataFrame:
     return x.join(y, apart & close & once).select(*pair).distinct()
 
 
-def connect(shared: DataFrame, heads: DataFrame, close: Column, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def connect(shared: DataFrame, heads: DataFrame, close: Column, similar: Callable[[DataFrame], DataFrame], more: int = 0) -> DataFrame:
     """Rows (node, root) that connect what comparing all pairs of every group would connect.
 
     shared: rows (sig, key), a group for each sig. heads: one row (key, ...) for each key, on which ``close`` rules pairs x, y out cheaply. similar: keeps the similar ones of
-    some pairs (a, b). In rounds each key is compared with one centre of its groups, which merges nearly all that belongs together, until few pairs are left or a round finds none; then the pairs across
-    what is still apart, minus those that ``close`` rules out, are compared exactly. A pair that is connected already is not compared.
+    some pairs (a, b). In a few rounds each key is compared with one centre of its groups, which merges nearly all that belongs together; ``more`` rounds at most follow in groups that still hold many open pairs; then the pairs
+    across what is still apart, minus those that ``close`` rules out, are compared exactly. A pair that is connected already is not compared.
     """
     roots, held = None, shared.select("sig", "key", F.col("key").alias("root"))
-    for turn in range(ROUNDS):
-        pairs, rows = _left(held)
-        if pairs <= SLACK * rows:
-            break
+    for turn in range(ROUNDS + more):
+        if turn >= ROUNDS:
+            held = _heavy(held)
+            if held.isEmpty():
+                break
         found = cut(similar(cut(_stars(held, heads, close, turn))))
         if found.isEmpty():
             break
         roots = merged(roots, found)
+        held = _unmerged(held, roots)
+    if roots is not None and more:
         held = _unmerged(shared, roots)
     rest = cut(_rest(held, heads, close))
     found = cut(similar(rest))

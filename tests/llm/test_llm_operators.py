@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from larkspan.llm import components, fm_index, hilbert, importance, line_dedup, partenum, pfor, pieces, quality_rules, secrets, substring_dedup, token_files, winnowing
+from larkspan.llm import components, fm_index, hilbert, importance, line_dedup, linking, partenum, pfor, pieces, quality_rules, secrets, substring_dedup, token_files, winnowing
 from larkspan.llm import words as W
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -233,6 +233,25 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("slack", [8, 0])  # at 0, every open group gets more rounds
+def test_a_family_of_lines(spark, slack, monkeypatch):
+    """Some hundred near copies of one line, many of which are alike only by way of others."""
+    monkeypatch.setattr(linking, "SLACK", slack)
+    rnd = random.Random(21)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) for _ in range(45)]
+
+    def variant():
+        w = list(words)
+        for _ in range(rnd.choice([1, 2, 2, 3])):
+            w[rnd.randrange(45)] = "".join(rnd.choice("ijklm") for _ in range(5))
+        return " ".join(w)
+
+    rows = [(i, "\n".join([variant(), f"own line of {i * 7919} here", variant()])) for i in range(140)]
+    expected = _lines_brute([(i, t) for i, t in rows])
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: len(expected[(i, t)]) for i, t in rows} and sum(got.values()) > 150
+
+
 def test_short_lines_are_deduped(spark, tmp_path):
     import corpus_pipeline
     from larkspan.llm.queries import op05_lines
