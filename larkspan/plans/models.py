@@ -111,7 +111,7 @@ def factorised_profiles(spark, sf):
     lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     counts = lines.groupBy("p_brand", F.month("l_shipdate").alias("m")).agg(F.count("*").cast("double").alias("n"))
     x = counts.groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct("m", "n"))).alias("by")).select("p_brand", F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.coalesce(F.try_element_at("by", m), F.lit(0.0))).alias("x"))
-    w, h, _ = consensus.factorised(x, "p_brand", "x", 2)
+    w, h, _ = consensus.factorised(x, "p_brand", "x", 2, rounds=12)
     mass = F.transform(F.arrays_zip("weights", F.array(*(F.lit(float(v)) for v in h.sum(1))).alias("s")), lambda z: z["weights"] * z["s"])
     return w.select("p_brand", F.round(F.array_max(mass) / F.aggregate(mass, F.lit(0.0), lambda a, v: a + v), 4).alias("largest_share"))
 
