@@ -154,8 +154,8 @@ def summed_duplicates(spark, sf):
     return table(spark, sf, "part").groupBy("p_name", "p_type").agg(F.sum("p_size").alias("total"))
 
 
-@query("opened_nodes", "WITH e AS (SELECT DISTINCT n_nationkey::BIGINT a, (n_nationkey * 7 + 3) % 25 b FROM nation) SELECT 4::BIGINT id UNION SELECT b FROM e WHERE a = 4 UNION SELECT a FROM e WHERE b = 4")
-def opened_nodes(spark, sf):
+@query("nodes_opened", "WITH e AS (SELECT DISTINCT n_nationkey::BIGINT a, (n_nationkey * 7 + 3) % 25 b FROM nation) SELECT 4::BIGINT id UNION SELECT b FROM e WHERE a = 4 UNION SELECT a FROM e WHERE b = 4")
+def nodes_opened(spark, sf):
     edges = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("src"), ((F.col("n_nationkey") * 7 + 3) % 25).cast("long").alias("dst"))
     node = edges.where("src = 4").select(F.col("src").alias("id"))
     return graph.toggled(node, edges, node)
