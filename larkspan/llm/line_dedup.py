@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -250,6 +251,12 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     return gone.groupBy("id", "tkey").agg(F.collect_set("no").alias("nos"))
 
 
+def _text_keys(data: np.ndarray, offset: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The keys of whole texts, as _signed gives them."""
+    o = offset[lo : hi + 1] - offset[lo]
+    return W.spans_hash(W.prefix(data[offset[lo] : offset[hi]].astype(W.U) + W.U(1), W.BYTES), o[:-1], o[1:], W.BYTES)
+
+
 def _left(text: str, nos: list[int] | None) -> list[str]:
     lines = text.split("\n")
     gone = set(nos or ())
@@ -285,8 +292,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
             data, offset = W.buffers(batch.column("text"))
             for lo, hi in W.cuts(offset):
                 own = batch.slice(lo, hi - lo)
-                o = offset[lo : hi + 1] - offset[lo]
-                key = W.spans_hash(W.prefix(data[offset[lo] : offset[hi]].astype(W.U) + W.U(1), W.BYTES), o[:-1], o[1:], W.BYTES)
+                key = _text_keys(data, offset, lo, hi)
                 maybe = S.passes(held.value, key)
                 for flag in (False, True):
                     at = pa.array(np.flatnonzero(maybe == flag))
@@ -320,11 +326,34 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
 def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with their own columns, each text cut down to the lines it keeps; a row that loses every line with a word goes, and n_chars follows the text."""
     names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
-    inner = docs.toDF(*names.values()).withColumn("__none", F.col(names[text_col]).isNull())
-    others = tuple(n for c, n in names.items() if c != text_col)
-    told = dedup(inner, names[id_col], names[text_col], percent, (*others, "__none"), text=True)
-    told = told.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    made = {text_col: F.when(~F.col("__none"), F.col("kept_text"))}
+    frame, kinds = docs.toDF(*names.values()), dict(docs.dtypes)
+    own_id, own_text = names[id_col], names[text_col]
+    gone = removed(frame, own_id, own_text, percent)
+    held = docs.sparkSession.sparkContext.broadcast(S.build(gone, "tkey"))
+
+    def side(flag: bool) -> DataFrame:
+        """The rows that may lose lines by the sieve, or those that lose none, with their text's key."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offset = W.buffers(batch.column(own_text))
+                for lo, hi in W.cuts(offset):
+                    key = _text_keys(data, offset, lo, hi)
+                    ok = pa.array(S.passes(held.value, key) == flag)
+                    part = batch.slice(lo, hi - lo)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).filter(ok) for c in names.values()), _longs(key).filter(ok)], [*names.values(), "__tkey"])
+
+        return frame.mapInArrow(tidy(run), ", ".join([*(f"{n} {kinds[c]}" for c, n in names.items()), "__tkey long"]))
+
+    def lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column(own_text).to_pylist(), batch.column("__nos").to_pylist(), strict=True)
+            text = [t if nos is None or t is None else "\n".join(_left(t, nos)) for t, nos in rows]
+            yield pa.RecordBatch.from_arrays([*(pa.array(text, pa.string()) if c == own_text else batch.column(c) for c in names.values()), pc.list_value_length(batch.column("__nos")).cast(pa.int64())], [*names.values(), "__n"])
+
+    nos = gone.select(F.col("id").alias("__gid"), F.col("tkey").alias("__gkey"), F.col("nos").alias("__nos"))
+    rest = side(True).join(nos, F.col(own_id).eqNullSafe(F.col("__gid")) & (F.col("__tkey") == F.col("__gkey")), "left").select(*names.values(), "__nos")
+    rest = rest.mapInArrow(tidy(lose), ", ".join([*(f"{n} {kinds[c]}" for c, n in names.items()), "__n long"])).where(F.col("__n").isNull() | F.col(own_text).rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in names:
-        made["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col(names["n_chars"]))
-    return told.select(*[(made[c] if c in made else F.col(n)).alias(c) for c, n in names.items()])
+        rest = rest.withColumn(names["n_chars"], F.when(F.col("__n") > 0, F.char_length(own_text).cast(kinds["n_chars"])).otherwise(F.col(names["n_chars"])))
+    return side(False).select(*names.values()).union(rest.select(*names.values())).toDF(*docs.columns)

@@ -243,8 +243,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with their own columns: of each component the first by (id, text hash), null ids last, and every row whose set is empty."""
     names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
-    told, carried = _told(docs.toDF(*names.values()), names[id_col], names[text_col], ngram, percent, tuple(names.values()))
-    own = [F.col(f"__c{carried.index(n)}").alias(c) for c, n in names.items()]
-    # rows of one place are equal in id and text: one of them stays, and a component is only gathered by then
-    first = told.where((F.col("n") > 0) & _place().eqNullSafe(F.col("head"))).dropDuplicates(["root"])
-    return first.select(*own).union(told.where("n = 0").select(*own))
+    rows = docs.toDF(*names.values())
+    with scope(docs.sparkSession) as kept:  # what is left behind are places, no texts
+        told, _ = _told(rows, names[id_col], names[text_col], ngram, percent, ())
+        places = told.where("n > 0").groupBy("__c0", "__hash").agg(F.first(_place().eqNullSafe(F.col("head"))).alias("__stays"), F.count("*").alias("rows"))
+        open_places = kept(places.where("not __stays or rows > 1").select("__c0", "__hash", "__stays"))
+    sure, rest = S.apart(rows.withColumn("__hash", F.xxhash64(names[text_col])), open_places, "__hash")
+    found = rest.join(open_places.withColumnRenamed("__hash", "__h"), F.col(names[id_col]).eqNullSafe(F.col("__c0")) & (F.col("__hash") == F.col("__h")), "left").where("__stays is null or __stays")
+    # rows of one place are equal in id and text: one of them stays
+    one = found.withColumn("__row", F.when(F.col("__stays"), F.lit(-1)).otherwise(F.monotonically_increasing_id())).dropDuplicates([names[id_col], "__hash", "__row"])
+    return sure.select(*names.values()).union(one.select(*names.values())).toDF(*docs.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,14 @@ def passes(sieve: np.ndarray, key: np.ndarray) -> np.ndarray:
     one = np.uint64(1)
     bit = lambda p: (sieve[p >> 6] >> (p & 63).astype(np.uint64)) & one
     return (bit(a) & bit(b)).astype(bool)
+
+
+def apart(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose key is surely none of ``keys``, as they are, and the rest, which a join has to tell. Only keys go through Python."""
+    held = rows.sparkSession.sparkContext.broadcast(build(keys, key))
+
+    @F.pandas_udf("boolean")
+    def maybe(k: pd.Series) -> pd.Series:
+        return pd.Series(passes(held.value, k.to_numpy(np.int64)))
+
+    return rows.where(~maybe(key)), rows.where(maybe(key))

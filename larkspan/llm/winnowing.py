@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from larkspan.llm import sieve as S
 from larkspan.llm import words as W
-from larkspan.llm.shared import cut
+from larkspan.llm.shared import cut, scope
 
 SPAN, K = 10, 5
 
@@ -137,6 +137,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with their own columns, that share no window with an item."""
     renamed = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
-    id_col, text_col = options.pop("id_col", "doc_id"), options.pop("text_col", "text")
-    told = contamination(docs.toDF(*renamed.values()), items, id_col=renamed[id_col], text_col=renamed[text_col], keep=tuple(renamed.values()), **options)
-    return told.where("not contaminated").select(*renamed.values()).toDF(*docs.columns)
+    rows = docs.toDF(*renamed.values())
+    id_col, text_col = renamed[options.pop("id_col", "doc_id")], renamed[options.pop("text_col", "text")]
+    rows = rows.withColumn("__hash", F.xxhash64(text_col))
+    with scope(docs.sparkSession) as kept:  # what is left behind are places of contaminated texts, no texts
+        told = contamination(rows, items, id_col=id_col, text_col=text_col, keep=("__hash",), **options)
+        hit = kept(told.where("contaminated").select(F.col(id_col).alias("__id"), "__hash").distinct())
+    sure, rest = S.apart(rows, hit, "__hash")
+    clear = rest.join(hit.withColumnRenamed("__hash", "__h"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left_anti")
+    return sure.union(clear).drop("__hash").toDF(*docs.columns)

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -693,6 +694,19 @@ def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
     assert all(r.n_tokens == len(r.ids) for r in found)
 
 
+@pytest.mark.parametrize("stage", ["lines", "near_duplicates", "decontamination"])
+def test_stages_leave_no_texts_behind(spark, docs, tmp_path, monkeypatch, stage):
+    import corpus_pipeline
+    from larkspan.llm import shared
+
+    made, folder = [], shared.shared_dir
+    monkeypatch.setattr(shared, "shared_dir", lambda s: made.append(folder(s)) or made[-1])
+    spark.createDataFrame([("a", "b c d e f g h i j k l")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert 10 < getattr(corpus_pipeline, stage)(spark, docs, str(tmp_path)).count() <= docs.count()
+    left = [x for x in made if Path(x).exists()]
+    assert made and all(kind not in ("string", "binary") for x in left for _, kind in spark.read.parquet(x).dtypes)
+
+
 def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
     import corpus_pipeline
 
