@@ -39,8 +39,10 @@ def array_containment(left: DataFrame, right: DataFrame, left_keys: Sequence[str
     keys = right
     for n, a in zip(names, right_arrays, strict=True):
         keys = keys.withColumn(n, F.explode(F.array_distinct(a)))
+        if n != names[-1]:
+            keys = keys.repartition(n)  # few rows with long arrays are few tasks: the next explode starts from this one's rows
     on = functools.reduce(Column.__and__, [left[k] == keys[n] for k, n in zip(left_keys, names, strict=True)])
-    return left.join(keys, on, "left").drop(*names)
+    return left.join(keys.hint("merge"), on, "left").drop(*names)  # how many keys the arrays hold isn't known to Spark, which would broadcast them all
 
 
 def overlaps(a: DataFrame, b: DataFrame, keys: Sequence[str], at_least: int = 1, width: int = 1 << 14, start: str = "start", end: str = "end") -> DataFrame:

@@ -95,7 +95,9 @@ def assoc_like_search(spark, sf):
 
 @query("array_theta_join", "WITH m AS (SELECT s_nationkey moa, list(DISTINCT s_suppkey) s, list(DISTINCT p_size) z FROM supplier JOIN part ON p_partkey % 25 = s_nationkey GROUP BY 1) SELECT l_suppkey, l_partkey, l_linenumber, l_orderkey, coalesce(moa, -1) moa FROM (SELECT l_suppkey, l_partkey, l_linenumber, l_orderkey, p_size FROM lineitem JOIN part ON l_partkey = p_partkey) t LEFT JOIN m ON list_contains(s, l_suppkey) AND list_contains(z, p_size)")
 def array_theta_join(spark, sf):
-    m = table(spark, sf, "supplier").join(table(spark, sf, "part"), F.col("p_partkey") % 25 == F.col("s_nationkey")).groupBy(F.col("s_nationkey").alias("moa")).agg(F.collect_set("s_suppkey").alias("s"), F.collect_set("p_size").alias("z"))
+    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("moa")).agg(F.collect_set("s_suppkey").alias("s"))
+    z = table(spark, sf, "part").groupBy((F.col("p_partkey") % 25).alias("moa")).agg(F.collect_set("p_size").alias("z"))
+    m = s.join(z, "moa")  # each side is a set already: joined row by row, a nation would have suppliers times parts
     t = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "l_partkey", "l_linenumber", "l_orderkey", "p_size")
     return joins.array_containment(t, m, ["l_suppkey", "p_size"], ["s", "z"], "moa").select("l_suppkey", "l_partkey", "l_linenumber", "l_orderkey", F.coalesce("moa", F.lit(-1)).alias("moa"))
 

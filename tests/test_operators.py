@@ -218,3 +218,20 @@ def test_consensus_takes_every_vector(spark, tmp_path):
                     same[a, b] = same.get((a, b), 0) + (of[a] == of[b])
     expected = np.mean([0.1 < same[k] / n < 0.9 for k, n in both.items()])
     assert abs(QUERIES["consensus_pac"](spark, str(tmp_path)).first().pac - expected) < 1e-9
+
+
+def test_theta_join_has_no_join_of_all_pairs(spark, tmp_path):
+    from larkspan.plans import registry
+
+    spark.range(300).selectExpr("id s_suppkey", "cast(id % 3 as int) s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(7500).selectExpr("id p_partkey", "cast(id % 7 as int) p_size").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(40).selectExpr("id l_suppkey", "id l_partkey", "1 l_linenumber", "id l_orderkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = registry.QUERIES["array_theta_join"](spark, str(tmp_path))
+    assert sorted((r.l_suppkey, r.moa) for r in df.collect()) == [(i, i % 3) for i in range(40)]
+
+    def rows_of(p):
+        kids = [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in p.nodeName() else [p.children().apply(i) for i in range(p.children().size())]
+        own = p.metrics().get("numOutputRows").get().value() if "Join" in p.nodeName() and p.metrics().contains("numOutputRows") else 0
+        return max([own, *map(rows_of, kids)])
+
+    assert 0 < rows_of(df._jdf.queryExecution().executedPlan()) < 30_000  # 300 suppliers by 300 parts of each nation would be 90,000
