@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from larkspan.operators import consensus, deconvolution, density, expression, regression, stats, windows
+from larkspan.operators.lineage import Steps
 from larkspan.plans.registry import query, table
 
 
@@ -117,11 +118,14 @@ def factorised_profiles(spark, sf):
 
 
 def _mixture(spark, sf):
-    """Quantities by supplier and part class, the profiles of three sizes of parts, and equal fractions."""
-    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumns({"sample": F.col("l_suppkey") % 20, "gene": F.concat_ws("/", "p_brand", "p_type"), "state": F.concat(F.lit("s"), F.col("p_size") % 3)})
-    bulk = lines.groupBy("sample", "gene").agg(F.sum("l_quantity").alias("count"))
-    phi = deconvolution.profiles(lines.groupBy("state", "gene").agg((F.sum("l_quantity") + 1).alias("level")))
-    theta = lines.groupBy("sample", "state").agg(F.sum("l_quantity").alias("q")).join(lines.groupBy("sample").agg(F.sum("l_quantity").alias("t")), "sample").select("sample", "state", (F.col("q") / F.col("t")).alias("theta"))
+    """Quantities by supplier and part class, the profiles of three sizes of parts, and equal fractions. All of them are sums of one small table, which is made and written once."""
+    parts = table(spark, sf, "part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type").alias("gene"), F.concat(F.lit("s"), F.col("p_size") % 3).alias("state"))
+    own = table(spark, sf, "lineitem").groupBy("l_partkey", (F.col("l_suppkey") % 20).alias("sample")).agg(F.sum("l_quantity").alias("q"))
+    cells = own.join(parts.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))  # not by a broadcast of all parts
+    cells = Steps(spark).write(cells.groupBy("sample", "gene", "state").agg(F.sum("q").alias("q")))
+    bulk = cells.groupBy("sample", "gene").agg(F.sum("q").alias("count"))
+    phi = deconvolution.profiles(cells.groupBy("state", "gene").agg((F.sum("q") + 1).alias("level")))
+    theta = cells.groupBy("sample", "state").agg(F.sum("q").alias("q")).join(cells.groupBy("sample").agg(F.sum("q").alias("t")), "sample").select("sample", "state", (F.col("q") / F.col("t")).alias("theta"))
     return bulk, theta, phi
 
 

@@ -235,3 +235,10 @@ def test_theta_join_has_no_join_of_all_pairs(spark, tmp_path):
         return max([own, *map(rows_of, kids)])
 
     assert 0 < rows_of(df._jdf.queryExecution().executedPlan()) < 30_000  # 300 suppliers by 300 parts of each nation would be 90,000
+
+
+def test_mixture_reads_parts_once_and_broadcasts_none(spark):
+    from larkspan.plans import models
+
+    for df in models._mixture(spark, "/root/testdata/sf0.001"):
+        assert "part.parquet" not in " ".join(df.inputFiles())
