@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def exact_mean(value: str) -> Column:
+    """Mean of a column of doubles by their sum as decimals of 18 places: whatever order rows come in, equal means are equal and a mean of 0.05 is 0.05. Where a value is no such decimal (NaN, 1e20), the plain mean."""
+    d = F.col(value).try_cast("decimal(38,18)")
+    return F.when(F.count(d) == F.count(value), F.coalesce(F.try_divide(F.try_sum(d), F.count(d)).cast("double"), F.avg(value))).otherwise(F.avg(value))
+
+
 def counts(df: DataFrame, keys: Sequence[str], drop_null_keys: bool = False, name: str = "n") -> DataFrame:
     """Group sizes; groups with a null key stay or go."""
     rows = df.dropna(subset=list(keys)) if drop_null_keys else df

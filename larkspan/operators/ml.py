@@ -13,6 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.operators.aggregates import exact_mean
+
 
 def _vectors(df: DataFrame, array: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(array).cast("array<double>")))
@@ -97,8 +99,8 @@ def marker_genes(df: DataFrame, state: str, gene: str, cpm: str, margin: float =
 
 def signature_calls(df: DataFrame, sample: str, gene: str, z: str, up: Sequence[str], down: Sequence[str], names: tuple[str, str] = ("basal-like", "classical")) -> DataFrame:
     """Mean z of two gene lists by sample, their difference and the call."""
-    mean = lambda g: F.avg(F.when(F.col(gene).isin(list(g)), F.col(z)))
-    s = df.groupBy(sample).agg(mean(up).alias("up_score"), mean(down).alias("down_score"))
+    one = lambda g: F.when(F.col(gene).isin(list(g)), F.col(z))
+    s = df.withColumns({"__u": one(up), "__d": one(down)}).groupBy(sample).agg(exact_mean("__u").alias("up_score"), exact_mean("__d").alias("down_score"))
     return s.withColumn("delta", F.col("up_score") - F.col("down_score")).withColumn("call", F.when(F.col("delta") > 0, names[0]).otherwise(names[1]))
 
 

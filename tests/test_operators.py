@@ -220,6 +220,30 @@ def test_consensus_takes_every_vector(spark, tmp_path):
     assert abs(QUERIES["consensus_pac"](spark, str(tmp_path)).first().pac - expected) < 1e-9
 
 
+def _shuffled_means(spark, tmp_path, name, values, group):
+    """A query on line items whose values come in several orders."""
+    from larkspan.plans import registry
+
+    spark.createDataFrame([(1, "A")], "p_partkey long, p_type string").union(spark.createDataFrame([(2, "Z")], "p_partkey long, p_type string")).write.parquet(str(tmp_path / "part.parquet"))
+    rows = [(*group(k, i), v) for k in range(12) for i, v in enumerate(values[k % len(values):] + values[: k % len(values)])]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_returnflag string, l_discount double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    return registry.QUERIES[name](spark, str(tmp_path)).collect()
+
+
+def test_means_do_not_hang_on_the_order_of_rows(spark, tmp_path):
+    values = [0.01, 0.02, 0.03, 0.1, 0.07, 0.06, 0.04, 0.09, 0.03, 0.05, 0.06, 0.04]  # of mean 0.05
+    calls = _shuffled_means(spark, tmp_path / "s", "signature_calls", [x for pair in zip(values, values[::-1]) for x in pair], lambda k, i: (k, 1 + i % 2, "A"))
+    assert {(r.delta, r.call) for r in calls if r.l_suppkey % 2 == 0} == {(0.0, "classical")}
+
+
+def test_equal_means_are_ranked_by_name(spark):
+    from larkspan.operators import aggregates
+
+    rows = [(g, v) for g, vs in {"a": [0.1, 0.2, 0.3], "b": [0.3, 0.2, 0.1], "c": [0.2], "d": [0.05] * 7, "e": [0.01, 0.09], "f": [float("nan"), 1.0], "g": [None]}.items() for v in vs]
+    got = {r.g: r.m for r in spark.createDataFrame(rows, "g string, v double").coalesce(1).groupBy("g").agg(aggregates.exact_mean("v").alias("m")).collect()}
+    assert got["a"] == got["b"] == got["c"] == 0.2 and got["d"] == got["e"] == 0.05 and got["f"] != got["f"] and got["g"] is None
+
+
 def test_theta_join_has_no_join_of_all_pairs(spark, tmp_path):
     from larkspan.plans import registry
 
