@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm import words as W
+from larkspan.llm.shared import remembered
 
 SPACE = "▁"
 LONG = 192  # symbols from which a chunk gets a heap
@@ -247,15 +248,9 @@ class Agenda:
         return "".join(out)
 
 
-_held: dict[bytes, Agenda] = {}
-
-
 def agenda(model: bytes) -> Agenda:
     """The worker's own encoder, kept between tasks."""
-    key = hashlib.sha256(model).digest()
-    if key not in _held:
-        _held[key] = Agenda(model)
-    return _held[key]
+    return remembered(f"agenda {hashlib.sha256(model).hexdigest()}", lambda: Agenda(model))
 
 
 def _cuts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:

@@ -87,10 +87,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+_REMEMBERED: dict[str, object] = {}
+
+
+def remembered(name: str, make: Callable[[], object]) -> object:
+    """What a worker keeps between its tasks, made where it is missing. Workers go on to other operators' tasks, and tidy() ones forget it."""
+    if name not in _REMEMBERED:
+        _REMEMBERED[name] = make()
+    return _REMEMBERED[name]
+
+
+def forget() -> None:
+    _REMEMBERED.clear()
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, a task of mapInArrow, after which its worker gives the freed memory back: idle workers stay beside the next stages' tasks."""
+    """``run``, a task of mapInArrow, after which its worker gives the freed memory back: idle workers stay beside the next stages' tasks. What other operators' tasks have left remembered goes first."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc

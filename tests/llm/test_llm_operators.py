@@ -1,8 +1,10 @@
 """Each operator against a brute-force version on a small corpus with edge cases, and on an empty table."""
 
+import gc
 import hashlib
 import random
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -12,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from larkspan.llm import components, fm_index, hilbert, importance, line_dedup, linking, partenum, pfor, pieces, quality_rules, secrets, substring_dedup, token_files, winnowing
+from larkspan.llm import components, fm_index, hilbert, importance, line_dedup, linking, partenum, pfor, pieces, quality_rules, secrets, shared, substring_dedup, token_files, winnowing
 from larkspan.llm import words as W
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -465,6 +467,18 @@ def test_agenda_is_the_library():
     assert [own.decode(" ".join(map(str, x))) for x in ids] == [own.library.decode(x) for x in ids]
 
 
+def test_a_worker_forgets_its_agenda_in_tasks_of_others():
+    """What op8 and the pipeline's last stage remember of chunks, hundreds of MB, isn't left beside the tasks of other operators."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        held = weakref.ref(own := pieces.agenda(f.read()))
+    own.encode(["some text"])
+    del own
+    assert held() is not None  # kept between its own tasks
+    assert list(shared.tidy(lambda batches: batches)(iter([]))) == []
+    gc.collect()
+    assert held() is None
+
+
 def test_piece_digests(docs, rows, empty):
     import sentencepiece
 
