@@ -19,7 +19,8 @@ WIDE_FROM, WIDE_BYTES = 800, 2048  # sets of that many elements have 16384 parit
 FEW = 8
 MOST_KEYS = 1 << 19  # what is broadcast to pick rows by key: 4 MB of keys at most
 ROUNDS, ORDERS = 2, 4  # rounds of stars in all groups, and in each the orders by which groups choose their centres
-SLACK = 8  # groups with more open pairs a row than that can get more rounds
+SLACK = 8  # groups with more open pairs a row than that get more rounds
+MET, CENTRES = 2, 48  # rounds of many centres at most, and a group's centres in one of them, about
 
 
 def parities(doc: np.ndarray, spread: np.ndarray, n: int) -> list[pa.Array]:
@@ -66,11 +67,15 @@ def picked(rows: DataFrame, keys: DataFrame, on: str = "key") -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= MOST_KEYS else keys, on, "left_semi")
 
 
+def apart(a: str, b: str) -> Column:
+    """How many parities of two rows differ, a bound of the distance from below."""
+    return sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITY), F.lit(0))
+
+
 def near(a: str, b: str, percent: int) -> Column:
     """Whether two rows with n, the set's size, and parities can be similar at all: both bound the distance from below."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    odd = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITY), F.lit(0))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (odd * (100 + percent) <= (n + m) * (100 - percent))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart(a, b) * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def open_groups(rows: DataFrame) -> DataFrame:
@@ -126,6 +131,21 @@ def _stars(held: DataFrame, heads: DataFrame, close: Column, turn: int) -> DataF
     return one.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
 
 
+def _met(held: DataFrame, heads: DataFrame, close: Column, turn: int) -> DataFrame:
+    """Pairs (a, b) to verify: each key outside its group's largest component with the nearest of about CENTRES centres of each of its FEW least groups, if ``close`` allows it, and at most one pair for two components.
+
+    A family just around the threshold has few close ones for each key, which one centre hardly ever meets. Comparisons are CENTRES times the rows at most, about. Centres are told by their own hash, so they are the same in most groups.
+    """
+    sizes = held.groupBy("sig", "root").agg(F.count("*").alias("n")).groupBy("sig").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("m"))
+    rows = held.join(heads, "key").join(sizes.select("sig", "size", F.col("m.root").alias("major")), "sig")
+    drawn = F.shiftrightunsigned(F.xxhash64("key", F.lit(turn)), 33) * F.col("size") < CENTRES << 31
+    few = held.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FEW).alias("sig")).select("key", F.explode("sig").alias("sig"))
+    x, y = rows.where("root <> major").join(few, ["key", "sig"], "left_semi").alias("x"), rows.where(drawn).alias("y")
+    met = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") != F.col("y.root")) & close)
+    best = met.groupBy(F.col("x.key").alias("b"), F.col("x.root").alias("rb")).agg(F.min(F.struct(apart("x", "y").alias("odd"), F.col("y.key").alias("a"), F.col("y.root").alias("ra"))).alias("c")).select("c.*", "b", "rb")
+    return best.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.min(F.struct("odd", "a", "b")).alias("p")).select("p.a", "p.b")
+
+
 def _rest(held: DataFrame, heads: DataFrame, close: Column) -> DataFrame:
     """Pairs (a, b) of keys of different components that share a group and that ``close`` allows. Pairs within a group's largest component are not looked at. Each
     key carries its FEW least groups: a pair is made in the least that both carry and in no greater one, so alike keys are hardly ever made twice."""
@@ -144,23 +164,28 @@ def connect(shared: DataFrame, heads: DataFrame, close: Column, similar: Callabl
     """Rows (node, root) that connect what comparing all pairs of every group would connect.
 
     shared: rows (sig, key), a group for each sig. heads: one row (key, ...) for each key, on which ``close`` rules pairs x, y out cheaply. similar: keeps the similar ones of
-    some pairs (a, b). In a few rounds each key is compared with one centre of its groups, which merges nearly all that belongs together; ``more`` rounds at most follow in groups that still hold many open pairs; then the pairs
+    some pairs (a, b). First each key is compared with one centre of its groups, which merges nearly all that belongs together; rounds of many centres, or ``more`` of one at most, follow in groups that still hold many open pairs; then the pairs
     across what is still apart, minus those that ``close`` rules out, are compared exactly. A pair that is connected already is not compared.
     """
-    roots, held = None, shared.select("sig", "key", F.col("key").alias("root"))
-    for turn in range(ROUNDS + more):
-        if turn >= ROUNDS:
+    roots, stale = None, False
+    held = every = shared.select("sig", "key", F.col("key").alias("root"))
+    rounds = ROUNDS if more else 1
+    for turn in range(rounds + (more or MET)):
+        if turn >= rounds:
             held = _heavy(held)
             if held.isEmpty():
                 break
-        found = cut(similar(cut(_stars(held, heads, close, turn))))
+        found = cut(similar(cut((_stars if more or turn < rounds else _met)(held, heads, close, turn))))
         if found.isEmpty():
-            break
+            if turn:
+                break
+            continue
         roots = merged(roots, found)
         held = _unmerged(held, roots)
-    if roots is not None and more:
-        held = _unmerged(shared, roots)
-    rest = cut(_rest(held, heads, close))
+        every, stale = (held, False) if turn < rounds else (every, True)
+    if stale:
+        every = _unmerged(every, roots)
+    rest = cut(_rest(every, heads, close))
     found = cut(similar(rest))
     if not found.isEmpty():
         roots = merged(roots, found)

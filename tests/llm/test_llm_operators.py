@@ -572,6 +572,29 @@ def test_a_family_just_below_the_threshold(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(root)) and len(set(root)) > 50
 
 
+def test_few_pairs_are_left_of_a_family(spark, monkeypatch):
+    """A family around the threshold is merged before the pairs that are left are made: they aren't many times the texts."""
+    rnd = random.Random(5)
+    texts = []
+    for _ in range(400):
+        t = [f"w{i}" for i in range(120)]
+        for _ in range(rnd.randrange(2, 5)):
+            t[rnd.randrange(len(t))] = f"v{rnd.randrange(10**6)}"
+        texts.append(" ".join(t))
+    left, rest = [], linking._rest
+
+    def counted(*args):
+        left.append((out := rest(*args)).count())
+        return out
+
+    monkeypatch.setattr(linking, "_rest", counted)
+    got = partenum.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), ngram=4, percent=85).collect()
+    sets = [{hash(tuple(w[k : k + 4])) for k in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    root = _groups(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root)) and len(got) == 400
+    assert sum(left) < 400
+
+
 # 10
 
 
