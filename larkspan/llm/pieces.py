@@ -24,13 +24,15 @@ from larkspan.llm.shared import remembered
 SPACE = "▁"
 LONG = 192  # symbols from which a chunk gets a heap
 CACHE = 400_000  # chunks that each of two generations of a worker's memory holds
+LEAN, LEAN_BYTES = 100_000, 1 << 19  # the same for encode(), and its slices of texts: it also runs beside what earlier stages have left in an executor
 _NONE = np.int64(1) << 30
 
 
 class Agenda:
     """Encoder and decoder of one model."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, most: int = CACHE):
+        self.most = most
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         lib, n = self.library, self.library.get_piece_size()
         names = [lib.id_to_piece(i) for i in range(n)]
@@ -197,7 +199,7 @@ class Agenda:
 
     def encode(self, texts: list[str], check: bool = True) -> list[str]:
         """Ids of each text with the end id, joined by spaces."""
-        if len(self.known) > CACHE:
+        if len(self.known) > self.most:
             self.known, self.older = {}, self.known
         cut = [self.chunk.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         known, older = self.known, self.older
@@ -248,14 +250,14 @@ class Agenda:
         return "".join(out)
 
 
-def agenda(model: bytes) -> Agenda:
-    """The worker's own encoder, kept between tasks."""
-    return remembered(f"agenda {hashlib.sha256(model).hexdigest()}", lambda: Agenda(model))
+def agenda(model: bytes, most: int = CACHE) -> Agenda:
+    """The worker's own encoder, kept between tasks. Its two generations hold ``most`` chunks each, and those of one slice more."""
+    return remembered(f"agenda {most} {hashlib.sha256(model).hexdigest()}", lambda: Agenda(model, most))
 
 
-def _cuts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+def _cuts(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     _, offset = W.buffers(column)
-    for lo, hi in W.cuts(offset, 1 << 20):
+    for lo, hi in W.cuts(offset, size):
         yield lo, column.slice(lo, hi - lo).fill_null("").to_pylist()
 
 
@@ -271,9 +273,9 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
     kinds = dict(frame.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = agenda(held.value)
+        own = agenda(held.value, LEAN)
         for batch in batches:
-            for lo, texts in _cuts(batch.column(names[text_col])):
+            for lo, texts in _cuts(batch.column(names[text_col]), LEAN_BYTES):
                 ids = [np.array(x.split(" "), np.int32) for x in own.encode(texts, check)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, len(texts)) for c in batch.columns), lists], [*names.values(), "__ids"])

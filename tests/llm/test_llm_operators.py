@@ -479,6 +479,18 @@ def test_a_worker_forgets_its_agenda_in_tasks_of_others():
     assert held() is None
 
 
+def test_lean_agenda_holds_few_chunks():
+    """encode() runs behind the pipeline's other stages: its worker holds a bounded part of many distinct chunks, and ids are the same."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        own = pieces.agenda(f.read(), 2_000)
+    assert pieces.LEAN <= 100_000
+    for lo in range(0, 30_000, 500):
+        text = " ".join(f"w{i:x}" for i in range(lo, lo + 500))
+        assert own.encode([text, f"w{lo // 2:x} w0"]) == [" ".join(map(str, [*x, 2])) for x in own.library.encode([text, f"w{lo // 2:x} w0"])]
+        assert len(own.known) + len(own.older) <= 2 * (2_000 + 502)
+    shared.forget()
+
+
 def test_piece_digests(docs, rows, empty):
     import sentencepiece
 
