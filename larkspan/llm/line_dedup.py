@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from larkspan.llm.shared import cut, scope, tidy
 
 SHINGLE, BANDS, ROWS = 8, 8, 3  # a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**3)**8 = 0.997
 PERCENT = 80
+SLACK = 64  # rounds of one centre go on in groups with more open pairs a row than that; in others the last join makes them at less cost
+FEW_PAIRS = 1 << 16  # pairs to verify whose keys are broadcast to pick their lines: 1 MB
 RECENT_BITS = 18  # keys that a task remembers, so that a line repeated soon again is not signed again
 
 
@@ -47,43 +50,51 @@ class Lines:
         inner[first[1:] - 1] = False
         stop[inner] = newline
         self.begin, self.stop, self.doc, self.first = begin, stop, doc, first
-        self.lead = (d & 0xC0) != 0x80
-        chars = np.concatenate([[0], np.cumsum(self.lead)])
-        self.chars = chars[stop] - chars[begin]
         self.sums = W.prefix(d.astype(W.U) + W.U(1), W.BYTES)
         self.key = W.spans_hash(self.sums, begin, stop, W.BYTES)
 
+    @cached_property
+    def inner(self) -> np.ndarray:
+        """Places of the bytes within characters: all but their first."""
+        return np.flatnonzero((self.data & 0xC0) == 0x80)
+
+    def chars(self, lines: np.ndarray) -> np.ndarray:
+        """How many characters each of the lines has."""
+        begin, stop = self.begin[lines], self.stop[lines]
+        return stop - begin - (np.searchsorted(self.inner, stop) - np.searchsorted(self.inner, begin))
+
     def shingles(self, lines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Line (place in ``lines``) and hash of each run of k characters within the chosen lines; each has k characters at least."""
-        place = np.flatnonzero(self.lead)
-        ends = np.append(place, len(self.data))
-        n = len(place) - k + 1
-        if n <= 0 or not len(lines):
+        """Line (place in ``lines``) and hash of each run of k characters within the chosen lines."""
+        n = np.maximum(self.chars(lines) - k + 1, 0)
+        total = int(n.sum())
+        if not total:
             return np.zeros(0, np.int64), np.zeros(0, W.U)
-        number = np.full(len(self.begin), -1)
-        number[lines] = np.arange(len(lines))
-        of = self._line_of(place, number)
-        h = self.sums[ends[k : k + n]]
-        h -= self.sums[ends[:n]]
-        h *= W.BYTES.of(len(self.sums))[1][ends[:n]]
+        first, sums, inverse = self.begin[lines], self.sums, W.BYTES.of(len(self.sums))[1][: len(self.sums)]
+        if len(self.inner):  # from bytes to characters
+            lead = np.ones(len(sums), bool)
+            lead[self.inner] = False
+            ends = np.flatnonzero(lead)
+            first, sums, inverse = first - np.searchsorted(self.inner, first), sums[ends], inverse[ends]
+        h = sums[k:] - sums[:-k]
+        h *= inverse[:-k]
+        at = np.repeat(first - (np.cumsum(n) - n), n)
+        at += np.arange(total)
+        h = h[at]
         h ^= h >> W.U(32)
         h *= W.U(0x9FB21C651E98DF25)
         h ^= h >> W.U(29)
-        ok = (of[:n] >= 0) & (of[:n] == of[k - 1 : k - 1 + n])
-        return of[:n][ok], h[ok]
-
-    def _line_of(self, place: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Number of the line that each character is in; -1 for line ends and lines without one."""
-        first = np.searchsorted(place, self.begin)
-        chars = np.diff(np.append(first, len(place)))
-        of = np.repeat(number, chars)
-        of[self.data[place] == 10] = -1
-        return of
+        return np.repeat(np.arange(len(lines)), n), h
 
     def chosen(self) -> np.ndarray:
-        """Whether each line has a word."""
-        word = np.concatenate([[0], np.cumsum((self.data != 32) & ((self.data < 9) | (self.data > 13)))])
-        return word[self.stop] > word[self.begin]
+        """Whether each line has a word. Most begin with one; the others are looked through."""
+        ok = (self.begin < self.stop) & ~W.BLANK[self.data[np.minimum(self.begin, len(self.data) - 1)]] if len(self.data) else np.zeros(len(self.begin), bool)
+        rest = np.flatnonzero(~ok & (self.begin < self.stop))
+        if len(rest):
+            size = self.stop[rest] - self.begin[rest]
+            before = np.cumsum(size) - size
+            word = ~W.BLANK[self.data[np.repeat(self.begin[rest] - before, size) + np.arange(size.sum())]]
+            ok[rest] = np.logical_or.reduceat(word, before)
+        return ok
 
     def texts(self, lines: np.ndarray) -> pa.Array:
         size = self.stop[lines] - self.begin[lines]
@@ -147,7 +158,7 @@ def _signed(frame: DataFrame) -> DataFrame:
                 use = np.flatnonzero(x.chosen())
                 if not len(use):
                     continue
-                long = np.flatnonzero(x.chars[use] >= SHINGLE)
+                long = np.flatnonzero(x.chars(use) >= SHINGLE)
                 at = long[recent.new(x.key[use[long]])]
                 new = use[at]
                 fresh = np.zeros(len(use), bool)
@@ -174,27 +185,36 @@ def _texts(frame: DataFrame, wanted: DataFrame) -> DataFrame:
         recent = Recent()
         for batch in batches:
             for x in _lines(batch.column("text")):
-                ok = np.flatnonzero((x.chars >= SHINGLE) & x.chosen())
-                ok = ok[S.passes(held.value, x.key[ok])]
+                ok = np.flatnonzero(S.passes(held.value, x.key))
+                ok = ok[x.chars(ok) >= SHINGLE]
                 new = ok[recent.new(x.key[ok])]
                 if len(new):
                     line = x.texts(new)
                     own = Lines(0, len(new), *W.buffers(line))  # of what is wanted only
-                    doc, h = _distinct(*own.shingles(np.arange(len(new)), SHINGLE))
+                    doc, h = _distinct(*own.shingles(np.arange(len(new)), SHINGLE), len(new))
                     yield pa.RecordBatch.from_arrays([_longs(x.key[new]), line, pa.array(np.bincount(doc, minlength=len(new)).astype(np.int64)), *parities(doc, h, len(new))], ["key", "line", "n", *PARITY])
 
     kinds = ", ".join(["key long, line string, n long", *(f"{p} long" for p in PARITY)])
     return frame.mapInArrow(tidy(run), kinds).join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
-def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (line, hash) in order; line and hash share 64 bits for that, so that one plain sort does."""
-    bits = W.U(max(1, int(doc.max(initial=0)).bit_length()))
-    key = np.sort((doc.astype(W.U) << (W.U(64) - bits)) | (h >> bits))
+def _room(n: int) -> np.uint64:
+    """The bits that a line's hash has beside its number, of n."""
+    return W.U(64 - max(1, (n - 1).bit_length()))
+
+
+def _packed(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Distinct (line, hash) in order; line, of n, and hash share 64 bits for that, so that one plain sort does."""
+    room = _room(n)
+    key = np.sort((doc.astype(W.U) << room) | (h >> (W.U(64) - room)))
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
-    key = key[new]
-    return (key >> (W.U(64) - bits)).astype(np.int64), key << bits
+    return key[new]
+
+
+def _distinct(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    key, room = _packed(doc, h, n), _room(n)
+    return (key >> room).astype(np.int64), key << (W.U(64) - room)
 
 
 def _verified(percent: int):
@@ -210,12 +230,10 @@ def _verified(percent: int):
                     flat = data.copy()
                     flat[flat == 10] = 32  # lines have no line ends
                     x = Lines(0, part.num_rows, flat, offset)
-                    sets.append(_distinct(*x.shingles(np.arange(part.num_rows), SHINGLE)))
-                (da, ha), (db, hb) = sets
-                doc, h = np.concatenate([da, db]), np.concatenate([ha, hb])
-                order = np.lexsort((h, doc))
-                doc, h = doc[order], h[order]
-                both = np.bincount(doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])], minlength=part.num_rows)
+                    sets.append(_packed(*x.shingles(np.arange(part.num_rows), SHINGLE), part.num_rows))
+                key = np.sort(np.concatenate(sets), kind="stable")  # of two sorted runs
+                doc = (key >> _room(part.num_rows)).astype(np.int64)
+                both = np.bincount(doc[1:][key[1:] == key[:-1]], minlength=part.num_rows)
                 total = np.bincount(doc, minlength=part.num_rows)
                 ok = np.flatnonzero(both * 100 >= percent * (total - both))
                 yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
@@ -231,17 +249,20 @@ def removed(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT)
 
 def _removed(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     frame = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    lines = cut(_signed(frame))
+    lines = cut(_signed(frame), **{"parquet.enable.dictionary#bands.list.element": "false"})
     bands = lines.where("bands is not null").select("key", F.explode("bands").alias("sig"))
     shared = cut(open_groups(bands).distinct())
     shared = cut(distinct_groups(shared))
     texts = cut(_texts(frame, shared.select("key").distinct()))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        side = lambda s: texts.select(F.col("key").alias(s), F.col("line").alias(f"l{s}"))
+        held = texts
+        if pairs.count() <= FEW_PAIRS:  # the others' lines aren't shuffled
+            held = texts.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("key"))), "key", "left_semi")
+        side = lambda s: held.select(F.col("key").alias(s), F.col("line").alias(f"l{s}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "lb").mapInArrow(tidy(_verified(percent)), "a long, b long")
 
-    roots = connect(shared, texts.select("key", "n", *PARITY), near("x", "y", percent), similar, more=4).withColumnRenamed("node", "key")
+    roots = connect(shared, texts.select("key", "n", *PARITY), near("x", "y", percent), similar, more=4, slack=SLACK).withColumnRenamed("node", "key")
     # of the lines only those that are found twice or linked go on, and of these each group's first place is found
     place = F.struct(F.col("id"), F.col("no"), F.col("tkey"))
     keys = lines.groupBy("key").agg(F.count("*").alias("n")).join(roots, "key", "full").where("n > 1 or root is not null")
@@ -280,10 +301,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     made = ["n_lines", "n_removed", "sha", *(["kept"] if text else [])]
 
     def results(rows: list[tuple[str, list | None]]) -> list[pa.Array]:
-        kept = [_left(t or "", nos) for t, nos in rows]
-        joined = ["\n".join(k) for k in kept]
+        joined = ["\n".join(_left(t, nos)) if t and nos else t or "" for t, nos in rows]
         n = [(t or "").count("\n") + 1 for t, _ in rows]
-        cols = [pa.array(n, pa.int64()), pa.array([a - len(k) for a, k in zip(n, kept, strict=True)], pa.int64()), pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined], pa.string())]
+        cols = [pa.array(n, pa.int64()), pa.array([len(set(nos or ())) for _, nos in rows], pa.int64()), pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined], pa.string())]
         return [*cols, *([pa.array(joined, pa.string())] if text else [])]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,17 +329,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(batch.column("text").to_pylist(), batch.column("nos").to_pylist(), strict=True))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *results(rows)], [*names, *made])
+            done = batch.column("text").is_null()
+            part, rest = batch.filter(done), batch.filter(pc.invert(done))
+            yield part.select([*names, *made])
+            rows = list(zip(rest.column("text").to_pylist(), rest.column("nos").to_pylist(), strict=True))
+            yield pa.RecordBatch.from_arrays([*(rest.column(c) for c in names), *results(rows)], [*names, *made])
 
     kept_kind = ", kept string" if text else ""
     carried_kinds = ", ".join(f"{c} {kinds[c]}" for c in names)
-    told = cut(frame.mapInArrow(tidy(first), f"{carried_kinds}, tkey long, text string, n_lines long, n_removed long, sha string{kept_kind}"))
-    done = told.where("text is null").select(*names, *made)
+    told = frame.mapInArrow(tidy(first), f"{carried_kinds}, tkey long, text string, n_lines long, n_removed long, sha string{kept_kind}")
     nos = gone.withColumnsRenamed({"id": "gid", "tkey": "gkey"})
-    rest = told.where("text is not null").select(*names, "tkey", "text").join(nos, F.col("c0").eqNullSafe(F.col("gid")) & (F.col("tkey") == F.col("gkey")), "left").select(*names, "text", "nos")
-    rest = rest.mapInArrow(tidy(last), f"{carried_kinds}, n_lines long, n_removed long, sha string{kept_kind}")
-    out = done.union(rest)
+    told = told.join(nos, F.col("c0").eqNullSafe(F.col("gid")) & (F.col("tkey") == F.col("gkey")), "left").select(*names, "text", "nos", *made)  # done texts are shuffled as their results
+    out = told.mapInArrow(tidy(last), f"{carried_kinds}, n_lines long, n_removed long, sha string{kept_kind}")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, carried, strict=True)], "n_lines", "n_removed", F.col("sha").alias("kept_sha256"), *([F.col("kept").alias("kept_text")] if text else []))
 
 

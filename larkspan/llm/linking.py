@@ -20,6 +20,7 @@ FEW = 8
 MOST_KEYS = 1 << 19  # what is broadcast to pick rows by key: 4 MB of keys at most
 ROUNDS, ORDERS = 2, 4  # rounds of stars in all groups, and in each the orders by which groups choose their centres
 SLACK = 8  # groups with more open pairs a row than that get more rounds
+YIELD = 128  # rounds of one centre end where one has linked fewer than one row of so many
 MET, CENTRES = 2, 48  # rounds of many centres at most, and a group's centres in one of them, about
 
 
@@ -111,10 +112,10 @@ def _unmerged(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return cut(held.join(ends.select("sig"), "sig", "left_semi"))
 
 
-def _heavy(held: DataFrame) -> DataFrame:
+def _heavy(held: DataFrame, slack: int) -> DataFrame:
     """``held`` of the groups whose members of different components make many pairs, counted by sizes of components."""
     sizes = held.groupBy("sig", "root").agg(F.count("*").alias("n")).groupBy("sig").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within"))
-    many = sizes.where(F.col("all") * F.col("all") - F.col("within") > 2 * SLACK * F.col("all")).select("sig")
+    many = sizes.where(F.col("all") * F.col("all") - F.col("within") > 2 * slack * F.col("all")).select("sig")
     return cut(picked(held, cut(many), "sig"))
 
 
@@ -160,11 +161,11 @@ def _rest(held: DataFrame, heads: DataFrame, close: Column) -> DataFrame:
     return x.join(y, apart & close & once).select(*pair).distinct()
 
 
-def connect(shared: DataFrame, heads: DataFrame, close: Column, similar: Callable[[DataFrame], DataFrame], more: int = 0) -> DataFrame:
+def connect(shared: DataFrame, heads: DataFrame, close: Column, similar: Callable[[DataFrame], DataFrame], more: int = 0, slack: int = SLACK) -> DataFrame:
     """Rows (node, root) that connect what comparing all pairs of every group would connect.
 
     shared: rows (sig, key), a group for each sig. heads: one row (key, ...) for each key, on which ``close`` rules pairs x, y out cheaply. similar: keeps the similar ones of
-    some pairs (a, b). First each key is compared with one centre of its groups, which merges nearly all that belongs together; rounds of many centres, or ``more`` of one at most, follow in groups that still hold many open pairs; then the pairs
+    some pairs (a, b). First each key is compared with one centre of its groups, which merges nearly all that belongs together; rounds of many centres, or ``more`` of one at most, follow in groups that still hold more than ``slack`` open pairs a row; then the pairs
     across what is still apart, minus those that ``close`` rules out, are compared exactly. A pair that is connected already is not compared.
     """
     roots, stale = None, False
@@ -172,7 +173,7 @@ def connect(shared: DataFrame, heads: DataFrame, close: Column, similar: Callabl
     rounds = ROUNDS if more else 1
     for turn in range(rounds + (more or MET)):
         if turn >= rounds:
-            held = _heavy(held)
+            held = _heavy(held, slack)
             if held.isEmpty():
                 break
         found = cut(similar(cut((_stars if more or turn < rounds else _met)(held, heads, close, turn))))
@@ -181,6 +182,9 @@ def connect(shared: DataFrame, heads: DataFrame, close: Column, similar: Callabl
                 break
             continue
         roots = merged(roots, found)
+        if turn >= rounds and more and found.count() * YIELD < held.count():
+            stale = True
+            break  # the next rounds would cost more than the pairs that they spare the last join
         held = _unmerged(held, roots)
         every, stale = (held, False) if turn < rounds else (every, True)
     if stale:

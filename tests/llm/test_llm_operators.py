@@ -454,6 +454,21 @@ def test_winnowing(spark, docs, rows, empty):
     assert (lone.n_hit, lone.n_items, lone.items_sha256, lone.contaminated) == (10, 0, sha(""), True)
 
 
+def test_rounds_end_that_link_hardly_anything(spark):
+    """A group of many open pairs, of which every round links one: one round more is made, then all that is open is compared."""
+    shared = spark.range(300).select(F.lit(1).cast("long").alias("sig"), F.col("id").alias("key"))
+    heads = spark.range(300).select(F.col("id").alias("key"), F.lit(9).cast("long").alias("n"), *[F.lit(0).cast("long").alias(p) for p in linking.PARITY])
+    asked = []
+
+    def similar(pairs):
+        asked.append(pairs.count())
+        return pairs if asked[-1] > 10_000 else pairs.limit(1)
+
+    roots = linking.connect(shared, heads, linking.near("x", "y", 80), similar, more=4, slack=64)
+    assert len(asked) == 4 and asked[-1] > 40_000
+    assert roots.select("node").distinct().count() == 300 and roots.select("root").distinct().count() == 1
+
+
 # 8
 
 
