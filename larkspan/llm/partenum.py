@@ -4,6 +4,10 @@ A text is the set of its distinct word n-grams. Size bands overlap so that two s
 most k elements, k set by the band's largest size. The hash domain is cut into k // 2 + 1 + slack partitions, so that in some of them the sets differ in one element at
 most, and each partition into PARTS parts: all subsets of PARTS - 1 parts are enumerated, and the projection on each is a signature. The sets agree on one subset at least
 and so share its signature. Sharing sets are then compared exactly.
+
+Subsets of no or few elements are shared by sets that have nothing else in common. All subsets have one order, by elements first; each set leaves out the least ones, as long as they
+are of no more partitions than it can spare: those beyond the d // 2 + 1 that its own size asks for, d being how far a similar set of the band can be from it. Of two similar sets, one
+leaves out all that the other does; it agrees with the other in more partitions than it spares, and so on a subset that both sign.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ from larkspan.llm.linking import PARITY, connect, distinct_groups, near, near_wi
 from larkspan.llm.shared import cut, scope, tidy
 
 PARTS = 3  # of a partition; a signature leaves one out
-SLACK, SLACK_SHARE, SLACK_FROM = 2, 40, 8  # 2 + k // 40 partitions more than needed where k is 8 or more, so that hardly a set has to sign subsets without elements
+SLACK, SLACK_SHARE, SLACK_FROM = 2, 40, 8  # 2 + k // 40 partitions more than needed where k is 8 or more, so that hardly a set has to sign subsets of few elements
+ORDER_BITS = 16  # of a signature, to order subsets with equally many elements
 
 
 def bands(percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,6 +43,21 @@ def distance(percent: int, size: np.ndarray) -> np.ndarray:
     return (100 - percent) * 2 * size // (100 + percent)
 
 
+def farthest(percent: int, size: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Most elements in which a set of each size can differ from a similar one of up to ``high`` elements."""
+    return (100 - percent) * (size + np.minimum(high, size * 100 // percent)) // (100 + percent)
+
+
+def _least_kept(order: np.ndarray, first: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """For each set, the greatest bound such that no more than ``spare`` of its partitions, rows first[i] to first[i + 1], have an order below it; 0 for a set without partitions."""
+    n = np.diff(first)
+    by_set = order[np.lexsort((order, np.repeat(np.arange(len(n)), n)))]
+    out = np.zeros(len(n), W.U)
+    some = n > 0
+    out[some] = by_set[first[:-1][some] + spare[some]]
+    return out
+
+
 class Sets:
     """The distinct n-grams of each text of a slice: element hashes, sorted within each text."""
 
@@ -93,12 +113,11 @@ class Sets:
             owner = np.repeat(np.arange(len(n)), n)
             # of each partition, the subsets that leave one part out
             total = part.sum(axis=1, keepdims=True, dtype=W.U) - part
-            full = count.sum(axis=1, keepdims=True) > count
-            thin = np.bincount(owner, ~full.all(axis=1), len(n)).astype(np.int64)
-            # sets agree on a subset in 1 + slack partitions at least: where no more than slack have a subset without elements, such a subset isn't needed
-            emit = full | (thin > slack)[owner][:, None]
             tag = band[owner].astype(W.U) * W.U(1 << 40) + (np.arange(len(owner)) - part0[owner]).astype(W.U) * W.U(PARTS)
             sig = W.mix(total + W.mix(tag[:, None] + np.arange(PARTS, dtype=W.U)))
+            order = ((count.sum(axis=1, keepdims=True) - count).astype(W.U) << W.U(ORDER_BITS)) | (sig >> W.U(64 - ORDER_BITS))
+            spare = n - 1 - farthest(percent, self.size, high[band]) // 2
+            emit = order >= _least_kept(order.min(axis=1), part0, spare)[owner][:, None]
             found.append((np.repeat(owner, PARTS).reshape(-1, PARTS)[emit], sig[emit]))
         return tuple(np.concatenate(p) for p in zip(*found, strict=True))
 

@@ -575,6 +575,37 @@ def test_similar_sets_share_a_signature(percent):
                 assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist())
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_sets_as_far_apart_as_may_be_share_a_signature(percent):
+    """At both ends of bands, with the last element by which similar sets may differ: replaced, taken away or added."""
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    low, high = partenum.bands(percent, 4000)
+    for size in sorted({int(s) for s in [*low[::3], *high[1::3], *low[-2:]] if s < 4000}):
+        a = [f"w{i}" for i in rnd.sample(range(10**6), size)]
+        swap, gone, more = size * (100 - percent) // (100 + percent), size * (100 - percent) // 100, size * 100 // percent - size
+        for b in (a[swap:] + [f"v{i}" for i in range(swap)], a[gone:], a + [f"u{i}" for i in range(more)]):
+            one, two = set(a), set(b)
+            assert 100 * len(one & two) >= percent * len(one | two)
+            s = partenum.Sets(next(W.texts(pa.array([" ".join(a), " ".join(b)]))), 1)
+            doc, sig = s.signatures(percent)
+            assert len(one) == len(two) == len(one & two) or set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist())
+
+
+def test_large_sets_with_nothing_in_common_share_no_signatures():
+    """Sets of the least sizes of a band had subsets without elements, which all of them shared."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    size = int(next(x for x in partenum.bands(80, 5000)[0] if x > 2000))
+    texts = [" ".join(f"w{rnd.randrange(10**9)}" for _ in range(size + i)) for i in range(60)]
+    doc, sig = np.concatenate([np.stack([doc.astype(np.uint64) + np.uint64(x.row), sig]) for x, s in partenum._sets(pa.array(texts), 1) for doc, sig in [s.signatures(80)]], axis=1)
+    assert len(np.unique(doc)) == 60
+    assert len(np.unique(sig)) > 0.999 * len(sig)
+
+
 def test_bands_hold_every_pair_of_similar_sizes():
     for percent in (50, 80, 85, 95):
         low, high = partenum.bands(percent, 3000)
