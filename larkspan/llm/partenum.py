@@ -13,6 +13,7 @@ leaves out all that the other does; it agrees with the other in more partitions
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from larkspan.llm.shared import cut, scope, tidy
 
 PARTS = 3  # of a partition; a signature leaves one out
 SLACK, SLACK_SHARE, SLACK_FROM = 2, 40, 8  # 2 + k // 40 partitions more than needed where k is 8 or more, so that hardly a set has to sign subsets of few elements
+SLICES = 2  # of the signatures, one after the other: shuffle files of one at a time are on disk, for one reading of the texts more
 ORDER_BITS = 16  # of a signature, to order subsets with equally many elements
 
 
@@ -157,20 +159,31 @@ def _fresh(sets: Sets) -> np.ndarray:
     return np.sort(some[np.unique(sets.key[some], return_index=True)[1]])
 
 
-def _signed(texts: DataFrame, ngram: int, percent: int) -> DataFrame:
-    """Rows (sig, key); equal sets of one slice sign once."""
+def _signed(texts: DataFrame, ngram: int, percent: int, turn: int) -> DataFrame:
+    """Rows (sig, key) of the signatures whose turn it is, of SLICES; equal sets of one batch sign once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in _sets(batch.column("text"), ngram):
                 own = sets.only(_fresh(sets))
                 doc, sig = own.signatures(percent)
+                use = sig % W.U(SLICES) == W.U(turn)
+                doc, sig = doc[use], sig[use]
                 for at in range(0, len(sig), 1 << 18):
                     yield pa.RecordBatch.from_arrays([_longs(sig[at : at + (1 << 18)]), _longs(own.key[doc[at : at + (1 << 18)]])], ["sig", "key"])
 
     return texts.mapInArrow(tidy(run), "sig long, key long")
 
 
+def _several(texts: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """Rows (sig) of the signatures of several keys."""
+    found = []
+    for turn in range(SLICES):
+        ends = _signed(texts, ngram, percent, turn).groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+        found.append(cut(ends.where("lo <> hi").select("sig")))
+    return reduce(DataFrame.union, found)
+
+
 def _shared(texts: DataFrame, ngram: int, percent: int, several: DataFrame) -> DataFrame:
     """Rows (sig, key) of the signatures ``several``; equal sets of several slices come several times."""
     held = texts.sparkSession.sparkContext.broadcast(S.build(several, "sig"))
@@ -223,8 +236,7 @@ def roots(texts: DataFrame, ngram: int, percent: int) -> DataFrame:
     A first pass finds the signatures of several keys, by aggregation, a second one the keys of these, and a third one brings those sets, once for each key.
     """
     with scope(texts.sparkSession) as kept:
-        ends = _signed(texts, ngram, percent).groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-        several = cut(ends.where("lo <> hi").select("sig"))
+        several = _several(texts, ngram, percent)
         with scope(texts.sparkSession) as own:
             shared = own(distinct_groups(cut(_shared(texts, ngram, percent, several).distinct())))
         sets = cut(_members(texts, ngram, cut(shared.select("key").distinct())))

@@ -606,6 +606,18 @@ def test_large_sets_with_nothing_in_common_share_no_signatures():
     assert len(np.unique(sig)) > 0.999 * len(sig)
 
 
+def test_signatures_are_shuffled_in_slices(spark):
+    """Each signature in one slice, and none of them with much more than its share."""
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(" ".join(f"w{rnd.randrange(300)}" for _ in range(rnd.randrange(1, 200))),) for _ in range(80)], "text string")
+    slices = [{tuple(r) for r in partenum._signed(df, 2, 80, turn).collect()} for turn in range(partenum.SLICES)]
+    x = next(W.texts(df.toArrow().column("text").combine_chunks(), W.BLANK, lower=True))
+    sets = partenum.Sets(x, 2)
+    doc, sig = sets.signatures(80)
+    assert set().union(*slices) == set(zip(sig.astype("int64").tolist(), sets.key[doc].astype("int64").tolist(), strict=True))
+    assert sum(map(len, slices)) == len(set().union(*slices)) and max(map(len, slices)) < 1.3 / partenum.SLICES * len(set().union(*slices))
+
+
 def test_bands_hold_every_pair_of_similar_sizes():
     for percent in (50, 80, 85, 95):
         low, high = partenum.bands(percent, 3000)
