@@ -15,6 +15,18 @@ def exact_mean(value: str) -> Column:
     return F.when(F.count(d) == F.count(value), F.coalesce(F.try_divide(F.try_sum(d), F.count(d)).cast("double"), F.avg(value))).otherwise(F.avg(value))
 
 
+def placed(df: DataFrame, name: str = "place") -> DataFrame:
+    """A table read from Parquet with each row's place in it: its file by path, where there are several, and its number there."""
+    row = F.col("_metadata.row_index")
+    return df.select("*", (row if len(df.inputFiles()) == 1 else F.struct("_metadata.file_path", "_metadata.row_index")).alias(name))
+
+
+def mean_in_order(df: DataFrame, keys: Sequence[str], value: str, order: str, name: str) -> DataFrame:
+    """Mean of a column of doubles by keys, added up in one order. Sums of doubles differ in their last bit by the order of additions, which decides between means that are equal; partial sums come in any order. All rows are shuffled for it, none are held."""
+    rows = df.select(*keys, order, value).repartition(*keys).sortWithinPartitions(*keys, order)
+    return rows.groupBy(*keys).agg(F.avg(value).alias(name))  # partitioned already, so each group is one running sum over sorted rows
+
+
 def counts(df: DataFrame, keys: Sequence[str], drop_null_keys: bool = False, name: str = "n") -> DataFrame:
     """Group sizes; groups with a null key stay or go."""
     rows = df.dropna(subset=list(keys)) if drop_null_keys else df

@@ -59,8 +59,8 @@ def _es_sql(name, cond):
 
 
 def _stat(spark, sf):
-    d = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return d.groupBy("l_suppkey", F.col("p_type").alias("g")).agg((F.avg("l_discount") - 0.05).alias("z"))
+    d = A.placed(table(spark, sf, "lineitem")).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumnRenamed("p_type", "g")
+    return A.mean_in_order(d, ["l_suppkey", "g"], "l_discount", "place", "m").select("l_suppkey", "g", (F.col("m") - 0.05).alias("z"))
 
 
 @query("enrichment_score", f"WITH {_STAT}, {_es_sql('e', 'g < ' + chr(39) + 'M' + chr(39))} SELECT l_suppkey, round(es, 6) es, nh n_hits FROM e")

@@ -236,6 +236,27 @@ def test_means_do_not_hang_on_the_order_of_rows(spark, tmp_path):
     assert {(r.delta, r.call) for r in calls if r.l_suppkey % 2 == 0} == {(0.0, "classical")}
 
 
+@pytest.mark.parametrize("name", ["enrichment_score", "wtcs_ncs"])
+def test_equal_means_are_told_apart_as_in_sql(spark, tmp_path, name):
+    """Five means, each equal up to its last bit, over several files: SQL in one thread adds the rows file by file."""
+    import duckdb
+
+    from larkspan.plans import registry
+
+    rng = np.random.default_rng(5)
+    values = [0.01, 0.02, 0.03, 0.1, 0.07, 0.06, 0.04, 0.09, 0.03, 0.05, 0.06, 0.04]
+    rows = [(s, 52 * s + p, f, round(v + 0.01 * (p * s % 5 - 2), 2)) for s in range(30) for p in range(52) for f in "AR" for v in rng.permutation(values).tolist()]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    spark.createDataFrame([(p, chr(65 + p % 26) + str(p % 52)) for p in range(52 * 30)], "p_partkey long, p_type string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_returnflag string, l_discount double").repartition(7).write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    duck = duckdb.connect(config={"threads": 1})
+    for t in ("part", "lineitem"):
+        duck.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = duck.execute(f"select {', '.join(df.columns)} from ({registry.ORACLES[name]}) order by 1").fetchall()
+    assert sorted(tuple(r) for r in df.collect()) == want
+
+
 def test_equal_means_are_ranked_by_name(spark):
     from larkspan.operators import aggregates
 
