@@ -154,7 +154,8 @@ def bridge_repair(spark, sf):
 
 @query("two_conditions", "WITH a AS (SELECT l_partkey k, avg(l_discount) - 0.05 v FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), r AS (SELECT l_partkey k, avg(l_discount) - 0.05 v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT k, round(coalesce(a.v, 0), 6) + 0 v1, round(coalesce(r.v, 0), 6) + 0 v2, coalesce(a.v, 0) * coalesce(r.v, 0) < 0 exchange_sign, round(coalesce(r.v, 0) - coalesce(a.v, 0), 6) + 0 diff FROM a FULL JOIN r USING (k)")
 def two_conditions(spark, sf):
-    v = lambda f: table(spark, sf, "lineitem").where(F.col("l_returnflag") == f).groupBy(F.col("l_partkey").alias("k")).agg((F.avg("l_discount") - 0.05).alias("v"))
+    d = A.placed(table(spark, sf, "lineitem")).withColumnRenamed("l_partkey", "k")
+    v = lambda f: A.mean_in_order(d.where(F.col("l_returnflag") == f), ["k"], "l_discount", "place", "m").select("k", (F.col("m") - 0.05).alias("v"))
     return joins.two_conditions(v("A"), v("R"), "k", "v").select("k", _r("v1").alias("v1"), _r("v2").alias("v2"), "exchange_sign", _r("diff").alias("diff"))
 
 

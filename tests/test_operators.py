@@ -236,7 +236,7 @@ def test_means_do_not_hang_on_the_order_of_rows(spark, tmp_path):
     assert {(r.delta, r.call) for r in calls if r.l_suppkey % 2 == 0} == {(0.0, "classical")}
 
 
-@pytest.mark.parametrize("name", ["enrichment_score", "wtcs_ncs"])
+@pytest.mark.parametrize("name", ["enrichment_score", "wtcs_ncs", "two_conditions"])
 def test_equal_means_are_told_apart_as_in_sql(spark, tmp_path, name):
     """Five means, each equal up to its last bit, over several files: SQL in one thread adds the rows file by file."""
     import duckdb
