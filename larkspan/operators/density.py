@@ -1,78 +1,120 @@
-"""Density clustering: neighbours and spanning trees in blocks of points, then the condensed tree of the spanning tree that is left.
+"""Density clustering: nearest neighbours, a spanning tree grown by components, then the condensed tree of it.
 
-An edge of the minimum spanning tree of all points is also one of the minimum spanning tree of any subset that holds both its ends (with one order of all edges, ties included). So each pair of blocks
-gives its own tree, a linear number of edges, and the tree of their union is that of all points: distances are computed in tasks and no table of pairs is ever made.
+Every component of points is joined by its least edge to another one, again and again (Boruvka). The neighbours found at first tell most of these edges; where a point may have a lesser edge than its component's least known one, all
+points are searched for it. Points meet each other block by block in tasks, and only what is best for a point leaves them: no table of pairs is made, shuffled or written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.operators.lineage import Steps
 
-BLOCK = 1024  # points of a block; a task holds two blocks and a strip of their distances
+BLOCK = 1024  # points of a block; a task holds two blocks and a table of their distances
+PART = 1 << 17  # points that a task has its own blocks meet, one block after the other
+LEFT_PARTS = 256
 CHUNK_EDGES = 1 << 20  # edges whose spanning forest a task finds
 MOST_POINTS = 4_000_000  # the condensed tree is built of one edge for each point in one task; more are refused
-STRIP = 256
+SPARE = 8  # neighbours kept beyond min_samples, for the edges of the first rounds
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean, by differences, so that equal points are exactly 0 apart and both directions agree."""
-    out = np.zeros((len(a), len(b)))
-    for k in range(a.shape[1]):
-        out += (a[:, k, None] - b[None, :, k]) ** 2
-    return np.sqrt(out)
+def _packed(points: DataFrame, side: str, names: list[str]) -> DataFrame:
+    """Each block as one row of binary columns."""
 
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{f"{side}x": np.stack(g.x.to_numpy()).astype(float).tobytes()} | {side + c: g[c].to_numpy().tobytes() for c in names}])
 
-def _paired(points: DataFrame, blocks: int) -> DataFrame:
-    """Each point once for every pair of blocks that its own is in."""
-    lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    return points.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("pair", lo * blocks + hi).drop("other")
+    return points.select("block", "x", *names).groupBy("block").applyInPandas(run, ", ".join(f"{side}{c} binary" for c in ["x", *names]))
 
 
-def _nearest(k: int):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        """The k least distances of each point of two blocks to those of the other; within one block, to the others of it."""
-        x, i, block = np.stack(g.x.to_numpy()).astype(float), g.i.to_numpy(), g.block.to_numpy()
-        found = []
-        sides = [np.flatnonzero(block == b) for b in np.unique(block)]
-        for own, far in [(sides[0], sides[0])] if len(sides) == 1 else [(sides[0], sides[1]), (sides[1], sides[0])]:
-            if len(sides) == 1 and g.pair.iloc[0] != block[0] * (block.max() + 1) and not g["single"].iloc[0]:
-                continue  # the other block is empty; the block's own pair has these
-            for lo in range(0, len(own), STRIP):
-                part = own[lo : lo + STRIP]
-                d = _distances(x[part], x[far])
-                if own is far:
-                    d[np.arange(len(part)), lo + np.arange(len(part))] = np.inf
-                least = np.sort(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k], axis=1)
-                found.append(pd.DataFrame({"i": np.repeat(i[part], least.shape[1]), "d": least.ravel()}))
-        return pd.concat(found) if found else pd.DataFrame({"i": np.zeros(0, np.int64), "d": np.zeros(0)})
-
-    return run
-
-
-def _tree(g: pd.DataFrame) -> pd.DataFrame:
-    """The minimum spanning tree of the points by mutual reachability, by Prim; edges are in order by weight, then by their lesser and greater end."""
-    g = g.sort_values("i")
-    x, i, core = np.stack(g.x.to_numpy()).astype(float), g.i.to_numpy(np.int64), g.core.to_numpy(float)
-    n = len(x)
-    weight, lo, hi = np.full(n, np.inf), np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).max)
-    out = np.zeros(n, bool)
-    edges, at = [], 0
-    for _ in range(n - 1):
-        out[at] = True
-        d = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(1)), core), core[at])
-        a, b = np.minimum(i, i[at]), np.maximum(i, i[at])
-        better = ~out & ((d < weight) | ((d == weight) & ((a < lo) | ((a == lo) & (b < hi)))))
-        weight[better], lo[better], hi[better] = d[better], a[better], b[better]
-        weight[at] = np.inf
-        ties = np.flatnonzero(~out & (weight == weight[~out].min()))
-        at = int(ties[np.lexsort((hi[ties], lo[ties]))[0]]) if len(ties) > 1 else int(ties[0])
-        edges.append((lo[at], hi[at], weight[at]))
-    return pd.DataFrame(edges, columns=["a", "b", "w"]).astype({"a": np.int64, "b": np.int64, "w": float})
+class _Block:
+    """Points of a packed row; those of the own side gather what is best for each of them."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int, side: str, names: list[str]):
+        get = lambda c, kind: np.array(np.frombuffer(batch.column(side + c)[row].as_buffer(), kind))
+        for c in names:
+            setattr(self, c, get(c, np.int64 if c in ("i", "comp") else float))
+        self.x = get("x", float).reshape(len(self.i), -1)
+        self.norm = (self.x**2).sum(1)
+        self.row, self.d, self.j = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def about(self, far: _Block) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances by a product, and twice the most they can be wrong by, for each row."""
+        return self.norm[:, None] + far.norm[None] - 2 * (self.x @ far.x.T), 8 * (self.x.shape[1] + 4) * np.finfo(float).eps * (self.norm + far.norm[np.isfinite(far.norm)].max(initial=0.0))
+
+    def exact(self, far: _Block, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Distances of some pairs by differences, so that equal points are exactly 0 apart and both directions agree."""
+        out = np.zeros(len(r))
+        for k in range(self.x.shape[1]):
+            out += (self.x[r, k] - far.x[c, k]) ** 2
+        return np.sqrt(out)
+
+    def keep(self, r: np.ndarray, d: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+        """The least ``most`` of each row, old and new; returns how many each row has."""
+        r, d, j = np.concatenate([self.row, r]), np.concatenate([self.d, d]), np.concatenate([self.j, j])
+        order = np.lexsort((j, d, r))
+        r, d, j = r[order], d[order], j[order]
+        first = np.arange(len(r)) - np.searchsorted(r, np.arange(len(self.i)))[r] < most
+        self.row, self.d, self.j = r[first], d[first], j[first]
+        return np.bincount(self.row, minlength=len(self.i))
+
+
+def _near(k: int) -> Callable[[_Block, _Block], None]:
+    def meet(own: _Block, far: _Block) -> None:
+        """The k nearest others of each point."""
+        d2, wrong = own.about(far)
+        limit = getattr(own, "limit", np.full(len(own.i), np.inf)) + wrong
+        close = d2 <= limit[:, None]
+        if d2.shape[1] > k + 1 and close.sum() > 8 * k * len(own.i):
+            close = d2 <= np.minimum(limit, np.partition(d2, k, axis=1)[:, k] + wrong)[:, None]  # one more than k: the point itself
+        r, c = np.nonzero(close)
+        other = own.i[r] != far.i[c]
+        r, c = r[other], c[other]
+        full = own.keep(r, own.exact(far, r, c), far.i[c], k) == k
+        own.limit = np.full(len(own.i), np.inf)
+        own.limit[full] = own.d[np.searchsorted(own.row, np.flatnonzero(full), "right") - 1] ** 2
+
+    return meet
+
+
+def _outward(own: _Block, far: _Block) -> None:
+    """The least edge of each point to another component, if it is less than the bound."""
+    d2, wrong = own.about(far)
+    w2 = np.maximum(np.maximum(d2, far.core[None] ** 2), own.core[:, None] ** 2)
+    w2[own.comp[:, None] == far.comp[None]] = np.inf
+    least = w2.min(1)
+    r, c = np.nonzero(w2 <= np.where(np.isfinite(least), np.minimum(least, own.bound**2) + wrong, -1.0)[:, None])
+    w = np.maximum(np.maximum(own.exact(far, r, c), own.core[r]), far.core[c])
+    less = w < own.bound[r]
+    own.keep(r[less], w[less], far.i[c][less], 1)
+    own.bound[own.row] = own.d
+
+
+def _met(points: DataFrame, count: int, others: DataFrame, n: int, names: list[str], more: list[str], meet: Callable[[_Block, _Block], None]) -> DataFrame:
+    """Rows (i, d, j) of what each of ``count`` points keeps of those in each part of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[bytes, _Block] = {}  # the few blocks of this task
+        for batch in batches:
+            for row in range(batch.num_rows):
+                key = batch.column("l_i")[row].as_py()
+                if key not in own:
+                    own[key] = _Block(batch, row, "l_", [*names, *more])
+                meet(own[key], _Block(batch, row, "r_", names))
+        for b in own.values():
+            ends = np.searchsorted(b.row, np.arange(len(b.i) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(b.i), pa.ListArray.from_arrays(ends, pa.array(b.d)), pa.ListArray.from_arrays(ends, pa.array(b.j))], ["i", "d", "j"])
+
+    blocks = -(-count // BLOCK)
+    left = _packed(points.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")), "l_", [*names, *more]).repartition(min(blocks, LEFT_PARTS))
+    right = _packed(others, "r_", names).repartition(-(-n // PART))
+    return left.crossJoin(right.hint("shuffle_replicate_nl")).mapInArrow(run, "i long, d array<double>, j array<long>")
 
 
 def _root(up: dict, v: int) -> int:
@@ -97,6 +139,20 @@ def _forest(g: pd.DataFrame) -> pd.DataFrame:
     return g[keep]
 
 
+def _joined(g: pd.DataFrame) -> pd.DataFrame:
+    """Edges that join components, least first, without those that close a circle, and the new name of each component."""
+    up: dict[int, int] = {}
+    kept, seen = [], set()
+    g = g.sort_values(["w", "a", "b"])
+    for a, b, w, x, y in zip(g.a.tolist(), g.b.tolist(), g.w.tolist(), g.ca.tolist(), g.cb.tolist(), strict=True):
+        seen |= {x, y}
+        x, y = _root(up, x), _root(up, y)
+        if x != y:
+            up[x] = y
+            kept.append((-1, -1, a, b, w))
+    return pd.DataFrame(kept + [(c, _root(up, c), -1, -1, 0.0) for c in seen], columns=["comp", "name", "a", "b", "w"])
+
+
 def condensed_labels(edges: pd.DataFrame, least: int) -> dict[int, int]:
     """Cluster of each node of a spanning tree, named by its least node; nodes of no cluster are left out.
 
@@ -177,13 +233,83 @@ def condensed_labels(edges: pd.DataFrame, least: int) -> dict[int, int]:
     return label
 
 
+def _written(steps: Steps, met: DataFrame) -> DataFrame:
+    """Written with few rows in an Arrow batch, for a row has two blocks."""
+    conf, name = steps.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(name)
+    conf.set(name, "16")
+    try:
+        return steps.write(met)
+    finally:
+        conf.set(name, usual)
+
+
+def _thinned(steps: Steps, edges: DataFrame) -> DataFrame:
+    """Without edges that are the greatest of a circle, as far as tasks see one."""
+    count = edges.count()
+    while count > CHUNK_EDGES:
+        parts, old = -(-count // CHUNK_EDGES), edges
+        edges = steps.write(edges.withColumn("part", F.pmod(F.xxhash64(F.lit(parts), F.least("a", "b")), F.lit(parts))).groupBy("part").applyInPandas(_forest, "a long, b long, w double"))
+        steps.drop(old)
+        before, count = count, edges.count()
+        if count * 10 > before * 9:
+            break
+    return edges
+
+
+def _spanning_tree(steps: Steps, points: DataFrame, n: int, min_samples: int) -> DataFrame:
+    """Rows (a, b, w): a minimum spanning tree of the points (i, x, block) by mutual reachability."""
+    k, never = min_samples + SPARE, F.lit(float("inf"))
+    met = _written(steps, _met(points, n, points, n, ["i"], [], _near(k)))
+    near = steps.write(met.groupBy("i").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d", "j")))), 1, k).alias("near")))
+    steps.drop(met)
+    core = near.where(F.size("near") >= min_samples).select("i", F.element_at("near", min_samples)["d"].alias("core"), F.when(F.size("near") == k, F.element_at("near", -1)["d"]).otherwise(never).alias("reach"))
+    at = steps.write(core.select("i", "core", F.col("i").alias("comp"), F.greatest("core", "reach").alias("floor")))  # floor: no edge that isn't known is less
+    cores = at.select("i", "core")
+    listed = near.select("i", F.explode("near").alias("e")).select(F.col("i").alias("a"), F.col("e.j").alias("b"), F.col("e.d").alias("d"))
+    weighed = listed.join(cores.toDF("a", "ka"), "a").join(cores.toDF("b", "kb"), "b").select("a", "b", F.greatest("d", "ka", "kb").alias("w"))
+    known = _thinned(steps, steps.write(weighed))
+    steps.drop(near)
+    tree = None
+    while True:
+        names = at.select("i", "comp")
+        old, known = known, steps.write(known.select("a", "b", "w").join(names.toDF("a", "ca"), "a").join(names.toDF("b", "cb"), "b").where("ca <> cb"))
+        steps.drop(old)
+        edge = F.struct("w", "a", "b", "ca", "cb").alias("e")
+        best = steps.write(known.select(F.col("ca").alias("comp"), edge).union(known.select(F.col("cb").alias("comp"), edge)).groupBy("comp").agg(F.min("e").alias("e")))
+        bound = F.coalesce("e.w", never)
+        by_comp = at.groupBy("comp").agg(F.min("floor").alias("floor")).join(best, "comp", "left")
+        count, open_ = by_comp.agg(F.count("*"), F.count_if(F.col("floor") < bound)).first()
+        if count <= 1:
+            return tree if tree is not None else known.select("a", "b", "w")
+        if 2 * open_ > count:
+            searched = steps.write(at.join(best, "comp", "left").select("i", "core", "comp", bound.alias("bound")).where(F.col("floor") < F.col("bound")))
+            m = searched.count()
+            met = _written(steps, _met(points.drop("block").join(searched, "i"), m, points.join(at.select("i", "core", "comp"), "i"), n, ["i", "core", "comp"], ["bound"], _outward))
+            found = steps.write(met.where(F.size("d") > 0).groupBy(F.col("i").alias("a")).agg(F.min(F.struct(F.col("d")[0].alias("w"), F.col("j")[0].alias("b"))).alias("f")).select("a", "f.b", "f.w"))
+            old, at = at, steps.write(at.join(searched.select("i", "bound"), "i", "left").join(found.select(F.col("a").alias("i"), "w"), "i", "left").select("i", "core", "comp", F.coalesce("w", "bound", "floor").alias("floor")))
+            for x in (old, met, searched, best):
+                steps.drop(x)
+            known = steps.write(known.select("a", "b", "w").union(found))
+            continue
+        chosen = by_comp.where(F.col("e").isNotNull() & (F.col("floor") >= bound)).select("e.*").distinct()
+        told = steps.write(chosen.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_joined, "comp long, name long, a long, b long, w double"))  # one row a component
+        added = told.where("comp < 0").select("a", "b", "w")
+        if added.isEmpty():
+            return tree if tree is not None else added
+        tree = steps.write(added, "tree")
+        old, at = at, steps.write(at.join(told.where("comp >= 0").select("comp", "name"), "comp", "left").select("i", "core", F.coalesce("name", "comp").alias("comp"), "floor"))
+        for x in (old, best, told):
+            steps.drop(x)
+
+
 def hdbscan(df: DataFrame, id_col: str, array: str, min_samples: int = 5, min_cluster: int = 5) -> DataFrame:
     """Rows (id_col, cluster): clusters from 0 by their least id, -1 for noise, by density: hierarchical single linkage of mutual reachability, the condensed tree and the stablest clusters of it.
 
     A point's core distance is that to its min_samples-th nearest other point; two points' mutual reachability is the greatest of both core distances and their own. Equal distances are handled at once, so the order of rows
     has no part in the result. Ids must be unique; rows with a null id or array are left out. No more than min_samples points are all noise. No rows give no rows.
 
-    Work grows with the square of the points, as exact density clustering in many dimensions does, but tables don't: pairs of blocks give min_samples rows, then one edge, for each point.
+    Work grows with the square of the points, as exact density clustering in many dimensions does, but tables don't: what is shuffled and written is some rows for each point and for each part of PART points that it meets.
     """
     spark = df.sparkSession
     steps = Steps(spark)
@@ -196,18 +322,7 @@ def hdbscan(df: DataFrame, id_col: str, array: str, min_samples: int = 5, min_cl
         return points.select(F.col("id").alias(id_col), F.lit(-1).alias("cluster"))
     blocks = -(-n // BLOCK)
     points = steps.write(points.repartitionByRange(blocks, "id").sortWithinPartitions("id").withColumn("i", F.monotonically_increasing_id()).withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")))
-    blocked = _paired(points.select("i", "x", "block"), blocks).withColumn("single", F.col("pair") == F.col("block") * blocks + F.col("block"))
-    near = blocked.groupBy("pair").applyInPandas(_nearest(min_samples), "i long, d double")
-    core = steps.write(near.groupBy("i").agg(F.element_at(F.array_sort(F.collect_list("d")), min_samples).alias("core")))  # min_samples values for each block
-    cored = points.select("i", "x", "block").join(core, "i")
-    edges = steps.write(_paired(cored, blocks).groupBy("pair").applyInPandas(_tree, "a long, b long, w double"))
-    count = edges.count()
-    while count > CHUNK_EDGES:
-        parts = -(-count // CHUNK_EDGES)
-        edges = steps.write(edges.withColumn("part", F.pmod(F.xxhash64(F.lit(parts), F.col("a").bitwiseXOR(F.col("b"))), F.lit(parts))).groupBy("part").applyInPandas(_forest, "a long, b long, w double"))
-        before, count = count, edges.count()
-        if count * 10 > before * 9:
-            break
+    edges = _spanning_tree(steps, points.select("i", "x", "block"), n, min_samples)
 
     def labelled(g: pd.DataFrame) -> pd.DataFrame:
         label = condensed_labels(_forest(g), min_cluster)

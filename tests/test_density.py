@@ -94,3 +94,22 @@ def test_few_points_are_noise(spark):
     df = spark.createDataFrame([(i, [float(i)]) for i in range(4)], "key int, v array<double>")
     assert [r.cluster for r in density.hdbscan(df, "key", "v", 5).collect()] == [-1] * 4
     assert density.hdbscan(df.limit(0), "key", "v").count() == 0
+
+
+def test_tables_grow_with_the_points_and_not_with_pairs_of_blocks(spark, monkeypatch):
+    from larkspan.operators import lineage
+
+    rows, write = [], lineage.Steps.write
+
+    def counted(steps, df, name=None):
+        out = write(steps, df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(lineage.Steps, "write", counted)
+    monkeypatch.setattr(density, "BLOCK", 8)
+    x = _cloud(400, 7, False)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "key int, v array<double>").repartition(2)
+    got = {r.key: r.cluster for r in density.hdbscan(df, "key", "v", 3, 5).collect()}
+    assert [got[i] for i in range(400)] == _brute(x, 3, 5).tolist()
+    assert max(rows) <= 400 * (3 + 8)  # 50 blocks: trees of all pairs of them would be 50 edges a point
